@@ -5,14 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, token_count, token_files
+from tessera.llm import byte_bpe, decontaminate, suffix_array, suffix_tree, token_count, token_files
 from tessera.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.deduplicated(table(spark, sf_dir, "documents"), width=50).drop("kept")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -21,5 +29,9 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op7_token_files, op8_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.deduplicated(table(spark, sf_dir, "documents"), width=50).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_token_counts, op6_decontamination, op7_token_files, op8_byte_bpe, op9_suffix_array_dedup)}
+ORACLE_SQL = {"op1_substring_dedup": suffix_tree.SQL, "op6_decontamination": decontaminate.SQL, "op9_suffix_array_dedup": suffix_array.SQL}
