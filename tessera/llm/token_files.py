@@ -29,39 +29,106 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import id_text, pieces, shared_dir
+from tessera.llm.words import Words
 
-_SPACE = re.compile(r"[\x20\t\n\r]+")
+#: A word of precomposed Latin letters and final punctuation.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:$%&*#|]*)").fullmatch
 #: Entries of a Python worker's word cache before it starts anew.
-CACHE = 400_000
+CACHE = 500_000
 ROW_GROUP, PAGE = 64 << 20, 256 << 10
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
-
-
-def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
-    """The library's ids of each text.
+class Encoder:
+    """The tokenizer, with the ids of words already met in one growing array.
 
     The tokenizer drops white space before its merges and neither its
     normaliser nor its pattern looks across an ASCII space, so each new
-    space-separated word is encoded once and its ids are looked up later.
+    space-separated word is encoded once. A word of letters and final
+    punctuation is the letters in lower case and the punctuation, which the
+    tokenizer's pattern parts too.
     """
-    tok, cache = _tokenizer(path)
-    if len(cache) > CACHE:
-        cache.clear()
-    split = [_SPACE.split(t) for t in texts]
-    fresh = list({w for words in split for w in words if w not in cache})
-    for i in range(0, len(fresh), 20_000):
-        part = fresh[i : i + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-    get = cache.__getitem__
-    return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        for piece, i in self.tok.get_vocab().items():
+            self.ends[i] = piece.endswith("</w>")
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.start, self.size, self.pool = (np.zeros(0, t) for t in (np.int64, np.int64, np.uint32))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, letters: list[str], others: list[str]) -> None:
+        """Words of letters alone go many to a call: each ends at its one id with an end mark."""
+        for i in range(0, len(letters), 1000):
+            part = letters[i : i + 1000]
+            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                others += part
+                continue
+            raw, at = ids.tobytes(), (stops * 4).tolist()
+            self.parts.update(zip(part, [raw[i:j] for i, j in zip([0, *at], at)]))
+        for i in range(0, len(others), 20_000):
+            self.parts.update(zip(others[i : i + 20_000], self._plain(others[i : i + 20_000])))
+
+    def _add(self, words: Words, fresh: list[int]) -> None:
+        split, letters, others = [], set(), set()
+        for k in fresh:
+            w = words.text(k)
+            if m := _PLAIN(w):
+                core, tail = m.groups()
+                core = core.lower()
+                split.append((core, tail))
+                if core not in self.parts:
+                    letters.add(core)
+                if tail not in self.parts:
+                    others.add(tail)
+            else:
+                split.append((w, ""))
+                if w not in self.parts:
+                    others.add(w)
+        self._learn(list(letters), list(others))
+        parts = self.parts
+        ids = [parts[a] + parts[b] if b else parts[a] for a, b in split]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.slots.update(zip(words.key[fresh].tolist(), range(len(self.start), len(self.start) + len(fresh))))
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the last's end)."""
+        words = Words(texts, b" \t\n\r")
+        if not words.sound:  # two words of one hash: by the library alone
+            ids = [np.frombuffer(x, "<u4") for x in self._plain(texts)]
+            return np.concatenate(ids), np.cumsum([0, *map(len, ids)])
+        if len(self.slots) > CACHE:
+            self.clear()
+        get = self.slots.get
+        slot = [get(x, -1) for x in words.key.tolist()]
+        fresh = [k for k, s in enumerate(slot) if s < 0]
+        if fresh:
+            self._add(words, fresh)
+            slot = [self.slots[x] for x in words.key.tolist()]
+        slot = np.array(slot, np.int64)[words.label] if len(words) else np.zeros(0, np.int64)
+        size = self.size[slot]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(self.start[slot] - ends[:-1], size) + np.arange(ends[-1])]
+        return ids, ends[words.doc]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -69,10 +136,11 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pdf in pieces((b.to_pandas() for b in batches), "text"):
-            ids = [np.append(x, np.uint32(end_id)) for x in encode_texts(tokenizer, pdf["text"].tolist())]
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            ids, ends = encoder(tokenizer).encode(pdf["text"].tolist())
+            ids = np.insert(ids.astype(np.int32), ends[1:], end_id)
+            ends = (ends + np.arange(len(ends))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pdf["shard"], pa.int32()), pa.array(pdf["doc_id"].astype("Int64"), pa.int64()), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))],
+                [pa.array(pdf["shard"], pa.int32()), pa.array(pdf["doc_id"].astype("Int64"), pa.int64()), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))],
                 names=["shard", "doc_id", "n_tokens", "ids"],
             )
 
