@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, decontaminate, suffix_array, suffix_tree, token_count, token_files
+from tessera.llm import byte_bpe, decontaminate, near_dedup, suffix_array, suffix_tree, token_count, token_files
 from tessera.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.deduplicated(table(spark, sf_dir, "documents"), width=50).drop("kept")
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -33,5 +37,5 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.deduplicated(table(spark, sf_dir, "documents"), width=50).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_token_counts, op6_decontamination, op7_token_files, op8_byte_bpe, op9_suffix_array_dedup)}
-ORACLE_SQL = {"op1_substring_dedup": suffix_tree.SQL, "op6_decontamination": decontaminate.SQL, "op9_suffix_array_dedup": suffix_array.SQL}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_token_counts, op6_decontamination, op7_token_files, op8_byte_bpe, op9_suffix_array_dedup)}
+ORACLE_SQL = {"op1_substring_dedup": suffix_tree.SQL, "op2_minhash_dedup": near_dedup.SQL, "op6_decontamination": decontaminate.SQL, "op9_suffix_array_dedup": suffix_array.SQL}
