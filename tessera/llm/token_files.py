@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,10 +30,14 @@ from pyspark.sql import functions as F
 from tessera.llm.common import id_text, pieces, shared_dir
 from tessera.llm.words import Words
 
-#: A word of precomposed Latin letters and final punctuation.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:$%&*#|]*)").fullmatch
+#: Kinds of bytes in plain words: 1 for letters (A-Z, and U+00C0 to U+00FF as two bytes), 2 for punctuation that no
+#: contraction or special token has. The tokenizer's pattern parts a plain word where the kind changes, and only there;
+#: its normaliser lower-cases it.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = 1
+_KIND[list(b'!"#$%&()*+,-./:;=?@[]^_`{}~')] = 2
 #: Entries of a Python worker's word cache before it starts anew.
-CACHE = 500_000
+CACHE = 2_000_000
 ROW_GROUP, PAGE = 64 << 20, 256 << 10
 
 
@@ -42,10 +45,8 @@ class Encoder:
     """The tokenizer, with the ids of words already met in one growing array.
 
     The tokenizer drops white space before its merges and neither its
-    normaliser nor its pattern looks across an ASCII space, so each new
-    space-separated word is encoded once. A word of letters and final
-    punctuation is the letters in lower case and the punctuation, which the
-    tokenizer's pattern parts too.
+    normaliser nor its pattern looks across an ASCII space, so each new word is
+    encoded once, and plain words, cut at their punctuation, many to a call.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,68 +60,61 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-        self.start, self.size, self.pool = (np.zeros(0, t) for t in (np.int64, np.int64, np.uint32))
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, letters: list[str], others: list[str]) -> None:
-        """Words of letters alone go many to a call: each ends at its one id with an end mark."""
-        for i in range(0, len(letters), 1000):
-            part = letters[i : i + 1000]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):
-                others += part
-                continue
-            raw, at = ids.tobytes(), (stops * 4).tolist()
-            self.parts.update(zip(part, [raw[i:j] for i, j in zip([0, *at], at)]))
-        for i in range(0, len(others), 20_000):
-            self.parts.update(zip(others[i : i + 20_000], self._plain(others[i : i + 20_000])))
-
-    def _add(self, words: Words, fresh: list[int]) -> None:
-        split, letters, others = [], set(), set()
-        for k in fresh:
-            w = words.text(k)
-            if m := _PLAIN(w):
-                core, tail = m.groups()
-                core = core.lower()
-                split.append((core, tail))
-                if core not in self.parts:
-                    letters.add(core)
-                if tail not in self.parts:
-                    others.add(tail)
-            else:
-                split.append((w, ""))
-                if w not in self.parts:
-                    others.add(w)
-        self._learn(list(letters), list(others))
-        parts = self.parts
-        ids = [parts[a] + parts[b] if b else parts[a] for a, b in split]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        self.slots.update(zip(words.key[fresh].tolist(), range(len(self.start), len(self.start) + len(fresh))))
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        """known: sorted numbers of words, slot: where start and size have their ids in pool."""
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.start, self.size, self.pool = (np.zeros(0, t) for t in (np.int64, np.int32, np.uint32))
+
+    def _find(self, numbers: np.ndarray) -> np.ndarray:
+        """Slots of sorted numbers, -1 for new ones."""
+        if not len(self.known):
+            return np.full(len(numbers), -1)
+        at = np.minimum(np.searchsorted(self.known, numbers), len(self.known) - 1)
+        return np.where(self.known[at] == numbers, self.slot[at], -1)
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([x for i in ids for x in i], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words, many to a call; each ends at its one id with an end mark."""
+        out, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            n = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+            if len(n) != len(part):
+                ids, n = self._each(part)
+            out.append(ids)
+            sizes.append(n)
+        return np.concatenate(out), np.concatenate(sizes)
+
+    def _add(self, words: Words, keys: np.ndarray, fresh: np.ndarray) -> None:
+        for rows, ids_of in ((fresh[words.plain[fresh]], self._together), (fresh[~words.plain[fresh]], self._each)):
+            ids, n = ids_of([w.decode() for w in words.raw(rows)])
+            known = np.concatenate([self.known, keys[rows]])
+            order = np.argsort(known, kind="stable")
+            self.known, self.slot = known[order], np.concatenate([self.slot, np.arange(len(self.start), len(self.start) + len(rows), dtype=np.int32)])[order]
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(n) - n])
+            self.size = np.concatenate([self.size, n])
+            self.pool = np.concatenate([self.pool, ids])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last's end)."""
-        words = Words(texts, b" \t\n\r")
+        fold = not any("<|" in t for t in texts)  # special tokens keep their case
+        words = Words(texts, b" \t\n\r", _KIND, 0xC3, (0x97, 0xB7), fold)
         if not words.sound:  # two words of one hash: by the library alone
-            ids = [np.frombuffer(x, "<u4") for x in self._plain(texts)]
-            return np.concatenate(ids), np.cumsum([0, *map(len, ids)])
-        if len(self.slots) > CACHE:
+            ids, n = self._each(texts)
+            return ids, np.concatenate([[0], np.cumsum(n)])
+        if len(self.known) > CACHE:
             self.clear()
-        get = self.slots.get
-        slot = [get(x, -1) for x in words.key.tolist()]
-        fresh = [k for k, s in enumerate(slot) if s < 0]
-        if fresh:
-            self._add(words, fresh)
-            slot = [self.slots[x] for x in words.key.tolist()]
-        slot = np.array(slot, np.int64)[words.label] if len(words) else np.zeros(0, np.int64)
-        size = self.size[slot]
+        numbers = words.key if fold else words.key ^ np.uint64(1)
+        slot = self._find(numbers)
+        fresh = np.flatnonzero(slot < 0)
+        if len(fresh):
+            self._add(words, numbers, fresh)
+            slot = self._find(numbers)
+        slot = slot[words.label]
+        size = self.size[slot].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(self.start[slot] - ends[:-1], size) + np.arange(ends[-1])]
         return ids, ends[words.doc]
@@ -135,7 +129,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col: str =
     """Writes shard, doc_id, n_tokens, ids: one sorted run of documents per file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pdf in pieces((b.to_pandas() for b in batches), "text"):
+        for pdf in pieces((b.to_pandas() for b in batches), "text", chars=2_000_000):
             ids, ends = encoder(tokenizer).encode(pdf["text"].tolist())
             ids = np.insert(ids.astype(np.int32), ends[1:], end_id)
             ends = (ends + np.arange(len(ends))).astype(np.int32)

@@ -10,26 +10,30 @@ import functools
 import numpy as np
 
 _U = np.uint64
-#: Fixed random numbers for bytes, and the bases, of two independent polynomial hashes.
+#: Fixed random numbers for bytes, of two independent polynomial hashes, and their base.
 _TABLES = np.random.default_rng(11).integers(1, 2**63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BASE = 0x9E3779B97F4A7C15
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(size: int, nr: int) -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     def run(base: int) -> np.ndarray:
         a = np.full(size, _U(base % (1 << 64)))
         a[0] = 1
         return np.cumprod(a)
 
-    return run(_BASES[nr]), run(pow(_BASES[nr], -1, 1 << 64))
+    return run(_BASE), run(pow(_BASE, -1, 1 << 64))
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, nr: int) -> np.ndarray:
-    size = 1 << 22
+    size = 1 << 21
     while size < len(data) + 1:
         size *= 2
-    power, back = _powers(size, nr)
+    power, back = _powers(size)
     sums = np.empty(len(data) + 1, _U)
     sums[0] = 0
     np.cumsum(_TABLES[nr][data] * power[: len(data)], out=sums[1:])
@@ -41,11 +45,15 @@ def _hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, nr: int) -> n
 class Words:
     """The words of texts: of word i, ``label[i]`` is its number among distinct words, ``doc[d]:doc[d+1]`` are the words of text d.
 
-    space: the bytes that part words. ``text(k)``: distinct word k. ``key``: a 64-bit number for each distinct word,
-    equal for equal words in any batch. ``sound``: a second hash agrees that equal numbers are equal words.
+    space: the bytes that part words. ``key``: a 64-bit number for each distinct word, equal for equal words in any
+    batch. ``sound``: a second hash agrees that equal numbers are equal words.
+
+    kind: for bytes, 0 or the kind of a plain word's byte; lead and not_after: the one first byte of two-byte letters
+    and second bytes that make none. A word of plain bytes alone is cut where the kind changes (``plain``), and with
+    fold words that differ in the case of A-Z are one.
     """
 
-    def __init__(self, texts: list[str], space: bytes) -> None:
+    def __init__(self, texts: list[str], space: bytes, kind: np.ndarray | None = None, lead: int = 0, not_after: tuple[int, ...] = (), fold: bool = False) -> None:
         raw = [t.encode("utf-8") for t in texts]
         self.data = b"\n".join(raw)
         buf = np.frombuffer(self.data + b"\n", np.uint8)
@@ -56,15 +64,34 @@ class Words:
         if not gap[0]:
             edge = np.concatenate([[0], edge])
         start, stop = edge[0::2], edge[1::2]
-        first, second = _hashes(buf, start, stop, 0), _hashes(buf, start, stop, 1)
+        plain = np.zeros(len(start), bool)
+        if kind is not None and len(start):
+            of = kind[buf]
+            odd = of == 0
+            odd &= ~gap
+            second = np.flatnonzero((buf >= 0x80) & (buf < 0xC0))
+            bad = buf[second - 1] != lead
+            for b in not_after:
+                bad |= buf[second] == b
+            odd[second[bad]] = True
+            plain = np.add.reduceat(odd, start, dtype=np.int32) == 0
+            cut = np.flatnonzero((of[1:] != of[:-1]) & ~gap[1:] & ~gap[:-1]) + 1
+            cut = cut[plain[np.searchsorted(start, cut, "right") - 1]]
+            order = np.argsort(np.concatenate([start, cut]), kind="stable")
+            plain = np.concatenate([plain, np.ones(len(cut), bool)])[order]
+            start, stop = np.concatenate([start, cut])[order], np.sort(np.concatenate([stop, cut]))
+        read = _LOWER[buf] if fold else buf
+        first, second = _hashes(read, start, stop, 0), _hashes(read, start, stop, 1)
         self.key, at, self.label = np.unique(first, return_index=True, return_inverse=True)
         self.sound = bool((second == second[at][self.label]).all())
-        self._start, self._stop = start[at], stop[at]
+        self.plain, self._start, self._stop = plain[at], start[at], stop[at]
         begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
         self.doc = np.searchsorted(start, begins)
 
     def __len__(self) -> int:
         return len(self.key)
 
-    def text(self, k: int) -> str:
-        return self.data[self._start[k] : self._stop[k]].decode("utf-8")
+    def raw(self, k: np.ndarray) -> list[bytes]:
+        """Distinct words k as UTF-8."""
+        data = self.data
+        return [data[i:j] for i, j in zip(self._start[k].tolist(), self._stop[k].tolist())]
