@@ -3,11 +3,12 @@
 1. Test items are cut into windows of consecutive words (a shorter item is one
    window); equal windows are one entry.
 2. The corpus frequency of every test term is counted.
-3. Each window is looked up by its rarest terms, so only postings of those
-   terms are stored: (term, document, position, the words around).
-4. Postings meet the windows of their term, are moved by the term's offset in
-   the window, and lists that agree on window, document and start intersect;
-   the words around the rarest term then confirm the whole phrase.
+3. Each window is looked up by its rarest term, so only postings of those terms
+   are stored: (term, document, position, the words around).
+4. Postings meet the windows of their term and are moved by the term's offset
+   in the window. The words around a posting are the other terms' postings next
+   to it, so their lists, each moved by its own offset, are intersected with the
+   rarest term's where it lies, the next rarest first, without a shuffle.
 5. Proximity matches are pairs of postings of two terms of one document within
    a distance.
 
@@ -29,11 +30,9 @@ from tessera.llm.common import EMPTY_SHA, ascii_lower, id_text, saved
 
 #: A word of the lower-cased text, and the same word before A-Z are lower-cased.
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RAW_TERM = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 #: Rows of benchmark windows up to which they are sent to all executors; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Rarest terms whose postings are intersected.
-LISTS = 2
 
 
 def raw_words(text: Column) -> Column:
@@ -61,7 +60,7 @@ def sent(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n) in the corpus of each row of terms (term); 0 where it never occurs."""
-    seen = docs.select(F.explode(raw_words(F.col("text"))).alias("word")).select(F.lower("word").alias("term"))
+    seen = docs.select(F.explode_outer(raw_words(F.col("text"))).alias("word")).select(F.lower("word").alias("term"))
     counts = seen.join(sent(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
     return terms.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -69,31 +68,29 @@ def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
     """(term, doc_id, version, pos from 1, first, around): around are the words from place first, reach on either side."""
     words = docs.select("doc_id", "version", raw_words(F.col("text")).alias("words"))
-    each = words.select("doc_id", "version", "words", F.posexplode("words").alias("at", "word"))
+    each = words.select("doc_id", "version", "words", F.posexplode_outer("words").alias("at", "word"))  # outer: else the words are made twice, for a filter on their number
     each = each.select("doc_id", "version", "words", (F.col("at") + 1).alias("pos"), F.lower("word").alias("term"))
     first = F.greatest(F.col("pos") - reach, F.lit(1))
     found = each.join(sent(terms.select("term")), "term")
     return found.select("term", "doc_id", "version", "pos", first.alias("first"), F.slice("words", first, F.col("pos") + reach + 1 - first).alias("around"))
 
 
-def anchors(wins: DataFrame, freq: DataFrame, lists: int = LISTS) -> DataFrame:
-    """(window, term, offset, nr, n_lists): the rarest terms of each distinct window, nr 0 the rarest."""
+def anchors(wins: DataFrame, freq: DataFrame) -> DataFrame:
+    """(window, term, offset, next_term, next_offset): the two rarest terms of each distinct window."""
     each = wins.select("window").distinct().select("window", F.posexplode("window").alias("offset", "word"))
     each = each.withColumn("term", F.lower("word")).join(freq, "term")
-    ranked = each.groupBy("window").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))), 1, lists).alias("best"))
-    return ranked.select("window", F.size("best").alias("n_lists"), F.posexplode("best").alias("nr", "a")).select("window", "n_lists", "nr", "a.term", "a.offset")
+    best = each.groupBy("window").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))), 1, 2).alias("best"))
+    last = F.element_at("best", -1)
+    return best.select("window", F.col("best")[0]["term"].alias("term"), F.col("best")[0]["offset"].alias("offset"), last["term"].alias("next_term"), last["offset"].alias("next_offset"))
 
 
 def phrase_matches(index: DataFrame, anchor: DataFrame) -> DataFrame:
     """(doc_id, version, start from 1, window): every exact occurrence of a window."""
-    near = index.join(sent(anchor), "term").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 1")
-    text = F.slice("around", F.col("start") - F.col("first") + 1, F.size("window"))
-    near = near.select("doc_id", "version", "start", "window", "n_lists", "nr", F.when(F.col("nr") == 0, text).alias("text"))
-    met = near.groupBy("doc_id", "version", "start", "window").agg(
-        F.first("n_lists").alias("n_lists"), F.bit_or(F.expr("shiftleft(1, nr)")).alias("lists"), F.first("text", ignorenulls=True).alias("text")
-    )
-    met = met.filter(F.expr("lists = shiftleft(1, n_lists) - 1"))
-    return met.filter(F.transform("text", ascii_lower) == F.col("window")).select("doc_id", "version", "start", "window")
+    near = index.join(sent(anchor), "term").withColumn("start", F.col("pos") - F.col("offset")).withColumn("shift", F.col("start") - F.col("first"))
+    near = near.filter((F.col("start") >= 1) & (F.col("shift") + F.size("window") <= F.size("around")))
+    near = near.filter(F.lower(F.get("around", F.col("shift") + F.col("next_offset"))) == F.col("next_term"))
+    text = F.slice("around", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("window"))  # filters may be tried in any order
+    return near.filter(F.transform(text, ascii_lower) == F.col("window")).select("doc_id", "version", "start", "window").distinct()
 
 
 def proximity_matches(index: DataFrame, pairs: DataFrame, distance: int) -> DataFrame:
