@@ -20,8 +20,9 @@ from collections.abc import Iterator
 import pandas as pd
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tessera.llm.common import id_text, pieces
+from tessera.llm.common import each_row, id_text
 
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 #: Characters after which a long text is cut at the next safe place.
@@ -61,12 +62,11 @@ def decode(enc: tiktoken.Encoding, ids: list[int]) -> bytes:
 def encoded(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str]) -> dict[str, list]:
         enc = encoding(rank_file, pattern)
-        for pdf in pieces(frames, "text"):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [encode(enc, t or "") for t in pdf["text"]]})
+        return {"ids": [encode(enc, t) for t in texts]}
 
-    return id_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>")
+    return each_row(id_text(docs, id_col, text_col), run, "ids array<int>")
 
 
 def decoded(tokens: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -75,23 +75,26 @@ def decoded(tokens: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(rank_file, pattern)
         for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "data": [decode(enc, [] if x is None else list(x)) for x in pdf["ids"]]})
+            data = [decode(enc, [] if x is None else list(x)) for x in pdf["ids"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "no_id": pdf["no_id"], "data": data})
 
-    return tokens.select(tokens[id_col].cast("long").alias("doc_id"), tokens[ids_col].cast("array<int>").alias("ids")).mapInPandas(run, "doc_id long, data binary")
+    key = tokens[id_col].cast("long")
+    rows = tokens.select(F.coalesce(key, F.lit(0)).alias("doc_id"), key.isNull().alias("no_id"), tokens[ids_col].cast("array<int>").alias("ids"))
+    out = rows.mapInPandas(run, "doc_id long, no_id boolean, data binary")
+    return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "data")
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes and sums up in one pass, without a shuffle."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str]) -> dict[str, list]:
         enc = encoding(rank_file, pattern)
-        for pdf in pieces(frames, "text"):
-            n, of_ids, of_bytes = [], [], []
-            for text in pdf["text"]:
-                ids = encode(enc, text or "")
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(decode(enc, ids)).hexdigest())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": n, "ids_sha256": of_ids, "decoded_sha256": of_bytes})
-
-    return id_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        n, of_ids, of_bytes = [], [], []
+        for text in texts:
+            ids = encode(enc, text)
+            n.append(len(ids))
+            of_ids.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            of_bytes.append(hashlib.sha256(decode(enc, ids)).hexdigest())
+        return {"n_tokens": n, "ids_sha256": of_ids, "decoded_sha256": of_bytes}
+
+    return each_row(id_text(docs, id_col, text_col), run, "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +56,24 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def each_row(rows: DataFrame, run: Callable[[list[str]], dict[str, list]], schema: str, chars: int = 4_000_000) -> DataFrame:
+    """rows (doc_id, ..., text) without text, with the columns that run makes of the texts (null: empty); one row each.
+
+    Ids travel without nulls, since pandas would turn a long column with a null into floats.
+    """
+    keep = [c for c in rows.columns if c != "text"]
+    sent = rows.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))
+
+    def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pieces(frames, "text", chars):
+            out = pdf[[*keep, "no_id"]].reset_index(drop=True)
+            yield out.assign(**run([t or "" for t in pdf["text"]]))
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    made = sent.mapInPandas(over, ", ".join([*(f"{c} {types[c]}" for c in keep), "no_id boolean", schema]))
+    return made.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
+
+
 def pieces(frames: Iterator[pd.DataFrame], column: str, chars: int = 4_000_000, rows: int = 4096) -> Iterator[pd.DataFrame]:
     """Cuts Arrow batches into frames of bounded text; one longer text is a frame of its own."""
     for pdf in frames:

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import lsh, repeats
-from tessera.llm.common import WORD, id_text, pieces, saved
+from tessera.llm.common import WORD, each_row, id_text, saved
 
 U = np.uint64
 _WORDS = re.compile(WORD).findall
@@ -69,14 +68,12 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     rule = sets(width, percent)
     rows = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("version"), "text")
 
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pieces(frames, "text", chars=1_000_000):
-            keys, sizes = shingles([t or "" for t in pdf["text"]], width)
-            ends = np.cumsum(sizes)
-            prints = [hashlib.blake2b(keys[i:j].tobytes(), digest_size=16).digest() for i, j in zip(ends - sizes, ends)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "version": pdf["version"], "n_shingles": sizes, "print": prints})
+    def measure(texts: list[str]) -> dict[str, list]:
+        keys, sizes = shingles(texts, width)
+        ends = np.cumsum(sizes)
+        return {"n_shingles": sizes, "print": [hashlib.blake2b(keys[i:j].tobytes(), digest_size=16).digest() for i, j in zip(ends - sizes, ends)]}
 
-    base = saved(rows.mapInPandas(measure, "doc_id long, version long, n_shingles long, print binary"), "measures")
+    base = saved(each_row(rows, measure, "n_shingles long, print binary", chars=1_000_000), "measures")
     nr = F.expr("cast(version & 2147483647 as int)")
     live = base.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).withColumn("e", F.struct(F.col("doc_id").alias("doc"), nr.alias("nr")))
     some = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())

@@ -20,14 +20,11 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections.abc import Iterator
-
 import ahocorasick
-import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import WORD, id_text, pieces
+from tessera.llm.common import WORD, each_row, id_text
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -94,19 +91,18 @@ def _loaded(model_file: str) -> tuple[Counter, dict[str, int]]:
 def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row; map-only."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str]) -> dict[str, list]:
         counter, cache = _loaded(model_file)
         find = re.compile(WORD).findall
-        for pdf in pieces(frames, "text"):
-            if len(cache) > CACHE:
-                cache.clear()
-            words, tokens = [], []
-            for text in pdf["text"]:
-                found = find(text or "")
-                for w in set(found).difference(cache):
-                    cache[w] = counter.count(MARK + w)
-                words.append(len(found))
-                tokens.append(sum(map(cache.__getitem__, found)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_words": words, "n_tokens": tokens})
-
-    return id_text(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_words long, n_tokens long")
+        if len(cache) > CACHE:
+            cache.clear()
+        words, tokens = [], []
+        for text in texts:
+            found = find(text)
+            for w in set(found).difference(cache):
+                cache[w] = counter.count(MARK + w)
+            words.append(len(found))
+            tokens.append(sum(map(cache.__getitem__, found)))
+        return {"n_words": words, "n_tokens": tokens}
+
+    return each_row(id_text(docs, id_col, text_col), run, "n_words long, n_tokens long")

@@ -129,12 +129,12 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col: str =
     """Writes shard, doc_id, n_tokens, ids: one sorted run of documents per file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pdf in pieces((b.to_pandas() for b in batches), "text", chars=2_000_000):
+        for pdf in pieces((b.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get) for b in batches), "text", chars=2_000_000):
             ids, ends = encoder(tokenizer).encode(pdf["text"].tolist())
             ids = np.insert(ids.astype(np.int32), ends[1:], end_id)
             ends = (ends + np.arange(len(ends))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pdf["shard"], pa.int32()), pa.array(pdf["doc_id"].astype("Int64"), pa.int64()), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))],
+                [pa.array(pdf["shard"], pa.int32()), pa.array(pdf["doc_id"], pa.int64()), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))],
                 names=["shard", "doc_id", "n_tokens", "ids"],
             )
 
