@@ -38,16 +38,21 @@ from tessera.llm.components import components
 U = np.uint64
 ELEMENT = "struct<doc:bigint,nr:int>"
 #: Bins of a sketch, entries of a bucket, members of a hub that one task takes, elements of a block.
-BINS, BUCKET, SALT, BLOCK = 128, 2_000_000, 4096, 1024
+BINS, BUCKET, SALT, BLOCK = 128, 1_000_000, 4096, 1024
 
 
 @dataclass(frozen=True)
 class Sets:
-    """keys(texts): (keys of all texts, how many each has), distinct within a text. link(i, a, b): whether sizes link."""
+    """keys(texts): (keys of all texts, how many each has), distinct within a text; loose: the same with repeats.
+
+    link(i, a, b): whether an intersection of i and sets of a and b link. A sketch has bands of rows places.
+    """
 
     keys: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+    loose: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
     link: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
     rows: int
+    bands: int
 
 
 def sketch(keys: np.ndarray, sizes: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -71,10 +76,9 @@ def sketch(keys: np.ndarray, sizes: np.ndarray, bins: int = BINS) -> np.ndarray:
     return np.where(have.any(axis=1)[:, None], (out ^ (out >> 15)) & 0xFFFF, 0).astype(np.uint16)
 
 
-def bands(sketches: np.ndarray, rows: int) -> np.ndarray:
+def bands(sketches: np.ndarray, rows: int, count: int) -> np.ndarray:
     """48-bit band keys, one row per set."""
-    n, bins = sketches.shape
-    count = bins // rows
+    n = len(sketches)
     parts = sketches[:, : count * rows].reshape(n, count, rows).astype(U)
     key = np.zeros((n, count), U)
     for i in range(rows):
@@ -101,13 +105,13 @@ def requests(elements: DataFrame, sets: Sets, bits: int) -> DataFrame:
         held, n = [], 0
         for pdf in pieces(frames, "text", chars=1_000_000):
             pdf = pdf.drop_duplicates("text")
-            keys, sizes = sets.keys(pdf["text"].tolist())
+            keys, sizes = sets.loose(pdf["text"].tolist())
             some = np.flatnonzero(sizes > 0)
             if not len(some):
                 continue
             ends = np.cumsum(sizes)
             tag = np.add.reduceat(repeats.mixed(keys), (ends - sizes)[some]) >> U(32)
-            key = bands(sketch(keys, sizes[some]), sets.rows)
+            key = bands(sketch(keys, sizes[some]), sets.rows, sets.bands)
             count = key.shape[1]
             held.append((key.ravel(), np.repeat(pdf["doc"].to_numpy(np.int64)[some], count), np.repeat(pdf["nr"].to_numpy(np.int64)[some], count), np.repeat(tag, count)))
             n += key.size
@@ -213,7 +217,7 @@ def across(rooted: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
     live = rooted.join(_open(rooted).select("band"), "band", "left_semi")
     wanted = texts.join(live.select("e").distinct(), "e", "left_semi").select("e.doc", "e.nr", "text")
     drawn = wanted.mapInPandas(sketches, "doc long, nr int, size int, sketch binary")
-    live = live.select("band", "e.doc", "e.nr", F.hash("root").alias("root")).join(drawn, ["doc", "nr"])
+    live = live.select("band", "e.doc", "e.nr", F.xxhash64("root").alias("root")).join(drawn, ["doc", "nr"])
     counts = live.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     live = live.join(counts, "band").withColumn("own", F.pmod(F.hash("doc", "nr"), F.col("blocks")).cast("int"))
     # block pair (i, j), i <= j: an element of block k goes to (k, k..) as left and to (..k, k) as right
@@ -224,7 +228,7 @@ def across(rooted: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
         left = pdf[pdf["own"] == pdf["i"]]
         right = left if pdf["i"].iat[0] == pdf["j"].iat[0] else pdf[pdf["own"] == pdf["j"]]
         a, b = (np.frombuffer(b"".join(x["sketch"]), np.uint16).reshape(len(x), BINS) for x in (left, right))
-        bands_a, bands_b = bands(a, sets.rows), bands(b, sets.rows)
+        bands_a, bands_b = bands(a, sets.rows, sets.bands), bands(b, sets.rows, sets.bands)
         key = lambda x: list(zip(x["doc"], x["nr"]))
         ids_a, ids_b = key(left), key(right)
         size_b, root_b = right["size"].to_numpy(), right["root"].to_numpy()
@@ -259,13 +263,13 @@ def across(rooted: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
     return out.select(F.struct(F.col("a_doc").alias("doc"), F.col("a_nr").alias("nr")).alias("a"), F.struct(F.col("b_doc").alias("doc"), F.col("b_nr").alias("nr")).alias("b"))
 
 
-def linked(elements: DataFrame, sets: Sets, texts_of: Callable[[DataFrame], DataFrame], chars: int) -> tuple[DataFrame, DataFrame]:
+def linked(elements: DataFrame, sets: Sets, texts_of: Callable[[DataFrame], DataFrame], entries: int) -> tuple[DataFrame, DataFrame]:
     """((node, root) of linked elements, (a, b) confirmed links). elements: (doc, nr, text).
 
-    texts_of(ids (e)): (e, text) of those elements. chars: characters of all texts, for the number of buckets.
+    texts_of(ids (e)): (e, text) of those elements. entries: about how many elements there are, for the number of buckets.
     """
     bits = 4
-    while chars / 40 * (BINS // sets.rows) / 16 / (1 << bits) > BUCKET:
+    while entries * sets.bands / (1 << bits) > BUCKET:
         bits += 1
     listed = saved(members(requests(elements, sets, bits)), "bands")
     texts = saved(texts_of(listed.select("e").distinct()), "texts")

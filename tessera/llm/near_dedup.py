@@ -60,7 +60,10 @@ def sets(width: int, percent: int) -> lsh.Sets:
     def link(same, a, b):
         return 100 * same >= percent * (a + b - same)
 
-    return lsh.Sets(lambda texts: shingles(texts, width), link, ROWS)
+    def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return shingles(texts, width)
+
+    return lsh.Sets(keys, keys, link, ROWS, lsh.BINS // ROWS)
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,13 +81,12 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     live = base.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).withColumn("e", F.struct(F.col("doc_id").alias("doc"), nr.alias("nr")))
     some = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     elements = some.select(F.col("doc_id").alias("doc"), nr.alias("nr"), "text")
-    total = some.agg(F.sum(F.length("text"))).first()[0] or 0
 
     def texts_of(ids: DataFrame) -> DataFrame:
         near = repeats.filtered(some, ids.select(F.col("e.doc").alias("doc_id")).distinct())
         return near.withColumn("e", F.struct(F.col("doc_id").alias("doc"), nr.alias("nr"))).join(ids, "e", "left_semi").select("e", "text").dropDuplicates(["e"])
 
-    roots, _ = lsh.linked(elements, rule, texts_of, total)
+    roots, _ = lsh.linked(elements, rule, texts_of, base.count())
     # every class of equal sets hangs together: its least member stands for it, and edges join what its members have
     classes = live.groupBy("print").agg(F.min("e").alias("least"))
     of = live.select("e", "print").distinct().join(roots.withColumnRenamed("node", "e"), "e")
