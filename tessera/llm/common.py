@@ -56,10 +56,10 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def each_row(rows: DataFrame, run: Callable[[list[str]], dict[str, list]], schema: str, chars: int = 4_000_000) -> DataFrame:
+def each_row(rows: DataFrame, run: Callable[..., dict[str, list]], schema: str, chars: int = 4_000_000, frame: bool = False) -> DataFrame:
     """rows (doc_id, ..., text) without text, with the columns that run makes of the texts (null: empty); one row each.
 
-    Ids travel without nulls, since pandas would turn a long column with a null into floats.
+    With frame, run gets the whole frame and the texts may be null. Ids travel without nulls, since pandas would turn a long column with a null into floats.
     """
     keep = [c for c in rows.columns if c != "text"]
     sent = rows.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))
@@ -67,7 +67,7 @@ def each_row(rows: DataFrame, run: Callable[[list[str]], dict[str, list]], schem
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pieces(frames, "text", chars):
             out = pdf[[*keep, "no_id"]].reset_index(drop=True)
-            yield out.assign(**run([t or "" for t in pdf["text"]]))
+            yield out.assign(**run(pdf if frame else [t or "" for t in pdf["text"]]))
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     made = sent.mapInPandas(over, ", ".join([*(f"{c} {types[c]}" for c in keep), "no_id boolean", schema]))

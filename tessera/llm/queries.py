@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, decontaminate, knn, line_dedup, near_dedup, suffix_array, suffix_tree, token_count, token_files
+from tessera.llm import byte_bpe, decontaminate, knn, line_dedup, near_dedup, quality, suffix_array, suffix_tree, token_count, token_files
 from tessera.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("version")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
@@ -46,5 +50,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents"), width=8, percent=80).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_token_counts, op4_knn, op6_decontamination, op7_token_files, op8_byte_bpe, op9_suffix_array_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_token_counts, op4_knn, op5_quality, op6_decontamination, op7_token_files, op8_byte_bpe, op9_suffix_array_dedup, op10_line_dedup)}
 ORACLE_SQL = {"op1_substring_dedup": suffix_tree.SQL, "op2_minhash_dedup": near_dedup.SQL, "op4_knn": knn.SQL, "op6_decontamination": decontaminate.SQL, "op9_suffix_array_dedup": suffix_array.SQL}
