@@ -8,16 +8,17 @@ A *run* is a stretch of neighbouring windows with one anchor.
 
 1. ``requests``: each batch of documents sends its anchors, sorted and packed,
    to buckets by hash; an anchor that several documents of the batch have is
-   sent once.
-2. ``answers``: a bucket finds the anchors of two or more documents and names
-   the runs that have them. All other text is settled: none of its windows
-   occurs elsewhere.
-3. ``candidates``: the documents so named, with their runs, as a written table.
-4. ``run_pieces``: the text of those runs. Runs with equal text are one class;
-   all but its least document's are covered. One row per class and batch goes on.
-5. ``settle``: classes are grouped by anchor in memory-sized groups, and the
-   caller's kernel (suffix tree, suffix array) finds equal windows in a group.
-   An anchor with very many classes is split further, by whole windows.
+   sent once. ``answers``: a bucket finds the anchors of two or more documents
+   and names the runs that have them. All other text is settled: none of its
+   windows occurs elsewhere.
+2. ``candidates``: the documents so named, with their runs, as a written table.
+3. ``verdicts``: their runs' fingerprints go to buckets by anchor. Runs with
+   equal text are one class; all but its least document's are covered. The
+   least document's runs are open if the anchor has other classes, else free.
+4. ``settle``: the text of open runs is grouped by anchor in memory-sized
+   groups, and the caller's kernel (suffix tree, suffix array) finds equal
+   windows in a group. An anchor with very many classes is split further, by
+   whole windows.
 
 The least document that has a window keeps it: a window is removed where a
 smaller document id has it too. Documents are told apart by id and text hash,
@@ -43,9 +44,9 @@ BASE = U(0x9E3779B97F4A7C15)
 #: Windows of a run at most; a longer one is several runs.
 RUN = 2000
 #: Characters of text for which one batch of anchors is sent.
-BATCH_CHARS = 48_000_000
+BATCH_CHARS = 12_000_000
 #: Anchors in a bucket, and classes of runs in a group that one task holds.
-BUCKET, GROUP = 2_000_000, 100_000
+BUCKET, GROUP = 500_000, 100_000
 #: Bytes of text of the whole anchor groups that one kernel call takes, unless one group alone has more.
 GROUP_BYTES = 6_000_000
 #: Bits of the filter on document ids: 4 MB at most.
@@ -54,12 +55,13 @@ FILTER_BITS = 25
 
 @dataclass(frozen=True)
 class Alphabet:
-    """symbols: hashed symbols of a text (uint64). cut: the text of symbols i..j, as bytes."""
+    """symbols: hashed symbols of a text (uint64). cut: the text of symbols i..j, as bytes. chunk: characters held at once."""
 
     symbols: Callable[[str], tuple[np.ndarray, object]]
     cut: Callable[[object, int, int], bytes]
     width: int
     gram: int
+    chunk: int
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -195,15 +197,15 @@ def requests(docs: DataFrame, alphabet: Alphabet, bits: int) -> DataFrame:
         bucket = (key >> U(48 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
         ends = np.append(_bounds(bucket), len(key))
         blobs = [pack(key[i:j], doc[i:j], nr[i:j]) for i, j in zip(ends[:-1], ends[1:])]
-        yield pd.DataFrame({"bucket": bucket[ends[:-1]], "data": blobs, "doc_id": None, "nrs": None})
+        yield pd.DataFrame({"bucket": bucket[ends[:-1]], "data": blobs, "doc_id": 0, "nrs": None})  # no null ids: pandas would make them floats
         if d:
             yield pd.DataFrame({"bucket": [hash(x) % (1 << bits) for x in d], "data": None, "doc_id": d, "nrs": n})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, chars = [], 0
-        for pdf in pieces(frames, "text"):
+        for pdf in pieces(frames, "text", alphabet.chunk):
             ids = pdf["doc_id"].to_numpy(np.int64)
-            sym, doc, begin, _ = laid_out(alphabet, pdf["text"].tolist())
+            sym, doc, _, _ = laid_out(alphabet, pdf["text"].tolist())
             at, _, key = runs(sym, doc, alphabet.width, alphabet.gram)
             own = doc[at]
             if len(at):
@@ -219,7 +221,7 @@ def requests(docs: DataFrame, alphabet: Alphabet, bits: int) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
-def answers(asked: DataFrame) -> DataFrame:
+def answers(asked: DataFrame, bits: int) -> DataFrame:
     """(doc_id, nrs): for each document the runs whose anchor another document may have."""
 
     def shared(blobs: list[bytes]) -> pd.DataFrame | None:
@@ -239,7 +241,7 @@ def answers(asked: DataFrame) -> DataFrame:
         for pdf in frames:
             known = pdf[pdf["data"].isna()]
             if len(known):
-                yield pd.DataFrame({"doc_id": known["doc_id"].astype("int64"), "nrs": known["nrs"]})
+                yield known[["doc_id", "nrs"]]
             for b, data in zip(pdf["bucket"], pdf["data"]):
                 if data is None:
                     continue
@@ -252,7 +254,7 @@ def answers(asked: DataFrame) -> DataFrame:
         if blobs and (out := shared(blobs)) is not None:
             yield out
 
-    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "doc_id long, nrs array<int>")
+    return asked.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInPandas(run, "doc_id long, nrs array<int>")
 
 
 def filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -276,52 +278,146 @@ def candidates(rows: DataFrame, alphabet: Alphabet) -> DataFrame:
     """(doc_id, version, text, nrs) of the documents with runs to settle, as a written table."""
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(4, math.ceil(math.log2(max(1, total * 2 / (alphabet.width - alphabet.gram + 2) / BUCKET))))
-    named = saved(answers(requests(rows, alphabet, min(bits, 30))), "answers")
+    named = saved(answers(requests(rows, alphabet, bits), bits), "answers")
     by_doc = named.groupBy("doc_id").agg(F.flatten(F.collect_list("nrs")).alias("nrs"))
-    return saved(filtered(rows, named).join(by_doc, "doc_id").select("doc_id", "version", "text", "nrs"), "candidates")
+    # merge: what names documents grows with them, so it is never broadcast
+    return saved(filtered(rows, named).join(by_doc.hint("merge"), "doc_id").select("doc_id", "version", "text", "nrs"), "candidates")
 
 
 # ---- classes of runs
 
+
+def named_runs(alphabet: Alphabet, texts: list[str], named: list) -> tuple[np.ndarray, ...]:
+    """(document, run number, first window, windows, anchor, fingerprint) of the named runs of each text, and what cut needs."""
+    sym, doc, begin, kept = laid_out(alphabet, texts)
+    at, size, key = runs(sym, doc, alphabet.width, alphabet.gram)
+    own = doc[at]
+    edge = np.searchsorted(own, np.arange(len(texts) + 1))
+    take = np.zeros(len(at), bool)
+    for i, nrs in enumerate(named):
+        nrs = np.asarray(nrs, np.int64) + edge[i]
+        take[nrs[nrs < edge[i + 1]]] = True
+    nr = (np.arange(len(at)) - edge[own])[take]
+    at, size, key, own = at[take], size[take], key[take], own[take]
+    power = np.concatenate([[U(1)], np.cumprod(np.full(len(sym), BASE))])
+    back = np.concatenate([[U(1)], np.cumprod(np.full(len(sym), U(pow(int(BASE), -1, 1 << 64))))])
+    sums = np.concatenate([[U(0)], np.cumsum(sym * power[:-1])])
+    stop = at + size + (alphabet.width - 1)
+    fp = mixed((sums[stop] - sums[at]) * back[at] + size.astype(U))
+    return own, nr, at - begin[own], size, key, fp, kept
+
+
+def spans_in(alphabet: Alphabet, texts: list[str], named: list) -> list[list[tuple[int, int]]]:
+    """Spans of symbols of the named runs of each text."""
+    own, _, start, size, _, _, _ = named_runs(alphabet, texts, named)
+    edge = np.searchsorted(own, np.arange(len(texts) + 1))
+    both = list(zip(start.tolist(), (start + size + (alphabet.width - 1)).tolist()))
+    return [both[i:j] for i, j in zip(edge[:-1], edge[1:])]
+
+
+VERDICTS = "doc_id long, version long, covered array<int>, open array<int>"
+
+
+def _verdict_rows(ids: np.ndarray, version: np.ndarray, nr: np.ndarray, is_open: np.ndarray) -> pd.DataFrame:
+    order = np.lexsort((nr, version, ids))
+    ids, version, nr, is_open = ids[order], version[order], nr[order].astype(np.int32), is_open[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (version[1:] != version[:-1])
+    at = np.flatnonzero(new)
+    parts = list(zip(np.split(nr, at[1:]), np.split(is_open, at[1:]))) if len(at) else []
+    return pd.DataFrame({"doc_id": ids[at], "version": version[at], "covered": [n[~o].tolist() for n, o in parts], "open": [n[o].tolist() for n, o in parts]})
+
+
+def _classes(key: np.ndarray, fp: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by key, fp, id: the class' least id; whether the key has several classes."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    at = _bounds(key)
+    several = np.repeat(np.add.reduceat(new, at, dtype=np.int64) > 1, np.diff(np.append(at, len(key)))) if len(at) else np.zeros(0, bool)
+    return ids[head], several
+
+
+_ENTRY = np.dtype([("key", "<u8"), ("fp", "<u8"), ("doc", "<u4"), ("nr", "<u4")])
+
+
+def verdicts(near: DataFrame, alphabet: Alphabet, bits: int) -> DataFrame:
+    """VERDICTS of the candidates' runs; a document is in several rows."""
+    schema = f"bucket int, data binary, docs binary, {VERDICTS}"
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pieces(frames, "text", alphabet.chunk):
+            ids, version = pdf["doc_id"].to_numpy(np.int64), pdf["version"].to_numpy(np.int64)
+            own, nr, _, _, key, fp, _ = named_runs(alphabet, pdf["text"].tolist(), pdf["nrs"].tolist())
+            if not len(own):
+                continue
+            order = np.lexsort((ids[own], fp, key))
+            own, nr, key, fp = own[order], nr[order], key[order], fp[order]
+            least, _ = _classes(key, fp, ids[own])
+            go = ids[own] == least
+            known = _verdict_rows(ids[own[~go]], version[own[~go]], nr[~go], np.zeros(int((~go).sum()), bool))
+            if len(known):
+                yield known.assign(bucket=[hash(x) % (1 << bits) for x in known["doc_id"]], data=None, docs=None)
+            own, nr, key, fp = own[go], nr[go], key[go], fp[go]
+            bucket = (key >> U(64 - bits)).astype(np.int64)
+            ends = np.append(_bounds(bucket), len(key))
+            rows = []
+            for i, j in zip(ends[:-1], ends[1:]):
+                docs, local = np.unique(own[i:j], return_inverse=True)
+                entry = np.empty(j - i, _ENTRY)
+                entry["key"], entry["fp"], entry["doc"], entry["nr"] = key[i:j], fp[i:j], local, nr[i:j]
+                rows.append((int(bucket[i]), entry.tobytes(), np.stack([ids[docs], version[docs]]).tobytes()))
+            yield pd.DataFrame(rows, columns=["bucket", "data", "docs"]).assign(doc_id=0, version=0, covered=None, open=None)
+
+    def judged(held: list[tuple[bytes, bytes]]) -> pd.DataFrame:
+        parts, ids, version = [], [], []
+        for data, docs in held:
+            entry, table_ = np.frombuffer(data, _ENTRY), np.frombuffer(docs, np.int64).reshape(2, -1)
+            parts.append(entry)
+            ids.append(table_[0][entry["doc"]])
+            version.append(table_[1][entry["doc"]])
+        entry, ids, version = np.concatenate(parts), np.concatenate(ids), np.concatenate(version)
+        order = np.lexsort((ids, entry["fp"], entry["key"]))
+        entry, ids, version = entry[order], ids[order], version[order]
+        least, several = _classes(entry["key"], entry["fp"], ids)
+        take = (ids > least) | several
+        return _verdict_rows(ids[take], version[take], entry["nr"][take].astype(np.int64), (ids == least)[take])
+
+    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, held = None, []
+        for pdf in frames:
+            known = pdf[pdf["data"].isna()]
+            if len(known):
+                yield known[["doc_id", "version", "covered", "open"]]
+            for b, data, docs in zip(pdf["bucket"], pdf["data"], pdf["docs"]):
+                if data is None:
+                    continue
+                if b != bucket and held:
+                    if len(out := judged(held)):
+                        yield out
+                    held = []
+                bucket = b
+                held.append((data, docs))
+        if held and len(out := judged(held)):
+            yield out
+
+    return near.mapInPandas(ask, schema).repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInPandas(answer, VERDICTS)
+
+
 PIECES = "key long, fp long, doc_id long, version long, start int, n int, piece binary"
 
 
 def run_pieces(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """Rows of PIECES: one per class of equal runs and batch, and, without a piece, a row for each run that is covered."""
+    """Rows of PIECES for the open runs of docs (doc_id, version, text, open)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pieces(frames, "text"):
-            ids, version, named = pdf["doc_id"].to_numpy(np.int64), pdf["version"].to_numpy(np.int64), pdf["nrs"].tolist()
-            sym, doc, begin, kept = laid_out(alphabet, pdf["text"].tolist())
-            at, size, key = runs(sym, doc, alphabet.width, alphabet.gram)
-            if not len(at):
-                continue
-            own = doc[at]
-            edge = np.searchsorted(own, np.arange(len(ids) + 1))
-            take = np.zeros(len(at), bool)
-            for i, nrs in enumerate(named):
-                nrs = np.asarray(nrs, np.int64) + edge[i]
-                take[nrs[nrs < edge[i + 1]]] = True
-            at, size, key, own = at[take], size[take], key[take], own[take]
-            power = np.concatenate([[U(1)], np.cumprod(np.full(len(sym), BASE))])
-            back = np.concatenate([[U(1)], np.cumprod(np.full(len(sym), U(pow(int(BASE), -1, 1 << 64))))])
-            sums = np.concatenate([[U(0)], np.cumsum(sym * power[:-1])])
-            stop = at + size + (alphabet.width - 1)
-            fp = mixed((sums[stop] - sums[at]) * back[at] + size.astype(U))
-            order = np.lexsort((ids[own], fp, key))
-            at, size, key, own, fp, stop = (x[order] for x in (at, size, key, own, fp, stop))
-            new = np.ones(len(at), bool)
-            new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
-            head = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-            least = ids[own][head]
-            cover, go = ids[own] > least, ids[own] == least
-            begins = at - begin[own]
-            for mask, with_piece in ((cover, False), (go, True)):
-                i = np.flatnonzero(mask)
-                for lo in range(0, len(i), 20_000):
-                    j = i[lo : lo + 20_000]
-                    data = [alphabet.cut(kept[o], s, s + m) for o, s, m in zip(own[j], begins[j], (stop - at)[j])] if with_piece else None
-                    yield pd.DataFrame({"key": key[j].view(np.int64), "fp": fp[j].view(np.int64), "doc_id": ids[own[j]], "version": version[own[j]], "start": begins[j], "n": size[j], "piece": data})
+        for pdf in pieces(frames, "text", alphabet.chunk):
+            ids, version = pdf["doc_id"].to_numpy(np.int64), pdf["version"].to_numpy(np.int64)
+            own, _, start, size, key, fp, kept = named_runs(alphabet, pdf["text"].tolist(), pdf["open"].tolist())
+            for lo in range(0, len(own), 20_000):
+                o, s, n = own[lo : lo + 20_000], start[lo : lo + 20_000], size[lo : lo + 20_000]
+                data = [alphabet.cut(kept[d], a, a + m + alphabet.width - 1) for d, a, m in zip(o, s, n)]
+                yield pd.DataFrame({"key": key[lo : lo + 20_000].view(np.int64), "fp": fp[lo : lo + 20_000].view(np.int64), "doc_id": ids[o], "version": version[o], "start": s, "n": n, "piece": data})
 
     return docs.mapInPandas(run, PIECES)
 
@@ -347,6 +443,8 @@ def covered_windows(group: pd.DataFrame, equal: Callable[[list[bytes]], tuple[np
     if not len(first):
         return
     piece, place, label = equal([group["piece"].iat[i] for i in first])
+    if not len(label):
+        return
     owner = doc[first][piece]
     order = np.argsort(label, kind="stable")
     at = _bounds(label[order])
@@ -379,14 +477,12 @@ def spans_of(piece: np.ndarray, place: np.ndarray) -> pd.DataFrame:
 SPANS = "doc_id long, version long, start int, stop int"
 
 
-def settle(found: DataFrame, equal, windows_of, width: int, group_rows: int = GROUP) -> DataFrame:
-    """(doc_id, version, start, stop) of all covered spans, from the written rows of run_pieces.
+def settle(live: DataFrame, equal, windows_of, width: int, group_rows: int = GROUP) -> DataFrame:
+    """(doc_id, version, start, stop) of all covered spans of open runs, from the written rows of run_pieces.
 
     windows_of(piece): the bytes of each window of a piece, for anchors with more than group_rows classes; those
     are split by whole windows, each of which needs only its least document.
     """
-    done = found.filter(F.col("piece").isNull()).select("doc_id", "version", "start", (F.col("start") + F.col("n") + (width - 1)).alias("stop"))
-    live = found.filter(F.col("piece").isNotNull())
     heavy = saved(live.groupBy("key").count().filter(F.col("count") > group_rows).select("key"), "heavy")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -425,14 +521,14 @@ def settle(found: DataFrame, equal, windows_of, width: int, group_rows: int = GR
         each = each.withColumn("h1", F.xxhash64("window")).withColumn("h2", F.xxhash64("window", F.lit(1))).drop("window")
         least = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
         split = each.join(least, ["h1", "h2"]).filter("doc_id > least").select("doc_id", "version", "start", (F.col("start") + width).alias("stop"))
-    spans = done.union(light.repartition("key").sortWithinPartitions("key").mapInPandas(run, SPANS))
+    spans = light.repartition("key").sortWithinPartitions("key").mapInPandas(run, SPANS)
     return spans.union(split) if split is not None else spans
 
 
-def merged(spans: list) -> list[tuple[int, int]]:
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal spans of a document, sorted."""
     out: list[list[int]] = []
-    for a, b in sorted((s["start"], s["stop"]) for s in spans):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -440,8 +536,22 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def covered(rows: DataFrame, alphabet: Alphabet, equal, windows_of, group_rows: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """(documents with candidates, their covered spans by document)."""
+def covered(rows: DataFrame, alphabet: Alphabet, equal, windows_of, group_rows: int = GROUP) -> DataFrame:
+    """(doc_id, version, text, covered, spans) of the documents with covered text: numbers of runs, and further spans of symbols."""
+    key = ["doc_id", "version"]
     near = candidates(rows, alphabet)
-    spans = settle(saved(run_pieces(near, alphabet), "pieces"), equal, windows_of, alphabet.width, group_rows)
-    return near, spans.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    n = near.agg(F.sum(F.size("nrs"))).first()[0] or 0
+    judged = verdicts(near, alphabet, max(4, math.ceil(math.log2(max(1, n / (4 * BUCKET))))))
+    judged = saved(judged.groupBy(*key).agg(F.flatten(F.collect_list("covered")).alias("covered"), F.flatten(F.collect_list("open")).alias("open")), "verdicts")
+    is_open = judged.filter(F.size("open") > 0).select(*key, "open")
+    unsettled = filtered(near, is_open).join(is_open.hint("merge"), key).select(*key, "text", "open")
+    spans = settle(saved(run_pieces(unsettled, alphabet), "pieces"), equal, windows_of, alphabet.width, group_rows)
+    by_doc = spans.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    found = judged.select(*key, "covered").join(by_doc, key, "left").filter((F.size("covered") > 0) | F.col("spans").isNotNull())
+    return near.select(*key, "text").dropDuplicates(key).join(found.hint("merge"), key).select(*key, "text", "covered", "spans")
+
+
+def removed(alphabet: Alphabet, pdf: pd.DataFrame) -> list[list[tuple[int, int]]]:
+    """Maximal removed spans of each row of a frame of covered()."""
+    whole = spans_in(alphabet, pdf["text"].tolist(), pdf["covered"].tolist())
+    return [merged([*a, *((x["start"], x["stop"]) for x in (b if b is not None else ()))]) for a, b in zip(whole, pdf["spans"])]

@@ -36,6 +36,8 @@ from tessera.llm.common import pieces
 WIDTH, ANCHOR = 50, 24
 #: Bytes of a trigger, and the modulus of its hash: phrases have about as many bytes.
 TRIGGER, MODULUS = 6, 16
+#: Symbols (at most 256, so 9 bits each) compared at once.
+PACK = 6
 #: A fixed random number for each byte and, first, for a text's end.
 _TABLE = np.random.default_rng(7).integers(1, 2**63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -50,14 +52,28 @@ def _cut(data: bytes, i: int, j: int) -> bytes:
 
 
 def alphabet(width: int) -> repeats.Alphabet:
-    return repeats.Alphabet(_symbols, _cut, width, min(ANCHOR, width))
+    return repeats.Alphabet(_symbols, _cut, width, min(ANCHOR, width), 500_000)
 
 
-def _sorted_suffixes(symbols: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Rank, from 1, of each suffix symbols[i:stop[i]]; equal suffixes have equal ranks. By doubling."""
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
+def _packed(symbols: np.ndarray, stop: np.ndarray | None = None) -> np.ndarray:
+    """PACK symbols from each place on as one number; 0 after stop."""
+    out = np.zeros(len(symbols), np.int64)
     here = np.arange(len(symbols))
-    longest, size = int((stop - here).max(initial=0)), 1
+    for i in range(PACK):
+        out *= 512
+        out[: len(symbols) - i] += symbols[i:] + 1
+        if stop is not None:
+            late = np.flatnonzero(here + i >= stop)
+            late = late[late < len(symbols) - i]
+            out[late] -= symbols[late + i] + 1
+    return out
+
+
+def _sorted_suffixes(symbols: np.ndarray, stop: np.ndarray, depth: int, packed: bool) -> np.ndarray:
+    """Rank, from 1, of each suffix symbols[i:stop[i]] by its first depth symbols at least; equal ones have equal ranks. By doubling."""
+    rank = np.unique(_packed(symbols, stop) if packed else symbols, return_inverse=True)[1].astype(np.int64) + 1
+    here, size = np.arange(len(symbols)), PACK if packed else 1
+    longest = min(depth, int((stop - here).max(initial=0)))
     while size < longest:
         on = here + size
         after = np.where(on < stop, rank[np.minimum(on, len(rank) - 1)], 0)
@@ -92,19 +108,22 @@ def parsed(texts: list[bytes], trigger: int = TRIGGER, modulus: int = MODULUS):
     return symbols, owner, begin, stop, last, ids, sample
 
 
-def corpus_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, text of each place, rank by what is left of the phrase, rank by the phrases that follow)."""
+def corpus_order(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, text of each place, rank by what is left of the phrase, rank by the phrases that follow).
+
+    The order of the suffixes by their first depth symbols at least.
+    """
     symbols, owner, begin, stop, last, ids, sample = parsed(texts)
     # dictionary: every distinct phrase once
     size = (stop - begin)[sample]
     base = np.cumsum(size) - size
     source = np.repeat(begin[sample] - base, size) + np.arange(size.sum())
-    rank = _sorted_suffixes(symbols[source], np.repeat(base + size, size))
+    rank = _sorted_suffixes(symbols[source], np.repeat(base + size, size), depth, True)
     # parse: a phrase by its rank in the dictionary
     phrase = rank[base[ids]]
     after_last = np.flatnonzero(last) + 1
     ends = np.repeat(after_last, np.diff(np.concatenate([[0], after_last])))
-    parse = _sorted_suffixes(phrase, ends)
+    parse = _sorted_suffixes(phrase, ends, depth, False)
     here = np.arange(len(symbols))
     nr = np.searchsorted(begin, here, "right") - 1
     left = rank[base[ids[nr]] + here - begin[nr]]
@@ -112,21 +131,49 @@ def corpus_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return symbols, owner, left, follow
 
 
+def _repeated(texts: list[bytes], width: int) -> np.ndarray:
+    """Numbers of the texts with a window whose hash another place has too; no others have equal windows."""
+    sizes = np.array([len(t) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    hashed = _TABLE[np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + 1]
+    if len(hashed) < width:
+        return np.empty(0, np.int64)
+    inside = np.flatnonzero(owner[: len(owner) - width + 1] == owner[width - 1 :])
+    windows = repeats.grams(hashed, width)[inside]
+    order = np.argsort(windows)
+    windows = windows[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = windows[1:] == windows[:-1]
+    same[:-1] |= same[1:]
+    return np.unique(owner[inside[order[same]]])
+
+
 def equal_windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, class) of each window of width bytes in texts that have any in common."""
+    some = _repeated(texts, width)
+    if not len(some):
+        return some, some, some
+    text, place, label = _equal_windows([texts[i] for i in some], width)
+    return some[text], place, label
+
+
+def _equal_windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, place, class) of each window of width bytes."""
-    symbols, owner, left, follow = corpus_order(texts)
+    symbols, owner, left, follow = corpus_order(texts, width)
     sizes = np.array([len(t) for t in texts])
     place = np.arange(len(symbols)) - (np.cumsum(sizes + 1) - sizes - 1)[owner]
     at = np.flatnonzero(place + width <= sizes[owner])
-    at = at[np.lexsort((follow[at], left[at]))]
+    at = at[np.argsort(left[at] * (follow.max(initial=0) + 1) + follow[at], kind="stable")]
     same = np.ones(max(len(at) - 1, 0), bool)
-    for i in range(width):
+    several = _packed(symbols)
+    for i in [*range(0, width - PACK, PACK), width - PACK] if width >= PACK else range(width):
         todo = np.flatnonzero(same)
-        same[todo] = symbols[at[todo] + i] == symbols[at[todo + 1] + i]
+        a, b = at[todo] + i, at[todo + 1] + i
+        same[todo] = several[a] == several[b] if width >= PACK else symbols[a] == symbols[b]
     return owner[at], place[at], np.concatenate([[0], np.cumsum(~same)]) if len(at) else at
 
 
-def spans(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+def covered(rows: DataFrame, width: int) -> DataFrame:
     def equal(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return equal_windows(found, width)
 
@@ -139,24 +186,22 @@ def spans(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans, kept_sha256) of every row; kept: the bytes that stay, null where all do."""
     rows = repeats.versions(docs, id_col, text_col)
-    near, by_doc = spans(rows, width)
+    letters = alphabet(width)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pieces(frames, "text"):
+        for pdf in pieces(frames, "text", letters.chunk):
             kept, removed, n = [], [], []
-            for text, found in zip(pdf["text"], pdf["spans"]):
+            for text, found in zip(pdf["text"], repeats.removed(letters, pdf)):
                 data, out, at = text.encode(), [], 0
-                gone = repeats.merged(found)
-                for a, b in gone:
+                for a, b in found:
                     out.append(data[at:a])
                     at = b
                 kept.append(b"".join([*out, data[at:]]))
                 removed.append(len(data) - len(kept[-1]))
-                n.append(len(gone))
+                n.append(len(found))
             yield pd.DataFrame({"cut_id": pdf["doc_id"], "cut_version": pdf["version"], "kept": kept, "n_removed": removed, "n_spans": n, "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]})
 
-    changed = near.dropDuplicates(["doc_id", "version"]).join(by_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "spans")
-    changed = changed.mapInPandas(cut, "cut_id long, cut_version long, kept binary, n_removed long, n_spans long, kept_sha256 string")
+    changed = covered(rows, width).mapInPandas(cut, "cut_id long, cut_version long, kept binary, n_removed long, n_spans long, kept_sha256 string")
     text = F.coalesce("text", F.lit(""))
     every = rows.select("doc_id", "version", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
     joined = every.join(changed, (F.col("doc_id") == F.col("cut_id")) & (F.col("version") == F.col("cut_version")), "left")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import repeats
-from tessera.llm.common import WORD, pieces
+from tessera.llm.common import WORD, each_row, pieces
 
 _WORDS = re.compile(WORD).findall
 WIDTH, ANCHOR = 50, 8
@@ -47,7 +47,7 @@ def _cut(words: list[str], i: int, j: int) -> bytes:
 
 
 def alphabet(width: int) -> repeats.Alphabet:
-    return repeats.Alphabet(_symbols, _cut, width, min(ANCHOR, width))
+    return repeats.Alphabet(_symbols, _cut, width, min(ANCHOR, width), 4_000_000)
 
 
 def tree_nodes(segments: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,8 +66,7 @@ def tree_nodes(segments: list[list[bytes]], width: int) -> tuple[np.ndarray, np.
     return owner[fits], place[fits], node[fits]
 
 
-def spans(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with candidates, (doc_id, version, spans) of the removed words)."""
+def covered(rows: DataFrame, width: int) -> DataFrame:
 
     def equal(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return tree_nodes([p.split(b" ") for p in found], width)
@@ -82,19 +81,18 @@ def spans(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept, n_words, n_removed, kept_sha256) of every row; kept: the words that stay, null where all do."""
     rows = repeats.versions(docs, id_col, text_col)
-    near, by_doc = spans(rows, width)
+    letters = alphabet(width)
 
-    def base(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pieces(frames, "text"):
-            words = [_WORDS(t or "") for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "version": pdf["version"], "n_words": [len(w) for w in words], "sha": [hashlib.sha256(" ".join(w).encode()).hexdigest() for w in words]})
+    def base(texts: list[str]) -> dict[str, list]:
+        words = [_WORDS(t) for t in texts]
+        return {"n_words": [len(w) for w in words], "sha": [hashlib.sha256(" ".join(w).encode()).hexdigest() for w in words]}
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pieces(frames, "text"):
+        for pdf in pieces(frames, "text", letters.chunk):
             kept, removed, sha = [], [], []
-            for text, found in zip(pdf["text"], pdf["spans"]):
+            for text, found in zip(pdf["text"], repeats.removed(letters, pdf)):
                 words, out, at = _WORDS(text), [], 0
-                for a, b in repeats.merged(found):
+                for a, b in found:
                     out += words[at:a]
                     at = b
                 out += words[at:]
@@ -103,9 +101,8 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
                 sha.append(hashlib.sha256(kept[-1].encode()).hexdigest())
             yield pd.DataFrame({"cut_id": pdf["doc_id"], "cut_version": pdf["version"], "kept": kept, "n_removed": removed, "kept_sha256": sha})
 
-    changed = near.dropDuplicates(["doc_id", "version"]).join(by_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "spans")
-    changed = changed.mapInPandas(cut, "cut_id long, cut_version long, kept string, n_removed long, kept_sha256 string")
-    every = rows.mapInPandas(base, "doc_id long, version long, n_words long, sha string")
+    changed = covered(rows, width).mapInPandas(cut, "cut_id long, cut_version long, kept string, n_removed long, kept_sha256 string")
+    every = each_row(rows, base, "n_words long, sha string")
     joined = every.join(changed, (F.col("doc_id") == F.col("cut_id")) & (F.col("version") == F.col("cut_version")), "left")
     return joined.select("doc_id", "kept", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
