@@ -69,6 +69,17 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
     return each_row(id_text(docs, id_col, text_col), run, "ids array<int>")
 
 
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of every row."""
+
+    def run(texts: list[str]) -> dict[str, list]:
+        enc = encoding(rank_file, pattern)
+        ids = [encode(enc, t) for t in texts]
+        return {"n_tokens": [len(i) for i in ids], "ids": ids, "decoded_sha256": [hashlib.sha256(decode(enc, i)).hexdigest() for i in ids]}
+
+    return each_row(id_text(docs, id_col, text_col), run, "n_tokens long, ids array<int>, decoded_sha256 string", chars=1_000_000)
+
+
 def decoded(tokens: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, data binary): the bytes that each row's ids stand for; null ids give no bytes."""
 

@@ -115,6 +115,11 @@ def matches(docs: DataFrame, items: DataFrame, width: int) -> tuple[DataFrame, D
     return phrase_matches(index, anchor), wins
 
 
+def hits(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, version) of documents(docs) with any window."""
+    return matches(documents(docs, id_col, text_col), items, width)[0].select("doc_id", "version").distinct()
+
+
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
     rows = documents(docs, id_col, text_col)

@@ -9,11 +9,11 @@
    another are listed with it.
 3. Each band's least element is its hub: pairs (hub, other) are candidates, so a
    band of n elements gives n - 1 pairs. Pairs are confirmed on full sets, and
-   confirmed links give components. A second round takes new hubs among the
-   elements that are still apart from the first hub.
-4. A band whose elements are then still of several components may hold links
-   that no star met. Its pairs across components are compared sketch by sketch
-   in blocks; those that may reach the threshold are confirmed as well.
+   confirmed links give components.
+4. A star may miss links between two of its rays. Stars that share elements form
+   a cluster; where a cluster is not one component, its full sets meet in blocks,
+   which intersect all sets of different components at once and report no more
+   links than join the components of the block.
 
 So of two different texts that share a band no link is lost; the chance that a
 pair at the threshold shares none is given by the operators.
@@ -38,7 +38,7 @@ from tessera.llm.components import components
 U = np.uint64
 ELEMENT = "struct<doc:bigint,nr:int>"
 #: Bins of a sketch, entries of a bucket, members of a hub that one task takes, elements of a block.
-BINS, BUCKET, SALT, BLOCK = 128, 1_000_000, 4096, 1024
+BINS, BUCKET, SALT, BLOCK = 128, 1_000_000, 4096, 512
 
 
 @dataclass(frozen=True)
@@ -159,11 +159,10 @@ def members(asked: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
-    """(a, b) of pairs that the sets link. texts: (e, text).
+    """(a, b) of distinct pairs that the sets link. texts: (e, text).
 
     The texts of a hub's partners come to the hub; one with many partners is in several places.
     """
-    pairs = saved(pairs.select("a", "b").distinct(), "pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("parts"))
     cut = pairs.join(parts, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("parts")).cast("int"))
     hubs = parts.select(F.col("a").alias("e"), "a", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("salt"), F.lit(0).alias("side"))
@@ -193,73 +192,92 @@ def confirmed(pairs: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
     return out.select(F.struct(F.col("a_doc").alias("doc"), F.col("a_nr").alias("nr")).alias("a"), F.struct(F.col("b_doc").alias("doc"), F.col("b_nr").alias("nr")).alias("b"))
 
 
-def _rooted(listed: DataFrame, roots: DataFrame) -> DataFrame:
-    return listed.join(roots.withColumnRenamed("node", "e"), "e", "left").select("band", "e", F.coalesce("root", "e").alias("root"))
-
-
-def _open(rooted: DataFrame) -> DataFrame:
-    """Bands with elements of several components, and their least element's component."""
-    return rooted.groupBy("band").agg(F.min(F.struct("e", "root")).alias("first"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("band", "first")
-
-
-def across(rooted: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
-    """(a, b) of elements of a band in different components whose sketches do not rule a link out.
-
-    A band is cut into blocks of elements, and pairs of blocks are compared apart, so none must fit in one task.
-    A pair is reported for the first of its common bands only.
+def _union(pairs: np.ndarray, label: np.ndarray) -> list[int]:
+    """Numbers of the pairs of places that join different labels, one after another."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for k, (i, j) in enumerate(pairs):
+        a, b = find(int(label[i])), find(int(label[j]))
+        if a != b:
+            root[b] = a
+            out.append(k)
+    return out
+
+
+def block_links(keys: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray, sets: Sets) -> np.ndarray:
+    """Pairs (i of left, j of right) of linked sets with different labels, as many as join the labels."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, where, times = np.unique(keys, return_inverse=True, return_counts=True)
+    often = times > 1  # a key of one set intersects nothing
+    where, owner = (np.cumsum(often) - 1)[where[often[where]]], owner[often[where]]
+    order = np.argsort(where, kind="stable")
+    where, owner = where[order], owner[order]
+    same = np.zeros((len(left), len(right)), np.float32)
+    rows = np.full(len(sizes), -1)
+    rows[left] = np.arange(len(left))
+    cols = np.full(len(sizes), -1)
+    cols[right] = np.arange(len(right))
+    width = 4096
+    for lo in range(0, int(often.sum()), width):
+        i, j = np.searchsorted(where, [lo, lo + width])
+        k, o = where[i:j] - lo, owner[i:j]
+        a, b = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        a[rows[o][rows[o] >= 0], k[rows[o] >= 0]] = 1
+        b[cols[o][cols[o] >= 0], k[cols[o] >= 0]] = 1
+        same += a @ b.T
+    fits = sets.link(same, sizes[left][:, None].astype(np.float32), sizes[right][None, :].astype(np.float32)) & (same > 0)
+    i, j = np.nonzero(fits & (label[left][:, None] != label[right][None, :]))
+    pairs = np.stack([left[i], right[j]], axis=1)
+    return pairs[_union(pairs, label)]
+
+
+def across(clusters: DataFrame, roots: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
+    """(a, b): links between components of a cluster. clusters: (node, cluster), roots: (node, root).
+
+    A cluster is cut into blocks of elements, and pairs of blocks meet apart, so none must fit in one task.
     """
-
-    def sketches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pieces(frames, "text", chars=1_000_000):
-            keys, sizes = sets.keys(pdf["text"].tolist())
-            yield pd.DataFrame({"doc": pdf["doc"], "nr": pdf["nr"], "size": sizes, "sketch": [x.tobytes() for x in sketch(keys, sizes)]})
-
-    live = rooted.join(_open(rooted).select("band"), "band", "left_semi")
-    wanted = texts.join(live.select("e").distinct(), "e", "left_semi").select("e.doc", "e.nr", "text")
-    drawn = wanted.mapInPandas(sketches, "doc long, nr int, size int, sketch binary")
-    live = live.select("band", "e.doc", "e.nr", F.xxhash64("root").alias("root")).join(drawn, ["doc", "nr"])
-    counts = live.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    live = live.join(counts, "band").withColumn("own", F.pmod(F.hash("doc", "nr"), F.col("blocks")).cast("int"))
-    # block pair (i, j), i <= j: an element of block k goes to (k, k..) as left and to (..k, k) as right
-    sides = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"))))
-    dealt = live.withColumn("ij", sides).select("band", "ij.i", "ij.j", "own", "doc", "nr", "root", "size", "sketch")
+    label = clusters.join(roots, "node", "left").select(F.col("node").alias("e"), "cluster", F.coalesce("root", "node").alias("root"))
+    open_ = label.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo != hi")
+    live = label.join(open_.select("cluster", "blocks"), "cluster").withColumn("own", F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int"))
+    # an element of block k goes to all pairs of blocks with k
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"))))
+    dealt = live.withColumn("ij", pairs).join(texts, "e")
+    dealt = dealt.select(F.xxhash64("cluster").alias("cluster"), "ij.i", "ij.j", "own", "e.doc", "e.nr", F.xxhash64("root").alias("root"), "text")
 
     def compared(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        left = pdf[pdf["own"] == pdf["i"]]
-        right = left if pdf["i"].iat[0] == pdf["j"].iat[0] else pdf[pdf["own"] == pdf["j"]]
-        a, b = (np.frombuffer(b"".join(x["sketch"]), np.uint16).reshape(len(x), BINS) for x in (left, right))
-        bands_a, bands_b = bands(a, sets.rows, sets.bands), bands(b, sets.rows, sets.bands)
-        key = lambda x: list(zip(x["doc"], x["nr"]))
-        ids_a, ids_b = key(left), key(right)
-        size_b, root_b = right["size"].to_numpy(), right["root"].to_numpy()
-        band = U(pdf["band"].iat[0])
-        for i in range(len(a)):
-            small, large = np.minimum(left["size"].iat[i], size_b), np.maximum(left["size"].iat[i], size_b)
-            ok = (root_b != left["root"].iat[i]) & sets.link(small, small, large)
-            j = np.flatnonzero(ok)
-            if not len(j):
-                continue
-            same = (b[j] == a[i]).mean(axis=1)
-            j = j[(same >= 0.5) | (small[j] < 64)]  # far below the threshold; small sets have few independent places
-            common = bands_b[j] == bands_a[i]
-            j = j[bands_a[i][common.argmax(axis=1)] == band] if len(j) else j
-            out = [(ids_a[i], ids_b[x]) for x in j if ids_a[i] < ids_b[x] or right is not left]
-            if out:
-                yield pd.DataFrame({"a_doc": [min(p)[0] for p in out], "a_nr": [min(p)[1] for p in out], "b_doc": [max(p)[0] for p in out], "b_nr": [max(p)[1] for p in out]})
+        if pdf["root"].nunique() < 2:
+            return
+        parts = [sets.keys(x["text"].tolist()) for x in pieces(iter([pdf]), "text", 1_000_000)]
+        keys, sizes = map(np.concatenate, zip(*parts))
+        own, label_ = pdf["own"].to_numpy(), np.unique(pdf["root"], return_inverse=True)[1]
+        left = np.flatnonzero(own == pdf["i"].iat[0])
+        right = np.flatnonzero(own == pdf["j"].iat[0])
+        found = block_links(keys, sizes, left, right, label_, sets)
+        if len(found):
+            doc, nr = pdf["doc"].to_numpy(), pdf["nr"].to_numpy()
+            yield pd.DataFrame({"a_doc": doc[found[:, 0]], "a_nr": nr[found[:, 0]], "b_doc": doc[found[:, 1]], "b_nr": nr[found[:, 1]]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame()
+        held: list[pd.DataFrame] = []
         for pdf in frames:
-            held = pd.concat([held, pdf], ignore_index=True)
-            group = held[["band", "i", "j"]].apply(tuple, axis=1)
-            last = group.iat[-1]
-            for g, part in held[group != last].groupby(group[group != last], sort=False):
-                yield from compared(part)
-            held = held[group == last]
-        if len(held):
-            yield from compared(held)
-
-    out = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(run, "a_doc long, a_nr int, b_doc long, b_nr int")
+            key = pdf[["cluster", "i", "j"]].to_numpy()
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(pdf)]
+            for i, j in zip(edges[:-1], edges[1:]):
+                if held and (held[-1][["cluster", "i", "j"]].iloc[-1].to_numpy() != key[i]).any():
+                    yield from compared(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(pdf.iloc[i:j])
+        if held:
+            yield from compared(pd.concat(held, ignore_index=True))
+
+    out = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInPandas(run, "a_doc long, a_nr int, b_doc long, b_nr int")
     return out.select(F.struct(F.col("a_doc").alias("doc"), F.col("a_nr").alias("nr")).alias("a"), F.struct(F.col("b_doc").alias("doc"), F.col("b_nr").alias("nr")).alias("b"))
 
 
@@ -275,15 +293,10 @@ def linked(elements: DataFrame, sets: Sets, texts_of: Callable[[DataFrame], Data
     texts = saved(texts_of(listed.select("e").distinct()), "texts")
     hubs = listed.groupBy("band").agg(F.min("e").alias("a"))
     star = listed.join(hubs, "band").filter("e != a").select("a", F.col("e").alias("b"))
+    star = saved(star.distinct(), "stars")
     links = saved(confirmed(star, texts, sets), "links")
     roots = saved(components(links), "roots")
-    # new hubs: the least element that is apart from the first hub
-    rooted = _rooted(listed, roots)
-    apart = rooted.join(_open(rooted), "band").filter("root != first.root")
-    hubs = apart.groupBy("band").agg(F.min("e").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    more = apart.join(hubs, "band").filter("e != a").select("a", F.col("e").alias("b"))
-    links = saved(links.union(confirmed(more, texts, sets)), "links")
-    roots = saved(components(links), "roots")
-    rest = confirmed(across(_rooted(listed, roots), texts, sets), texts, sets)
-    links = saved(links.union(rest).distinct(), "links")
+    clusters = components(star).withColumnRenamed("root", "cluster")
+    rest = across(clusters, roots, texts, sets)
+    links = saved(links.union(rest), "links")
     return saved(components(links), "roots"), links

@@ -14,44 +14,44 @@ kept); an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import lsh, repeats
-from tessera.llm.common import WORD, each_row, id_text, saved
+from tessera.llm.common import each_row, id_text, saved
+from tessera.llm.words import word_hashes
 
 U = np.uint64
-_WORDS = re.compile(WORD).findall
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Fixed value: ASCII white space.
+_SPACE = b" \t\n\v\f\r"
 ROWS = 4
 
 
-def shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the distinct shingles of all texts, sorted within a text; how many each has)."""
-    split = [_WORDS(t.translate(_LOWER)) if not t.isascii() else _WORDS(t.lower()) for t in texts]
-    sizes = np.array([len(w) for w in split], np.int64)
-    flat = [w for words in split for w in words]
-    h = pd.util.hash_array(np.array(flat, dtype=object), categorize=False) if flat else np.empty(0, U)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    if len(h) >= width:
-        key = repeats.mixed(repeats.grams(h, width)) if width > 1 else repeats.mixed(h)
-        inside = owner[: len(key)] == owner[width - 1 :]
-        key, own = key[inside], owner[: len(inside)][inside]
+def shingles(texts: list[str], width: int, distinct: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the shingles of all texts, sorted within a text if distinct; how many each has)."""
+    h, sizes = word_hashes(texts, _SPACE, True)
+    if width == 1 or len(h) < width:
+        key = repeats.mixed(h) if width == 1 else np.empty(0, U)
     else:
-        key, own = np.empty(0, U), np.empty(0, np.int64)
-    short = np.flatnonzero((sizes > 0) & (sizes < width))
-    if len(short):
-        whole = [int.from_bytes(hashlib.blake2b(" ".join(split[i]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for i in short]
-        key, own = np.concatenate([key, np.array(whole, U)]), np.concatenate([own, short])
-    order = np.lexsort((key, own))
-    key, own = key[order], own[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-    return key[new], np.bincount(own[new], minlength=len(texts))
+        key = repeats.mixed(repeats.grams(h, width))
+    ends = np.cumsum(sizes)
+    parts = []
+    for i, j in zip((ends - sizes).tolist(), ends.tolist()):
+        if j - i >= width:
+            part = key[i : j - width + 1]
+            if distinct:
+                part = np.sort(part)
+                new = np.ones(len(part), bool)
+                np.not_equal(part[1:], part[:-1], out=new[1:])
+                part = part[new]
+        elif j > i:  # the whole sequence
+            part = repeats.mixed(repeats.grams(h[i:j], j - i) + U(j - i))
+        else:
+            part = h[:0]
+        parts.append(part)
+    return np.concatenate(parts) if parts else np.empty(0, U), np.array([len(p) for p in parts], np.int64)
 
 
 def sets(width: int, percent: int) -> lsh.Sets:
@@ -60,19 +60,16 @@ def sets(width: int, percent: int) -> lsh.Sets:
     def link(same, a, b):
         return 100 * same >= percent * (a + b - same)
 
-    def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return shingles(texts, width)
-
-    return lsh.Sets(keys, keys, link, ROWS, lsh.BINS // ROWS)
+    return lsh.Sets(lambda t: shingles(t, width, True), lambda t: shingles(t, width, False), link, ROWS, lsh.BINS // ROWS)
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+    """(doc_id, version, n_shingles, component_id, kept) of every row; version: the xxhash64 of the text."""
     rule = sets(width, percent)
     rows = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("version"), "text")
 
     def measure(texts: list[str]) -> dict[str, list]:
-        keys, sizes = shingles(texts, width)
+        keys, sizes = shingles(texts, width, True)
         ends = np.cumsum(sizes)
         return {"n_shingles": sizes, "print": [hashlib.blake2b(keys[i:j].tobytes(), digest_size=16).digest() for i, j in zip(ends - sizes, ends)]}
 
@@ -96,7 +93,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     out = base.join(label, base["print"] == label["of_print"], "left")
     taking_part = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(taking_part, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "version", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 #: The contract in DuckDB's SQL: all documents by shared shingles.

@@ -14,7 +14,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.components(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_dedup.components(table(spark, sf_dir, "documents"), width=3, percent=85).drop("version")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

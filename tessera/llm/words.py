@@ -95,3 +95,18 @@ class Words:
         """Distinct words k as UTF-8."""
         data = self.data
         return [data[i:j] for i, j in zip(self._start[k].tolist(), self._stop[k].tolist())]
+
+
+def word_hashes(texts: list[str], space: bytes, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(a 64-bit hash of each word, words of each text); fold: A-Z and a-z are the same."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    is_space = np.zeros(256, bool)
+    is_space[list(space)] = True
+    gap = is_space[buf]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    if not gap[0]:
+        edge = np.concatenate([[0], edge])
+    start, stop = edge[0::2], edge[1::2]
+    begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    return _hashes(_LOWER[buf] if fold else buf, start, stop, 0), np.diff(np.searchsorted(start, begins))

@@ -64,14 +64,14 @@ def test_documents_against_all_pairs(spark, width, percent):
 def test_documents_odd_rows(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (1, "e f g h"), (None, "a b c d"), (None, None), (2, "e f g h"), (3, ""), (9, "q")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(tuple(r) for r in near_dedup.components(d).filter("doc_id is not null").collect())
+    got = sorted(tuple(r) for r in near_dedup.components(d).drop("version").filter("doc_id is not null").collect())
     assert [(r[0], r[2], r[3]) for r in got] == [(1, 1, True)] * 3 + [(2, 1, False), (3, 3, True), (9, 9, True)]
     assert near_dedup.components(d).filter("doc_id is null and kept").count() == 2
     assert near_dedup.components(empty(spark)).count() == 0
 
 
 def test_links_that_no_star_meets(spark):
-    """Bands whose hub is far from all others, and blocks smaller than the band."""
+    """Bands whose hub is far from all others, and blocks smaller than the cluster."""
     texts = list({frozenset(word_set(t, 3)): t for t in copies(5, 20)}.values())  # copies are the caller's to join
     sets = near_dedup.sets(3, 85)
     wide = lsh.Sets(sets.keys, sets.loose, sets.link, 1, 8)  # one place a band: large, loose buckets
