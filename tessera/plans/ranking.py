@@ -57,7 +57,7 @@ def fieldnorm(spark, sf_dir):
     return e.withColumn("least", fieldnorm_decode(F.col("code")))
 
 
-@query(f"SELECT term, list_sort(list_distinct(list(doc_id))) AS ids, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest({_W}) AS term FROM documents) WHERE length(term) >= 12 GROUP BY term")
+@query(f"SELECT term, list_sort(list_distinct(list(doc_id))) AS ids, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest({_W}) AS term FROM documents) GROUP BY term")
 def posting_lists(spark, sf_dir):
-    p = ranking.postings(table(spark, sf_dir, "documents")).filter(F.length("term") >= 12)
+    p = ranking.postings(table(spark, sf_dir, "documents"))
     return p.groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"), F.count("*").alias("n"))

@@ -43,32 +43,33 @@ def range_scan(spark, sf_dir):
     return search.in_range(_terms(spark, sf_dir), "term", "th", "ti")
 
 
-@query(f"WITH k AS (SELECT DISTINCT term AS entry FROM {_BENCH} WHERE length(term) <= 5), q AS (SELECT DISTINCT term FROM {_TERMS} WHERE term LIKE 'a%') SELECT q.term AS term, max_by(entry, length(entry)) AS matched FROM q LEFT JOIN k ON starts_with(q.term, k.entry) GROUP BY q.term")
+@query(f"WITH k AS (SELECT DISTINCT term AS entry FROM {_BENCH} WHERE length(term) <= 5), q AS (SELECT term FROM {_TERMS}) SELECT q.term AS term, max_by(entry, length(entry)) AS matched FROM q LEFT JOIN k ON starts_with(q.term, k.entry) GROUP BY q.term")
 def longest_prefix(spark, sf_dir):
     keys = _terms(spark, sf_dir, "benchmark").filter(F.length("term") <= 5).select(F.col("term").alias("entry"))
-    return search.longest_prefix(_terms(spark, sf_dir).filter("term like 'a%'"), keys, "term", "entry")
+    return search.longest_prefix(_terms(spark, sf_dir), keys, "term", "entry")
 
 
-@query("SELECT a, b, levenshtein(a, b) AS distance FROM (SELECT DISTINCT p_type AS a FROM part), (SELECT DISTINCT replace(p_type, 'E', 'é') AS b FROM part WHERE p_size < 25) WHERE levenshtein(a, b) <= 3")
+@query("SELECT a, b, levenshtein(a, b) AS distance FROM (SELECT DISTINCT p_type AS a FROM part), (SELECT DISTINCT replace(p_type, 'E', 'é') AS b FROM part) WHERE levenshtein(a, b) <= 3")
 def fuzzy_lookup(spark, sf_dir):
     """Pairs within three byte edits; é is two bytes."""
     a = table(spark, sf_dir, "part").select(F.col("p_type").alias("a"))
-    b = table(spark, sf_dir, "part").filter("p_size < 25").select(F.replace(F.col("p_type"), F.lit("E"), F.lit("é")).alias("b"))
+    b = table(spark, sf_dir, "part").select(F.replace(F.col("p_type"), F.lit("E"), F.lit("é")).alias("b"))
     return search.fuzzy_join(a, b, "a", "b", 3)
 
 
-@query(f"WITH x AS (SELECT term FROM {_BENCH} WHERE length(term) = 6), y AS (SELECT term FROM {_TERMS} WHERE length(term) BETWEEN 5 AND 7 AND term LIKE 't%') SELECT x.term AS a, y.term AS b, levenshtein(x.term, y.term) AS distance FROM x, y WHERE levenshtein(x.term, y.term) <= 1")
+@query(f"SELECT a.term AS a, b.term AS b, levenshtein(a.term, b.term) AS distance FROM {_BENCH} a, {_BENCH} b WHERE levenshtein(a.term, b.term) <= 2")
 def fuzzy_terms(spark, sf_dir):
-    a = _terms(spark, sf_dir, "benchmark").filter(F.length("term") == 6).select(F.col("term").alias("a"))
-    b = _terms(spark, sf_dir).filter(F.length("term").between(5, 7) & F.col("term").startswith("t")).select(F.col("term").alias("b"))
-    return search.fuzzy_join(a, b, "a", "b", 1)
+    """The benchmark's words within two byte edits of one another."""
+    t = _terms(spark, sf_dir, "benchmark")
+    return search.fuzzy_join(t.select(F.col("term").alias("a")), t.select(F.col("term").alias("b")), "a", "b", 2)
 
 
-@query("WITH e AS (SELECT DISTINCT substr(term, 1, 6) AS entry FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS term FROM benchmark) WHERE length(term) >= 9), t AS (SELECT page_id, html, unnest(range(1, length(html) - 4)) AS p FROM pages WHERE length(html) >= 6) SELECT page_id, CAST(p - 1 AS INTEGER) AS pos, entry FROM (SELECT page_id, p, substr(html, p, 6) AS s FROM t) JOIN e ON s = entry")
+@query("WITH e AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS entry FROM benchmark), n AS (SELECT DISTINCT length(entry) AS n FROM e), t AS (SELECT page_id, html, n, unnest(range(1, length(html) - n + 2)) AS p FROM pages, n WHERE length(html) >= n), m AS (SELECT page_id, p, substr(html, p, n) AS s FROM t) SELECT page_id, entry, count(*) AS places, CAST(min(p) - 1 AS INTEGER) AS first FROM m JOIN e ON s = entry GROUP BY page_id, entry")
 def multi_pattern(spark, sf_dir):
-    """Every place of every entry in the pages, overlaps too."""
-    e = _terms(spark, sf_dir, "benchmark").filter(F.length("term") >= 9).select(F.substring("term", 1, 6).alias("entry")).distinct()
-    return search.multi_pattern(table(spark, sf_dir, "pages"), e, "page_id", text="html").select("page_id", F.col("pos").cast("int").alias("pos"), "entry")
+    """Places of every word of the benchmark in the pages, overlaps too: how many, and the first."""
+    e = _terms(spark, sf_dir, "benchmark").select(F.col("term").alias("entry"))
+    found = search.multi_pattern(table(spark, sf_dir, "pages"), e, "page_id", text="html")
+    return found.groupBy("page_id", "entry").agg(F.count("*").alias("places"), F.min("pos").alias("first"))
 
 
 @query("SELECT prefix, count(*) AS n FROM (SELECT unnest(list_transform(range(1, least(length(p_name), 12) + 1), lambda i: substr(p_name, 1, i))) AS prefix FROM part) GROUP BY prefix HAVING count(*) >= 20")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import setops
+from tessera.operators import sequence, setops
 from tessera.plans.registry import query, table
 
 
@@ -101,10 +101,9 @@ def key_removal(spark, sf_dir):
     return setops.without_keys(table(spark, sf_dir, "orders"), gone, "o_custkey").select("o_orderkey", "o_custkey")
 
 
-@query(f"SELECT v, w AS source, row_number() OVER (ORDER BY v, w) AS pos FROM {_ALL} WHERE v < 200")
+@query(f"SELECT v, w AS source, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY v, w) - count(*) AS BIGINT) AS start FROM {_ALL} GROUP BY v, w")
 def kway_merge(spark, sf_dir):
-    """A stable merge: of equal values those of earlier inputs first."""
-    from pyspark.sql import Window
-
-    merged = setops.merge_with_source([x.filter("v < 200") for x in (_a(spark, sf_dir), _b(spark, sf_dir), _c(spark, sf_dir))])
-    return merged.withColumn("pos", F.row_number().over(Window.orderBy("v", "source")))
+    """A stable merge: where the equal values of each input start in the merged order, and how many they are."""
+    merged = setops.merge_with_source([_a(spark, sf_dir), _b(spark, sf_dir), _c(spark, sf_dir)])
+    groups = merged.groupBy("v", "source").agg(F.count("*").alias("n")).withColumn("pos", F.col("v") * 3 + F.col("source"))
+    return sequence.running_sum(groups, F.col("n"), inclusive=False).select("v", "source", "n", F.col("running").alias("start"))
