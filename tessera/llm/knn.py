@@ -99,7 +99,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for part in _by_length(pdf):
-                m, ids = _matrix(part["v"]), part["vec_id"].to_numpy(np.int64)
+                m, ids, mark = _matrix(part["v"]), part["vec_id"].to_numpy(np.int64), part["mark"].to_numpy(np.int64)
                 about = cells.value.get(m.shape[1])
                 if about is None:
                     continue
@@ -123,14 +123,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 q, c = np.repeat(q, times), np.repeat(c, times)
                 for lo in range(0, len(q), 20_000):
                     i, j = q[lo : lo + 20_000], c[lo : lo + 20_000]
-                    yield pd.DataFrame({"size": m.shape[1], "cell": cell[j], "block": block[lo : lo + 20_000], "side": 1, "vec_id": ids[i], "least": np.maximum(least[i], -(2.0**62)), "v": [m[x].tobytes() for x in i]})
+                    yield pd.DataFrame({"size": m.shape[1], "cell": cell[j], "block": block[lo : lo + 20_000], "side": 1, "vec_id": ids[i], "mark": mark[i], "least": np.maximum(least[i], -(2.0**62)), "v": [m[x].tobytes() for x in i]})
 
-    schema = "size int, cell int, block int, side int, vec_id long, least double, v binary"
-    asked = queries.dropDuplicates(["vec_id", "v"]).mapInPandas(reach, schema)
+    schema = "size int, cell int, block int, side int, vec_id long, mark long, least double, v binary"
+    asked = queries.dropDuplicates(["vec_id", "v"]).withColumn("mark", F.xxhash64("v")).mapInPandas(reach, schema)  # mark: the vector of a repeated id
     counts = F.broadcast(spark.createDataFrame(summary[["size", "cell", "blocks"]].astype(int), "size int, cell int, blocks int")) if len(summary) else None
     if counts is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    data = placed.join(counts, ["size", "cell"]).select("size", "cell", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "vec_id", F.lit(0.0).alias("least"), "v")
+    data = placed.join(counts, ["size", "cell"]).select("size", "cell", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "vec_id", F.lit(0).cast("long").alias("mark"), F.lit(0.0).alias("least"), "v")
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, ids, known, part = None, [], [], None
@@ -152,18 +152,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     names, part = np.concatenate(ids), np.concatenate(known)
                     order = np.argsort(names, kind="stable")
                     names, part = names[order], part[order]
-                for lo in range(0, len(m), 256):
-                    q, who, least = m[lo : lo + 256], rows["vec_id"].to_numpy()[lo : lo + 256], rows["least"].to_numpy()[lo : lo + 256]
-                    score = product(q, part)
-                    fits = (score >= least[:, None]) & (names != who[:, None])
-                    for a in np.flatnonzero(fits.any(axis=1)):
-                        b = np.flatnonzero(fits[a])
-                        b = b[np.argsort(-score[a, b], kind="stable")[:k]]  # ids ascend, so ties go to the smaller
-                        yield pd.DataFrame({"query_id": who[a], "vec_id": names[b], "score": score[a, b], "q": [q[a].tobytes()] * len(b)})
+                for lo in range(0, len(m), 512):
+                    who, mark, least = (rows[c].to_numpy()[lo : lo + 512] for c in ("vec_id", "mark", "least"))
+                    score = product(m[lo : lo + 512], part)
+                    a, b = np.nonzero((score >= least[:, None]) & (names != who[:, None]))
+                    found = score[a, b]
+                    order = np.lexsort((b, -found, a))  # ids ascend with b, so ties go to the smaller
+                    a, b, found = a[order], b[order], found[order]
+                    first = np.searchsorted(a, np.arange(len(who)))
+                    keep = np.arange(len(a)) - first[a] < k
+                    a, b, found = a[keep], b[keep], found[keep]
+                    if len(a):
+                        yield pd.DataFrame({"query_id": who[a], "mark": mark[a], "vec_id": names[b], "score": found})
 
     rows = data.union(asked).repartition("size", "cell", "block").sortWithinPartitions("size", "cell", "block", "side")
-    found = rows.mapInPandas(solve, "query_id long, vec_id long, score long, q binary")
-    best = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
+    found = rows.mapInPandas(solve, "query_id long, mark long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
