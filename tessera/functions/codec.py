@@ -182,6 +182,80 @@ def rans_data(coded: bytes) -> bytes:
     return bytes(out)
 
 
+FSE_BITS = 12
+
+
+def _fse_tables(share: list[int]) -> tuple[list[tuple[int, int, int]], dict[int, list[int]]]:
+    """(symbol, bits, base) of each state, and each symbol's states by what is left of the one before."""
+    size = 1 << FSE_BITS
+    spread, at = [0] * size, 0
+    for symbol, f in enumerate(share):
+        for _ in range(f):
+            spread[at] = symbol
+            at = (at + (size >> 1) + (size >> 3) + 3) & (size - 1)
+    states, steps, following = [], {b: [0] * f for b, f in enumerate(share) if f}, list(share)
+    for i, symbol in enumerate(spread):
+        x = following[symbol]
+        following[symbol] += 1
+        bits = FSE_BITS - (x.bit_length() - 1)
+        states.append((symbol, bits, (x << bits) - size))
+        steps[symbol][x - share[symbol]] = size + i
+    return states, steps
+
+
+def fse_bytes(data: bytes) -> bytes:
+    """Tabled asymmetric numeral system: length, shares, last state, number of bits, bits."""
+    if not data:
+        return b"\0" * 4
+    share = _shares(data)
+    _, steps = _fse_tables(share)
+    state, parts = 1 << FSE_BITS, []
+    for b in reversed(data):
+        f, bits = share[b], 0
+        while state >> bits >= 2 * f:
+            bits += 1
+        parts.append(format(state & ((1 << bits) - 1), f"0{bits}b") if bits else "")
+        state = steps[b][(state >> bits) - f]
+    text = "".join(reversed(parts))
+    body = int(text, 2).to_bytes((len(text) + 7) // 8, "big") if text else b""
+    return len(data).to_bytes(4, "little") + np.array(share, "<u2").tobytes() + state.to_bytes(4, "little") + len(text).to_bytes(8, "little") + body
+
+
+def fse_data(coded: bytes) -> bytes:
+    n = int.from_bytes(coded[:4], "little")
+    if not n:
+        return b""
+    states, _ = _fse_tables(np.frombuffer(coded[4:516], "<u2").tolist())
+    state, size = int.from_bytes(coded[516:520], "little"), int.from_bytes(coded[520:528], "little")
+    text = format(int.from_bytes(coded[528:], "big"), f"0{size}b") if size else ""
+    at, out = 0, bytearray()
+    for _ in range(n):
+        symbol, bits, base = states[state - (1 << FSE_BITS)]
+        out.append(symbol)
+        state = (1 << FSE_BITS) + base + (int(text[at : at + bits], 2) if bits else 0)
+        at += bits
+    if at != size or state != 1 << FSE_BITS:
+        raise ValueError("damaged data")
+    return bytes(out)
+
+
+def dictionary(samples: list[bytes], size: int = 16384) -> bytes:
+    """A zstd dictionary trained on a bounded list of samples; a raw one of their ends if they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def encode_with(data: Column, words: bytes) -> Column:
+    """zstd against a dictionary that all records share."""
+    return _each(lambda x: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(words)).compress(x), "binary")(data)
+
+
+def decode_with(data: Column, words: bytes) -> Column:
+    return _each(lambda x: zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)).decompress(x), "binary")(data)
+
+
 def _each(f, kind: str):
     @F.pandas_udf(kind)
     def run(column: pd.Series) -> pd.Series:
@@ -195,13 +269,13 @@ def crc32c(data: Column) -> Column:
 
 
 def encode(data: Column, codec: str) -> Column:
-    """zstd, huffman, rans; of arrays varint and streamvbyte."""
-    forms = {"zstd": lambda x: zstandard.ZstdCompressor().compress(x), "huffman": huffman_bytes, "rans": rans_bytes, "varint": varint_bytes, "streamvbyte": streamvbyte_bytes}
+    """zstd, huffman, rans, fse; of arrays varint and streamvbyte."""
+    forms = {"zstd": lambda x: zstandard.ZstdCompressor().compress(x), "huffman": huffman_bytes, "rans": rans_bytes, "fse": fse_bytes, "varint": varint_bytes, "streamvbyte": streamvbyte_bytes}
     return _each(forms[codec], "binary")(data)
 
 
 def decode(data: Column, codec: str) -> Column:
-    forms = {"zstd": (lambda x: zstandard.ZstdDecompressor().decompress(x), "binary"), "huffman": (huffman_data, "binary"), "rans": (rans_data, "binary"), "varint": (varint_values, "array<long>"), "streamvbyte": (streamvbyte_values, "array<long>")}
+    forms = {"zstd": (lambda x: zstandard.ZstdDecompressor().decompress(x), "binary"), "huffman": (huffman_data, "binary"), "rans": (rans_data, "binary"), "fse": (fse_data, "binary"), "varint": (varint_values, "array<long>"), "streamvbyte": (streamvbyte_values, "array<long>")}
     return _each(*forms[codec])(data)
 
 

@@ -86,11 +86,34 @@ def integer_codecs(spark, sf_dir):
     return back.select("g", F.col("a").alias("v"), (F.col("a") == F.col("b")).alias("same"))
 
 
-@query("SELECT conv_id, turn, text AS huffman, text AS rans, text AS zstd FROM conversations")
+@query("SELECT conv_id, turn, text AS huffman, text AS rans, text AS fse, text AS zstd FROM conversations")
 def byte_codecs(spark, sf_dir):
-    """Texts of conversations through three codecs and back."""
+    """Texts of conversations through four codecs and back."""
     data = F.encode(F.col("text"), "UTF-8")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[F.decode(codec.decode(codec.encode(data, c), c), "UTF-8").alias(c) for c in ("huffman", "rans", "zstd")])
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[F.decode(codec.decode(codec.encode(data, c), c), "UTF-8").alias(c) for c in ("huffman", "rans", "fse", "zstd")])
+
+
+@query("SELECT event_id, props AS back FROM events")
+def zstd_dictionary(spark, sf_dir):
+    """Event properties compressed against a dictionary that a bounded sample of them trained, and read back."""
+    e = table(spark, sf_dir, "events").select("event_id", F.encode("props", "UTF-8").alias("data"))
+    words = codec.dictionary([bytes(r["data"]) for r in e.filter("data is not null").orderBy(F.xxhash64("event_id")).limit(2000).collect()])
+    return e.select("event_id", F.decode(codec.decode_with(codec.encode_with(F.col("data"), words), words), "UTF-8").alias("back"))
+
+
+@query("WITH t AS (SELECT doc_id, text FROM documents) SELECT g, count(*) AS n FROM (SELECT substr(term, i, 3) AS g FROM (SELECT term, unnest(range(1, length(term) - 1)) AS i FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS term FROM t) WHERE length(term) >= 3)) GROUP BY g ORDER BY n DESC, g LIMIT 100")
+def frequent_substrings(spark, sf_dir):
+    """The commonest strings of three characters in words: what a codec's dictionary would hold."""
+    w = table(spark, sf_dir, "documents").select(F.explode(words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("c")).filter(F.length("w") >= 3)
+    g = w.select("c", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring(F.col("w"), i, F.lit(3)))).alias("g"))
+    return g.groupBy("g").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "g").limit(100)
+
+
+@query("SELECT p_partkey, strlen(p_name) AS size, round(strlen(p_name) / 256.0, 6) AS ratio, round((1 - strlen(p_name) / 256.0) * 100, 4) AS saved FROM part")
+def compression_ratio(spark, sf_dir):
+    """Ratio and saving of a name against a fixed slot of 256 bytes."""
+    size = F.octet_length("p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", size.alias("size"), F.round(size / 256, 6).alias("ratio"), F.round((1 - size / 256) * 100, 4).alias("saved"))
 
 
 @query()

@@ -126,12 +126,13 @@ def test_codecs(spark):
     for data in datas:
         assert codec.huffman_data(codec.huffman_bytes(data)) == data
         assert codec.rans_data(codec.rans_bytes(data)) == data
+        assert codec.fse_data(codec.fse_bytes(data)) == data
     numbers = [0, 1, 127, 128, 300, 2**31, 2**32 - 1]
     assert codec.varint_values(codec.varint_bytes(numbers)) == numbers and codec.streamvbyte_values(codec.streamvbyte_bytes(numbers)) == numbers
     with pytest.raises(ValueError):
         codec.varint_values(b"\x80")
     d = spark.createDataFrame([(bytearray(x),) for x in datas] + [(None,)], "x binary")
-    for c in ("zstd", "huffman", "rans"):
+    for c in ("zstd", "huffman", "rans", "fse"):
         assert [r.y for r in d.select(codec.decode(codec.encode(F.col("x"), c), c).alias("y")).collect()] == [*map(bytearray, datas), None]
 
 
