@@ -5,8 +5,7 @@
    sequence for it meets first (optimal densification). Equal places of two
    sketches are as likely as the sets' Jaccard similarity.
 2. ``rows`` places together are a band. Bands are packed, sent to buckets by
-   hash and sorted there; elements that share a band and are not copies of one
-   another are listed with it.
+   hash and sorted there; copies of one another count as their least.
 3. Each band's least element is its hub: pairs (hub, other) are candidates, so a
    band of n elements gives n - 1 pairs. Pairs are confirmed on full sets, and
    confirmed links give components.
@@ -68,11 +67,17 @@ def sketch(keys: np.ndarray, sizes: np.ndarray, bins: int = BINS) -> np.ndarray:
     row, col = np.nonzero(~have[some])
     row = some[row]
     attempt, out = 0, table.copy()
-    while len(row):
+    while len(row) and attempt < 12:
         donor = (repeats.mixed(np.arange(bins, dtype=U) * U(0x2545F4914F6CDD1D) + U(attempt + 1)) % U(bins)).astype(np.int64)[col]
         hit = have[row, donor]
         out[row[hit], col[hit]] = table[row[hit], donor[hit]]
         row, col, attempt = row[~hit], col[~hit], attempt + 1
+    if len(row):  # sets with few full bins: the first full one in a fixed random order for each bin
+        order = repeats.mixed(np.arange(bins * bins, dtype=U) + U(0x51ED270B)).reshape(bins, bins)
+        edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]]))
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            full = np.flatnonzero(have[row[i]])
+            out[row[i], col[i:j]] = table[row[i], full[order[np.ix_(col[i:j], full)].argmin(axis=1)]]
     return np.where(have.any(axis=1)[:, None], (out ^ (out >> 15)) & 0xFFFF, 0).astype(np.uint16)
 
 
@@ -124,22 +129,28 @@ def requests(elements: DataFrame, sets: Sets, bits: int) -> DataFrame:
     return elements.mapInPandas(run, "bucket int, data binary, tags binary")
 
 
-def members(asked: DataFrame) -> DataFrame:
-    """(band, e): elements of the bands that different elements share."""
+def stars(asked: DataFrame, bits: int) -> DataFrame:
+    """(a, b): pairs of each band's least element and every other that is no copy of one before it."""
 
     def shared(rows: list[tuple[bytes, bytes]]) -> pd.DataFrame | None:
         parts = [(*repeats.unpack(d), np.frombuffer(t, "<u4")) for d, t in rows]
         key, doc, nr, tag = map(np.concatenate, zip(*parts))
+        _, where, size = np.unique(key, return_inverse=True, return_counts=True)
+        many = size[where] > 1
+        key, doc, nr, tag = key[many], doc[many], nr[many], tag[many]
         order = np.lexsort((nr, doc, tag, key))
         key, doc, nr, tag = key[order], doc[order], nr[order], tag[order]
         first = np.ones(len(key), bool)  # of copies, the least
         first[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
         key, doc, nr = key[first], doc[first], nr[first]
+        order = np.lexsort((nr, doc, key))
+        key, doc, nr = key[order], doc[order], nr[order]
         at = repeats._bounds(key)
-        take = np.repeat(np.diff(np.append(at, len(key))) > 1, np.diff(np.append(at, len(key))))
-        if not take.any():
+        hub = np.repeat(at, np.diff(np.append(at, len(key))))
+        ray = np.flatnonzero(hub != np.arange(len(key)))
+        if not len(ray):
             return None
-        return pd.DataFrame({"band": key[take].astype(np.int64), "doc": doc[take], "nr": nr[take]})
+        return pd.DataFrame({"a_doc": doc[hub[ray]], "a_nr": nr[hub[ray]], "b_doc": doc[ray], "b_nr": nr[ray]}).drop_duplicates()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, held = None, []
@@ -154,8 +165,15 @@ def members(asked: DataFrame) -> DataFrame:
         if held and (out := shared(held)) is not None:
             yield out
 
-    rows = asked.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "band long, doc long, nr int")
-    return rows.select("band", F.struct("doc", "nr").alias("e"))
+    rows = asked.repartition(min(1 << bits, repeats.PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInPandas(run, PAIRS).distinct()
+    return _pairs(rows)
+
+
+PAIRS = "a_doc long, a_nr int, b_doc long, b_nr int"
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.struct(F.col("a_doc").alias("doc"), F.col("a_nr").alias("nr")).alias("a"), F.struct(F.col("b_doc").alias("doc"), F.col("b_nr").alias("nr")).alias("b"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
@@ -188,8 +206,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
                 yield pd.DataFrame({"a_doc": [a[0] for a, _ in out], "a_nr": [a[1] for a, _ in out], "b_doc": [b[0] for _, b in out], "b_nr": [b[1] for _, b in out]})
 
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "side").select(F.col("a.doc").alias("doc"), F.col("a.nr").alias("nr"), "side", "e", "text")
-    out = rows.mapInPandas(run, "a_doc long, a_nr int, b_doc long, b_nr int")
-    return out.select(F.struct(F.col("a_doc").alias("doc"), F.col("a_nr").alias("nr")).alias("a"), F.struct(F.col("b_doc").alias("doc"), F.col("b_nr").alias("nr")).alias("b"))
+    return _pairs(rows.mapInPandas(run, PAIRS))
 
 
 def _union(pairs: np.ndarray, label: np.ndarray) -> list[int]:
@@ -244,7 +261,8 @@ def across(clusters: DataFrame, roots: DataFrame, texts: DataFrame, sets: Sets)
     A cluster is cut into blocks of elements, and pairs of blocks meet apart, so none must fit in one task.
     """
     label = clusters.join(roots, "node", "left").select(F.col("node").alias("e"), "cluster", F.coalesce("root", "node").alias("root"))
-    open_ = label.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo != hi")
+    open_ = label.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    open_ = open_.filter("lo != hi and n > 2")  # a star of one ray is settled
     live = label.join(open_.select("cluster", "blocks"), "cluster").withColumn("own", F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int"))
     # an element of block k goes to all pairs of blocks with k
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"))))
@@ -277,8 +295,7 @@ def across(clusters: DataFrame, roots: DataFrame, texts: DataFrame, sets: Sets)
         if held:
             yield from compared(pd.concat(held, ignore_index=True))
 
-    out = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInPandas(run, "a_doc long, a_nr int, b_doc long, b_nr int")
-    return out.select(F.struct(F.col("a_doc").alias("doc"), F.col("a_nr").alias("nr")).alias("a"), F.struct(F.col("b_doc").alias("doc"), F.col("b_nr").alias("nr")).alias("b"))
+    return _pairs(dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInPandas(run, PAIRS))
 
 
 def linked(elements: DataFrame, sets: Sets, texts_of: Callable[[DataFrame], DataFrame], entries: int) -> tuple[DataFrame, DataFrame]:
@@ -287,13 +304,10 @@ def linked(elements: DataFrame, sets: Sets, texts_of: Callable[[DataFrame], Data
     texts_of(ids (e)): (e, text) of those elements. entries: about how many elements there are, for the number of buckets.
     """
     bits = 4
-    while entries * sets.bands / (1 << bits) > BUCKET:
+    while bits < repeats.MOST_BITS and entries * sets.bands / (1 << bits) > BUCKET:
         bits += 1
-    listed = saved(members(requests(elements, sets, bits)), "bands")
-    texts = saved(texts_of(listed.select("e").distinct()), "texts")
-    hubs = listed.groupBy("band").agg(F.min("e").alias("a"))
-    star = listed.join(hubs, "band").filter("e != a").select("a", F.col("e").alias("b"))
-    star = saved(star.distinct(), "stars")
+    star = saved(stars(requests(elements, sets, bits), bits), "stars")
+    texts = saved(texts_of(star.select(F.col("a").alias("e")).union(star.select("b")).distinct()), "texts")
     links = saved(confirmed(star, texts, sets), "links")
     roots = saved(components(links), "roots")
     clusters = components(star).withColumnRenamed("root", "cluster")
