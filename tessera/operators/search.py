@@ -6,19 +6,17 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import as_bytes, common_prefix
+from tessera.operators.sequence import numbered, running_by
 
 
 def dictionary(rows: DataFrame, term: str) -> DataFrame:
-    """(term, term_id): distinct terms, numbered from 0 in order, by blocks of their first character."""
-    terms = rows.select(F.col(term).alias("term")).filter("term is not null").distinct().withColumn("_head", F.substring("term", 1, 2))
-    heads = terms.groupBy("_head").agg(F.count("*").alias("_n"))
-    base = heads.select("_head", F.coalesce(F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    nr = F.row_number().over(Window.partitionBy("_head").orderBy("term"))
-    return terms.join(base, "_head").select("term", (nr - 1 + F.col("_base")).alias("term_id"))
+    """(term, term_id): distinct terms, numbered from 0 in order, range by range."""
+    terms = rows.select(F.col(term).alias("term")).filter("term is not null").distinct()
+    return numbered(terms, ["term"]).select("term", (F.col("nr") - 1).alias("term_id"))
 
 
 def membership(probes: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -123,8 +121,12 @@ def set_prefix(keys: DataFrame, key: str) -> DataFrame:
 
 
 def insertion_point(keys: DataFrame, needles: DataFrame, key: str, needle: str) -> DataFrame:
-    """(needle, pos, found): keys below each needle, and whether it is one. keys are sorted once with the needles."""
-    both = keys.select(F.col(key).alias("_k"), F.lit(1).alias("_one")).unionAll(needles.select(F.col(needle), F.lit(0)))
-    w = Window.orderBy("_k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    out = both.withColumn("_upto", F.sum("_one").over(w)).withColumn("_here", F.sum("_one").over(Window.partitionBy("_k")))
-    return out.filter("_one = 0").select(F.col("_k").alias(needle), (F.col("_upto") - F.col("_here")).alias("pos"), (F.col("_here") > 0).alias("found"))
+    """(needle, pos, found): keys below each distinct needle, and whether it is one.
+
+    Keys are counted by value and put in order together with the needles, range by range.
+    """
+    counts = keys.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n")).withColumn("_side", F.lit(1))
+    asked = needles.select(F.col(needle).alias("_k"), F.lit(0).cast("long").alias("_n"), F.lit(0).alias("_side")).distinct()
+    both = running_by(counts.unionByName(asked), ["_k", "_side"], F.col("_n"), inclusive=False)
+    here = counts.select("_k", F.lit(True).alias("found"))
+    return both.filter("_side = 0").join(here, "_k", "left").select(F.col("_k").alias(needle), F.col("running").alias("pos"), F.coalesce("found", F.lit(False)).alias("found"))

@@ -2,14 +2,20 @@
 
 Running values over a whole table go by blocks of places: sums of blocks are one
 row a block, so only those are added up in one task, and the window itself runs
-inside each block.
+inside each block. Where the order is by other columns, rows are dealt to ranges
+first and written, so that a range's number stays the same; what meets in one
+task is one row a range.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.store import shared_dir
+
 #: Places of a block.
 BLOCK = 1 << 16
 
@@ -89,11 +95,44 @@ def newest_keys(log: DataFrame, key: str, seq: str, capacity: int) -> DataFrame:
     return log.groupBy(key).agg(F.max(seq).alias(seq)).orderBy(F.desc(seq), key).limit(capacity)
 
 
+def ranged(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with ``_range``: numbers of ranges of the order, as a written table."""
+    path = f"{shared_dir(rows.sparkSession)}/tessera-{uuid.uuid4().hex}/ranged"
+    out = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    out.write.parquet(path)
+    return rows.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def running_by(rows: DataFrame, order: list[str], value: Column, inclusive: bool = True) -> DataFrame:
+    """rows with ``running``: the sum of value up to each row in the order of columns that tell all rows apart."""
+    parts = ranged(rows.withColumn("_value", value), order)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.groupBy("_range").agg(F.sum("_value").alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    here = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = parts.join(base, "_range").withColumn("running", F.coalesce(F.sum("_value").over(here), F.lit(0)) + F.col("_base"))
+    return out.drop("_range", "_value", "_base")
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with ``nr``, from 1, in the order of columns that tell all rows apart."""
+    return running_by(rows, order, F.lit(1)).withColumnRenamed("running", "nr")
+
+
 def lower_bound(keys: DataFrame, targets: DataFrame, key: str) -> DataFrame:
-    """targets (target) with lower (first key at or above) and upper (first above); nulls where there is none."""
-    distinct = keys.select(F.col(key).alias("v")).distinct()
-    at = next_geq(distinct.withColumn("g", F.lit(0)), targets.withColumn("g", F.lit(0)), ["g"])
-    w = Window.orderBy("v")
-    after = distinct.select("v", F.lead("v").over(w).alias("after"))
-    out = at.join(after, at["next"] == after["v"], "left")
-    return out.select("target", F.col("next").alias("lower"), F.when(F.col("next") == F.col("target"), F.col("after")).otherwise(F.col("next")).alias("upper"))
+    """targets (target) with lower (first key at or above) and upper (first above); nulls where there is none.
+
+    Keys and targets are sorted together. A target takes the next key of its range, or the first key of a later one.
+    """
+    k = keys.select(F.col(key).alias("_v")).filter("_v is not null").distinct().withColumn("_side", F.lit(1))
+    t = targets.select(F.col("target").alias("_v")).filter("_v is not null").distinct()
+    both = ranged(k.unionByName(t.withColumn("_side", F.lit(0))).unionByName(t.withColumn("_side", F.lit(2))), ["_v", "_side"])  # 0 stands before an equal key, 2 behind it
+    firsts = both.filter("_side = 1").groupBy("_range").agg(F.min("_v").alias("_first"))
+    ranges = both.select("_range").distinct().join(firsts, "_range", "left")
+    later = Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    ranges = ranges.select("_range", F.first("_first", ignorenulls=True).over(later).alias("_later"))
+    ahead = Window.partitionBy("_range").orderBy("_v", "_side").rowsBetween(0, Window.unboundedFollowing)
+    found = both.withColumn("_next", F.first(F.when(F.col("_side") == 1, F.col("_v")), ignorenulls=True).over(ahead)).filter("_side <> 1")
+    found = found.join(ranges, "_range").withColumn("_next", F.coalesce("_next", "_later"))
+    pick = lambda side: F.max(F.when(F.col("_side") == side, F.col("_next")))
+    bounds = found.groupBy(F.col("_v").alias("target")).agg(pick(0).alias("lower"), pick(2).alias("upper"))
+    return targets.select("target").join(bounds, "target", "left").select("target", "lower", "upper")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import as_bytes
+from tessera.operators.sequence import running_by
 
 
 def histogram(rows: DataFrame, key: Column, weight: Column | None = None) -> DataFrame:
@@ -23,14 +24,11 @@ def summary(hist: DataFrame) -> DataFrame:
 
 
 def percentiles(hist: DataFrame, shares: list[float]) -> DataFrame:
-    """(p, key): the first key whose cumulated count reaches floor(total * p); none for p outside 0..1.
-
-    Counts are cumulated over the distinct keys, which a histogram has already made few.
-    """
-    upto = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    cumulated = hist.withColumn("_upto", F.sum("n").over(upto)).withColumn("_total", F.sum("n").over(Window.partitionBy()))
+    """(p, key): the first key whose cumulated count reaches floor(total * p); none for p outside 0..1."""
+    total = hist.agg(F.sum("n").alias("_total"))  # one row
+    cumulated = running_by(hist, ["key"], F.col("n")).crossJoin(F.broadcast(total))
     each = cumulated.withColumn("p", F.explode(F.array(*[F.lit(p) for p in shares if 0 <= p <= 1])))
-    return each.filter(F.col("_upto") >= F.floor(F.col("_total") * F.col("p"))).groupBy("p").agg(F.min("key").alias("key"))
+    return each.filter(F.col("running") >= F.floor(F.col("_total") * F.col("p"))).groupBy("p").agg(F.min("key").alias("key"))
 
 
 def accumulate(rows: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:

@@ -113,8 +113,8 @@ def sortedness(spark, sf_dir):
 @query("SELECT p_partkey, row_number() OVER (ORDER BY strlen(p_type), p_type, p_partkey) AS nr FROM part")
 def sort_by_length(spark, sf_dir):
     """By bytes, ties by the text and the key."""
-    w = Window.orderBy(F.octet_length("p_type"), "p_type", "p_partkey")
-    return table(spark, sf_dir, "part").select("p_partkey", F.row_number().over(w).alias("nr"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.octet_length("p_type").alias("size"))
+    return sequence.numbered(p, ["size", "p_type", "p_partkey"]).select("p_partkey", "nr")
 
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey, o_orderkey) AS nr FROM orders")
