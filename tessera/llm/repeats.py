@@ -47,6 +47,8 @@ RUN = 2000
 BATCH_CHARS = 12_000_000
 #: Anchors in a bucket, and classes of runs in a group that one task holds.
 BUCKET, GROUP = 500_000, 100_000
+#: Partitions at most, each of which holds one bucket after another, and bits of a bucket's number at most.
+PARTITIONS, MOST_BITS = 20_000, 20
 #: Bytes of text of the whole anchor groups that one kernel call takes, unless one group alone has more.
 GROUP_BYTES = 6_000_000
 #: Bits of the filter on document ids: 4 MB at most.
@@ -222,7 +224,7 @@ def requests(docs: DataFrame, alphabet: Alphabet, bits: int) -> DataFrame:
 
 
 def answers(asked: DataFrame, bits: int) -> DataFrame:
-    """(doc_id, nrs): for each document the runs whose anchor another document may have."""
+    """(doc_id, nr): the runs whose anchor another document may have."""
 
     def shared(blobs: list[bytes]) -> pd.DataFrame | None:
         parts = [unpack(b) for b in blobs]
@@ -233,15 +235,14 @@ def answers(asked: DataFrame, bits: int) -> DataFrame:
         size = np.diff(np.append(at, len(key)))
         many = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)) | (np.minimum.reduceat(nr, at) < 0)
         take = np.repeat(many, size) & (nr >= 0)
-        d, n = _by_document(doc[take], nr[take])
-        return pd.DataFrame({"doc_id": d, "nrs": n}) if d else None
+        return pd.DataFrame({"doc_id": doc[take], "nr": nr[take]}) if take.any() else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, blobs = None, []
         for pdf in frames:
             known = pdf[pdf["data"].isna()]
             if len(known):
-                yield known[["doc_id", "nrs"]]
+                yield pd.DataFrame({"doc_id": np.repeat(known["doc_id"].to_numpy(), known["nrs"].str.len()), "nr": np.concatenate(known["nrs"].tolist())})
             for b, data in zip(pdf["bucket"], pdf["data"]):
                 if data is None:
                     continue
@@ -254,20 +255,20 @@ def answers(asked: DataFrame, bits: int) -> DataFrame:
         if blobs and (out := shared(blobs)) is not None:
             yield out
 
-    return asked.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInPandas(run, "doc_id long, nrs array<int>")
+    return asked.repartition(min(1 << bits, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInPandas(run, "doc_id long, nr int")
 
 
-def filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs that may be in ids (doc_id), by a bitmap of hashed ids of a fixed size, sent to all executors.
+def filtered(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows whose column may be in ids (column), by a bitmap of hashed values of a fixed size, sent to all executors.
 
-    It spares the shuffle of documents that no join needs; what it lets through by chance, the join drops.
+    It spares the shuffle of rows that no join needs; what it lets through by chance, the join drops.
     """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    slot = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
     maps = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("map"))
-    rows = docs.withColumn("_slot", slot).withColumn("_bit", F.bitmap_bit_position("_slot"))
-    rows = rows.join(F.broadcast(maps), F.bitmap_bucket_number("_slot") == maps["part"])
+    marked = rows.withColumn("_slot", slot).withColumn("_bit", F.bitmap_bit_position("_slot"))
+    marked = marked.join(F.broadcast(maps), F.bitmap_bucket_number("_slot") == maps["part"])
     byte = F.conv(F.hex(F.substring("map", F.expr("cast(_bit div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
-    return rows.filter(F.expr("true") & (F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1)).drop("part", "map", "_slot", "_bit")
+    return marked.filter(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).drop("part", "map", "_slot", "_bit")
 
 
 def versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -278,8 +279,8 @@ def candidates(rows: DataFrame, alphabet: Alphabet) -> DataFrame:
     """(doc_id, version, text, nrs) of the documents with runs to settle, as a written table."""
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(4, math.ceil(math.log2(max(1, total * 2 / (alphabet.width - alphabet.gram + 2) / BUCKET))))
-    named = saved(answers(requests(rows, alphabet, bits), bits), "answers")
-    by_doc = named.groupBy("doc_id").agg(F.flatten(F.collect_list("nrs")).alias("nrs"))
+    named = saved(answers(requests(rows, alphabet, min(bits, MOST_BITS)), min(bits, MOST_BITS)), "answers")
+    by_doc = named.groupBy("doc_id").agg(F.collect_list("nr").alias("nrs"))
     # merge: what names documents grows with them, so it is never broadcast
     return saved(filtered(rows, named).join(by_doc.hint("merge"), "doc_id").select("doc_id", "version", "text", "nrs"), "candidates")
 
@@ -401,7 +402,7 @@ def verdicts(near: DataFrame, alphabet: Alphabet, bits: int) -> DataFrame:
         if held and len(out := judged(held)):
             yield out
 
-    return near.mapInPandas(ask, schema).repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInPandas(answer, VERDICTS)
+    return near.mapInPandas(ask, schema).repartition(min(1 << bits, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInPandas(answer, VERDICTS)
 
 
 PIECES = "key long, fp long, doc_id long, version long, start int, n int, piece binary"
@@ -541,7 +542,7 @@ def covered(rows: DataFrame, alphabet: Alphabet, equal, windows_of, group_rows:
     key = ["doc_id", "version"]
     near = candidates(rows, alphabet)
     n = near.agg(F.sum(F.size("nrs"))).first()[0] or 0
-    judged = verdicts(near, alphabet, max(4, math.ceil(math.log2(max(1, n / (4 * BUCKET))))))
+    judged = verdicts(near, alphabet, min(MOST_BITS, max(4, math.ceil(math.log2(max(1, n / (4 * BUCKET)))))))
     judged = saved(judged.groupBy(*key).agg(F.flatten(F.collect_list("covered")).alias("covered"), F.flatten(F.collect_list("open")).alias("open")), "verdicts")
     is_open = judged.filter(F.size("open") > 0).select(*key, "open")
     unsettled = filtered(near, is_open).join(is_open.hint("merge"), key).select(*key, "text", "open")
