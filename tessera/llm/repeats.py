@@ -113,12 +113,13 @@ def runs(sym: np.ndarray, doc: np.ndarray, width: int, gram: int) -> tuple[np.nd
     at = np.flatnonzero(first)
     breaks = np.append(np.flatnonzero(first | ~inside), n)
     size = breaks[np.searchsorted(breaks, at, "right")] - at
+    key = mixed(least[at] + BASE)  # least values are small ones; buckets go by even bits
     parts = -(-size // RUN)
     if len(parts) and parts.max() > 1:
         nr = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         rest = np.repeat(size, parts) - nr * RUN
-        return np.repeat(at, parts) + nr * RUN, np.minimum(rest, RUN), np.repeat(least[at], parts)
-    return at, size, least[at]
+        return np.repeat(at, parts) + nr * RUN, np.minimum(rest, RUN), np.repeat(key, parts)
+    return at, size, key
 
 
 def laid_out(alphabet: Alphabet, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
