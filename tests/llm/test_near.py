@@ -111,9 +111,13 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for e in edges for x in e if e[0] != e[1]}
-    assert got == {x: find(x) for x in linked}
+    table = spark.createDataFrame(edges, "a long, b long")
+    for local in (10**6, 30):  # in one partition, and by stars between several
+        assert {x.node: x.root for x in components.components(table, local).collect()} == {x: find(x) for x in linked}
+    pairs = table.selectExpr("struct(a % 10 as doc, cast(a as int) as nr) as a", "struct(b % 10 as doc, cast(b as int) as nr) as b")
+    least = {x: min((y % 10, y) for y in linked if find(y) == find(x)) for x in linked}
+    assert {x.node.nr: tuple(x.root) for x in components.components(pairs).collect()} == least
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
