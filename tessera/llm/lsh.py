@@ -17,7 +17,7 @@
 So of two different texts that share a band no link is lost; the chance that a
 pair at the threshold shares none is given by the operators.
 
-Elements are (doc, nr) pairs. Copies (equal tags) are for the caller to join.
+Elements are (doc, nr) pairs. Copies (equal tags of 64 bits) are for the caller to join.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def bands(sketches: np.ndarray, rows: int, count: int) -> np.ndarray:
 
 
 def _pack(key: np.ndarray, doc: np.ndarray, nr: np.ndarray, tag: np.ndarray) -> tuple[bytes, bytes]:
-    return repeats.pack(key, doc, nr.astype(np.int64)), tag.astype("<u4").tobytes()
+    return repeats.pack(key, doc, nr.astype(np.int64)), tag.astype("<u8").tobytes()
 
 
 def requests(elements: DataFrame, sets: Sets, bits: int) -> DataFrame:
@@ -115,7 +115,7 @@ def requests(elements: DataFrame, sets: Sets, bits: int) -> DataFrame:
             if not len(some):
                 continue
             ends = np.cumsum(sizes)
-            tag = np.add.reduceat(repeats.mixed(keys), (ends - sizes)[some]) >> U(32)
+            tag = np.add.reduceat(repeats.mixed(keys), (ends - sizes)[some])
             key = bands(sketch(keys, sizes[some]), sets.rows, sets.bands)
             count = key.shape[1]
             held.append((key.ravel(), np.repeat(pdf["doc"].to_numpy(np.int64)[some], count), np.repeat(pdf["nr"].to_numpy(np.int64)[some], count), np.repeat(tag, count)))
@@ -133,7 +133,7 @@ def stars(asked: DataFrame, bits: int) -> DataFrame:
     """(a, b): pairs of each band's least element and every other that is no copy of one before it."""
 
     def shared(rows: list[tuple[bytes, bytes]]) -> pd.DataFrame | None:
-        parts = [(*repeats.unpack(d), np.frombuffer(t, "<u4")) for d, t in rows]
+        parts = [(*repeats.unpack(d), np.frombuffer(t, "<u8")) for d, t in rows]
         key, doc, nr, tag = map(np.concatenate, zip(*parts))
         _, where, size = np.unique(key, return_inverse=True, return_counts=True)
         many = size[where] > 1

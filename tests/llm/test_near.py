@@ -88,6 +88,19 @@ def test_links_that_no_star_meets(spark):
     assert {i: got.get(i, i) for i in small} == {i: want[i] for i in small}
 
 
+def test_tags_of_64_bits(spark):
+    """Different sets whose tags agree in one half are no copies."""
+    tags = np.array([5 << 32 | 1, 5 << 32 | 2, 6 << 32 | 1, 5 << 32 | 1], np.uint64)
+    data, packed = lsh._pack(np.full(4, 9, np.uint64), np.arange(4), np.zeros(4, np.int64), tags)
+    asked = spark.createDataFrame([(0, bytearray(data), bytearray(packed))], "bucket int, data binary, tags binary")
+    assert {(r.a.doc, r.b.doc) for r in lsh.stars(asked, 4).collect()} == {(0, 1), (0, 2)}
+    sets = near_dedup.sets(3, 85)
+    sent = lsh.requests(spark.createDataFrame([(1, 0, "a b c d e f")], "doc long, nr int, text string"), sets, 4).collect()
+    held = np.concatenate([np.frombuffer(r.tags, "<u8") for r in sent])
+    keys, _ = sets.loose(["a b c d e f"])
+    assert len(held) == sets.bands and set(held) == {lsh.repeats.mixed(keys).sum(dtype=np.uint64)}
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(0)
     keys = r.integers(0, 2**63, 3000).astype(np.uint64)
