@@ -21,46 +21,34 @@ from pyspark.sql import functions as F
 
 from tessera.llm import lsh, repeats
 from tessera.llm.common import each_row, id_text, saved
+from tessera.llm.hashing import distinct, mixed, strings
 from tessera.llm.words import word_hashes
 
 U = np.uint64
 #: Fixed value: ASCII white space.
 _SPACE = b" \t\n\v\f\r"
-ROWS = 4
+ROWS, BANDS = 4, 32
 
 
-def shingles(texts: list[str], width: int, distinct: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the shingles of all texts, sorted within a text if distinct; how many each has)."""
+def shingles(texts: list[str], width: int, sets: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the shingles of all texts; how many each has); distinct and sorted within a text if sets."""
     h, sizes = word_hashes(texts, _SPACE, True)
-    if width == 1 or len(h) < width:
-        key = repeats.mixed(h) if width == 1 else np.empty(0, U)
-    else:
-        key = repeats.mixed(repeats.grams(h, width))
+    key = mixed(strings(h, width)) if len(h) >= width else np.empty(0, U)
     ends = np.cumsum(sizes)
     parts = []
     for i, j in zip((ends - sizes).tolist(), ends.tolist()):
         if j - i >= width:
-            part = key[i : j - width + 1]
-            if distinct:
-                part = np.sort(part)
-                new = np.ones(len(part), bool)
-                np.not_equal(part[1:], part[:-1], out=new[1:])
-                part = part[new]
+            parts.append(distinct(key[i : j - width + 1]) if sets else key[i : j - width + 1])
         elif j > i:  # the whole sequence
-            part = repeats.mixed(repeats.grams(h[i:j], j - i) + U(j - i))
+            parts.append(mixed(strings(h[i:j], j - i) + U(j - i)))
         else:
-            part = h[:0]
-        parts.append(part)
+            parts.append(h[:0])
     return np.concatenate(parts) if parts else np.empty(0, U), np.array([len(p) for p in parts], np.int64)
 
 
 def sets(width: int, percent: int) -> lsh.Sets:
     """Links where 100 * intersection >= percent * union."""
-
-    def link(same, a, b):
-        return 100 * same >= percent * (a + b - same)
-
-    return lsh.Sets(lambda t: shingles(t, width, True), lambda t: shingles(t, width, False), link, ROWS, lsh.BINS // ROWS)
+    return lsh.Sets(lambda t: shingles(t, width, True), lambda t: shingles(t, width, False), percent, ROWS, BANDS)
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,19 +63,22 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
     base = saved(each_row(rows, measure, "n_shingles long, print binary", chars=1_000_000), "measures")
     nr = F.expr("cast(version & 2147483647 as int)")
-    live = base.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).withColumn("e", F.struct(F.col("doc_id").alias("doc"), nr.alias("nr")))
+    live = base.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("doc"), nr.alias("nr"), "print").distinct()
     some = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     elements = some.select(F.col("doc_id").alias("doc"), nr.alias("nr"), "text")
+    e = ["doc", "nr"]
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        near = repeats.filtered(some, ids.select(F.col("e.doc").alias("doc_id")).distinct())
-        return near.withColumn("e", F.struct(F.col("doc_id").alias("doc"), nr.alias("nr"))).join(ids, "e", "left_semi").select("e", "text").dropDuplicates(["e"])
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        near = repeats.filtered(elements, nodes, "doc")
+        return near.join(nodes.hint("merge"), e, "left_semi").dropDuplicates(e)
 
-    roots, _ = lsh.linked(elements, rule, texts_of, base.count())
+    bits = lsh.buckets(base.count() * BANDS)
+    found = lsh.met(lsh.requests(elements, rule, bits), min(1 << bits, repeats.PARTITIONS))
+    star = saved(found.select(*lsh.A, *lsh.B).distinct(), "stars")
+    roots = lsh.linked(star, rule, texts_of)
     # every class of equal sets hangs together: its least member stands for it, and edges join what its members have
-    classes = live.groupBy("print").agg(F.min("e").alias("least"))
-    of = live.select("e", "print").distinct().join(roots.withColumnRenamed("node", "e"), "e")
-    edges = of.join(classes, "print").select(F.col("root").alias("a"), F.col("least").alias("b"))
+    classes = live.groupBy("print").agg(F.min(F.struct(*e)).alias("least"))
+    edges = live.join(roots, e).join(classes, "print").select(F.col("root").alias("a"), F.col("least").alias("b"))
     top = lsh.components(edges)
     label = classes.join(top.withColumnRenamed("node", "least"), "least", "left").select(F.col("print").alias("of_print"), F.coalesce("root.doc", "least.doc").alias("component"))
     out = base.join(label, base["print"] == label["of_print"], "left")

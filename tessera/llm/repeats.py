@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import id_text, pieces, saved
+from tessera.llm.hashing import mixed, strings
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -66,12 +67,6 @@ class Alphabet:
     chunk: int
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> U(29))) * U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> U(32))
-
-
 def _power(n: int) -> np.uint64:
     return U(pow(int(BASE), n, 1 << 64))
 
@@ -150,23 +145,40 @@ def _unplanes(b: memoryview, n: int, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8, n * dtype.itemsize).reshape(dtype.itemsize, n).T).view(dtype).ravel()
 
 
-def pack(key: np.ndarray, doc: np.ndarray, nr: np.ndarray) -> bytes:
-    """Sorted 48-bit anchors (as differences), document ids and run numbers; nr -1: several documents of the batch."""
+def squeezed(body: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unsqueezed(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def pack(key: np.ndarray, doc: np.ndarray, nr: np.ndarray, tag: np.ndarray | None = None) -> bytes:
+    """Sorted 48-bit keys (as differences), document ids and numbers from -1 on; tag: a 64-bit number for each, if any."""
     ids, local = np.unique(doc, return_inverse=True)
     body = np.array([len(key), len(ids)], "<i8").tobytes()
     body += _planes(np.diff(key, prepend=U(0))) + _planes(np.diff(ids, prepend=np.int64(0))) + _planes(local.astype("<u4")) + _planes((nr + 1).astype("<u4"))
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    return squeezed(body) if tag is None else squeezed(body + tag.astype("<u8").tobytes())
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    body = memoryview(zstandard.ZstdDecompressor().decompress(blob))
-    n, m = np.frombuffer(body, "<i8", 2)
+def _unpacked(blob: bytes) -> tuple[memoryview, int, np.ndarray, np.ndarray, np.ndarray]:
+    body = memoryview(unsqueezed(blob))
+    n, m = (int(x) for x in np.frombuffer(body, "<i8", 2))
     at = 16
     key = np.cumsum(_unplanes(body[at:], n, "<u8"))
     ids = np.cumsum(_unplanes(body[at + 8 * n :], m, "<i8"))
     local = _unplanes(body[at + 8 * n + 8 * m :], n, "<u4")
     nr = _unplanes(body[at + 12 * n + 8 * m :], n, "<u4").astype(np.int64) - 1
-    return key, ids[local], nr
+    return body[at + 16 * n + 8 * m :], n, key, ids[local], nr
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _unpacked(blob)[2:]
+
+
+def unpack_tagged(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    rest, n, *others = _unpacked(blob)
+    return *others, np.frombuffer(rest, "<u8", n)
 
 
 def _bounds(key: np.ndarray) -> np.ndarray:

@@ -5,48 +5,19 @@ Work per word is done in numpy; Python objects are made for distinct words only.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
-_U = np.uint64
-#: Fixed random numbers for bytes, of two independent polynomial hashes, and their base.
-_TABLES = np.random.default_rng(11).integers(1, 2**63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
-_BASE = 0x9E3779B97F4A7C15
-
-
-@functools.lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base: int) -> np.ndarray:
-        a = np.full(size, _U(base % (1 << 64)))
-        a[0] = 1
-        return np.cumprod(a)
-
-    return run(_BASE), run(pow(_BASE, -1, 1 << 64))
-
+from tessera.llm.hashing import spans
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, nr: int) -> np.ndarray:
-    size = 1 << 21
-    while size < len(data) + 1:
-        size *= 2
-    power, back = _powers(size)
-    sums = np.empty(len(data) + 1, _U)
-    sums[0] = 0
-    np.cumsum(_TABLES[nr][data] * power[: len(data)], out=sums[1:])
-    x = (sums[stop] - sums[start]) * back[start] + (stop - start).astype(_U)
-    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    return x ^ (x >> _U(29))
-
-
 class Words:
     """The words of texts: of word i, ``label[i]`` is its number among distinct words, ``doc[d]:doc[d+1]`` are the words of text d.
 
-    space: the bytes that part words. ``key``: a 64-bit number for each distinct word, equal for equal words in any
-    batch. ``sound``: a second hash agrees that equal numbers are equal words.
+    space: the bytes that part words. ``key`` and ``check``: two independent 64-bit hashes of each distinct word, equal
+    for equal words in any batch. ``sound``: the second agrees that words with one key are equal.
 
     kind: for bytes, 0 or the kind of a plain word's byte; lead and not_after: the one first byte of two-byte letters
     and second bytes that make none. A word of plain bytes alone is cut where the kind changes (``plain``), and with
@@ -81,9 +52,10 @@ class Words:
             plain = np.concatenate([plain, np.ones(len(cut), bool)])[order]
             start, stop = np.concatenate([start, cut])[order], np.sort(np.concatenate([stop, cut]))
         read = _LOWER[buf] if fold else buf
-        first, second = _hashes(read, start, stop, 0), _hashes(read, start, stop, 1)
+        first, second = spans(read, start, stop, 2)
         self.key, at, self.label = np.unique(first, return_index=True, return_inverse=True)
-        self.sound = bool((second == second[at][self.label]).all())
+        self.check = second[at]
+        self.sound = bool((second == self.check[self.label]).all())
         self.plain, self._start, self._stop = plain[at], start[at], stop[at]
         begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
         self.doc = np.searchsorted(start, begins)
@@ -109,4 +81,4 @@ def word_hashes(texts: list[str], space: bytes, fold: bool) -> tuple[np.ndarray,
         edge = np.concatenate([[0], edge])
     start, stop = edge[0::2], edge[1::2]
     begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    return _hashes(_LOWER[buf] if fold else buf, start, stop, 0), np.diff(np.searchsorted(start, begins))
+    return spans(_LOWER[buf] if fold else buf, start, stop)[0], np.diff(np.searchsorted(start, begins))

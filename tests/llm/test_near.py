@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import components, knn, line_dedup, lsh, near_dedup
+from tessera.llm.hashing import distinct
 from tests.llm.fixtures import TEXTS, empty
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -70,42 +71,52 @@ def test_documents_odd_rows(spark):
     assert near_dedup.components(empty(spark)).count() == 0
 
 
-def test_links_that_no_star_meets(spark):
+def test_links_that_no_star_meets(spark, monkeypatch):
     """Bands whose hub is far from all others, and blocks smaller than the cluster."""
     texts = list({frozenset(word_set(t, 3)): t for t in copies(5, 20)}.values())  # copies are the caller's to join
     sets = near_dedup.sets(3, 85)
-    wide = lsh.Sets(sets.keys, sets.loose, sets.link, 1, 8)  # one place a band: large, loose buckets
+    wide = lsh.Sets(sets.keys, sets.loose, sets.percent, 1, 8)  # one place a band: large, loose buckets
     elements = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc long, nr int, text string")
-    texts_of = lambda ids: elements.selectExpr("struct(doc, nr) as e", "text").join(ids, "e", "left_semi")
-    before, lsh.BLOCK = lsh.BLOCK, 3
-    try:
-        roots, _ = lsh.linked(elements, wide, texts_of, 100)
-        got = {r.node.doc: r.root.doc for r in roots.collect()}
-    finally:
-        lsh.BLOCK = before
+    texts_of = lambda nodes: elements.join(nodes, ["doc", "nr"], "left_semi")
+    monkeypatch.setattr(lsh, "BLOCK", 3)
+    monkeypatch.setattr(lsh, "OTHERS", 5)
+    star = lsh.met(lsh.requests(elements, wide, 4), 16).select(*lsh.A, *lsh.B).distinct()
+    got = {r.doc: r.root.doc for r in lsh.linked(star, wide, texts_of).collect()}
     want = groups([word_set(t, 3) for t in texts], 85)
     small = [i for i, t in enumerate(texts) if len(word_set(t, 3)) > 30]  # few places, so small sets may share none
     assert {i: got.get(i, i) for i in small} == {i: want[i] for i in small}
 
 
 def test_tags_of_64_bits(spark):
-    """Different sets whose tags agree in one half are no copies."""
+    """Different sets whose tags agree in one half are no copies, in a batch or in a bucket."""
     tags = np.array([5 << 32 | 1, 5 << 32 | 2, 6 << 32 | 1, 5 << 32 | 1], np.uint64)
-    data, packed = lsh._pack(np.full(4, 9, np.uint64), np.arange(4), np.zeros(4, np.int64), tags)
-    asked = spark.createDataFrame([(0, bytearray(data), bytearray(packed))], "bucket int, data binary, tags binary")
-    assert {(r.a.doc, r.b.doc) for r in lsh.stars(asked, 4).collect()} == {(0, 1), (0, 2)}
-    sets = near_dedup.sets(3, 85)
-    sent = lsh.requests(spark.createDataFrame([(1, 0, "a b c d e f")], "doc long, nr int, text string"), sets, 4).collect()
-    held = np.concatenate([np.frombuffer(r.tags, "<u8") for r in sent])
-    keys, _ = sets.loose(["a b c d e f"])
-    assert len(held) == sets.bands and set(held) == {lsh.repeats.mixed(keys).sum(dtype=np.uint64)}
+    each = [lsh.stars(np.full((1, 1), 9, np.uint64), np.array([i]), np.array([0]), tags[i : i + 1], 4) for i in range(4)]
+    whole = lsh.stars(np.full((4, 1), 9, np.uint64), np.arange(4), np.zeros(4, np.int64), tags, 4)
+    for rows in ([r for x in each for r in x], list(whole)):
+        asked = spark.createDataFrame([(r["kind"], r["bucket"], bytearray(r["data"])) for r in rows], lsh.SENT)
+        assert {(r.a_doc, r.b_doc) for r in lsh.met(asked, 4).collect()} == {(0, 1), (0, 2)}
+
+
+def test_one_stray_of_a_large_cluster():
+    """A set apart from a component of 20,000 meets it in parts of bounded size, and one link is enough."""
+    r = np.random.default_rng(3)
+    common = distinct(r.integers(0, 2**62, 40).astype(np.uint64))
+    many = [distinct(np.append(common, r.integers(0, 2**62, 2).astype(np.uint64))) for _ in range(20_000)]
+    near = distinct(np.append(many[777][:-1], r.integers(0, 2**62, 1).astype(np.uint64)))  # shares one of the two with no other
+    far = distinct(np.append(common[:20], r.integers(0, 2**62, 30).astype(np.uint64)))
+    rows = many + [near, far]
+    label = np.array([1] * 20_000 + [2, 3])
+    rule = lsh.Sets(None, None, 93, 4, 24)
+    found = lsh.cross_links(np.concatenate(rows), np.array([len(x) for x in rows]), label != 1, label, rule)
+    want = {i for i, x in enumerate(many) if 100 * len(np.intersect1d(x, near)) >= 93 * len(np.union1d(x, near))}
+    assert len(found) == 1 and found[0][1] == 20_000 and found[0][0] in want
 
 
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(0)
     keys = r.integers(0, 2**63, 3000).astype(np.uint64)
     a, b = np.unique(keys[:2400]), np.unique(keys[600:])
-    s = lsh.sketch(np.concatenate([a, b, a[:5]]), np.array([len(a), len(b), 5, 0]))
+    s = lsh.sketch(np.concatenate([a, b, a[:5]]), np.array([len(a), len(b), 5, 0]), 128)
     assert abs((s[0] == s[1]).mean() - 0.6) < 0.15 and not s[3].any() and len(np.unique(s[2])) <= 5
 
 
