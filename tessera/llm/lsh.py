@@ -41,7 +41,7 @@ U = np.uint64
 #: Entries of a bucket, and rays of a hub that one task takes.
 BUCKET, SALT = 1_000_000, 4096
 #: Elements outside a cluster's largest component that meet the others together, and others that they meet in one task.
-BLOCK, OTHERS = 512, 8192
+BLOCK, OTHERS = 256, 640
 #: Tasks that share what is known of one cluster.
 SHARES = 32
 #: Elements of a batch at most: their numbers take 16 bits.
@@ -144,7 +144,7 @@ def stars(key: np.ndarray, doc: np.ndarray, nr: np.ndarray, tag: np.ndarray, bit
         pair = distinct((hub[ray] << 16 | who[ray]).astype(U)).astype(np.int64)
         yield packed_pairs(STAR, pair >> 16, pair & 0xFFFF, doc, nr)
     band, who = band[at], who[at]
-    bucket = (band >> U(48 - bits)).astype(np.int64)
+    bucket = repeats.bucket_of(band >> U(48 - bits), bits)
     ends = np.append(repeats._bounds(bucket), len(band))
     for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
         w = who[i:j]
