@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import id_text, pieces, saved
-from tessera.llm.hashing import mixed, strings
+from tessera.llm.hashing import even_keys, mixed, strings
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -194,6 +194,11 @@ def _by_document(doc: np.ndarray, nr: np.ndarray) -> tuple[list[int], list[list[
     return doc[at].tolist(), [x.tolist() for x in np.split(nr.astype(np.int32), at[1:])] if len(at) else []
 
 
+def bucket_of(number: np.ndarray, bits: int) -> np.ndarray:
+    """Keys of buckets by their number: where each has a partition, they are dealt one to each."""
+    return even_keys(1 << bits)[number.astype(np.int64)] if 1 << bits <= PARTITIONS else number.astype(np.int64)
+
+
 def requests(docs: DataFrame, alphabet: Alphabet, bits: int) -> DataFrame:
     """(bucket, data, doc_id, nrs): packed anchors, or runs that the batch itself knows to be shared."""
     schema = "bucket int, data binary, doc_id long, nrs array<int>"
@@ -209,7 +214,7 @@ def requests(docs: DataFrame, alphabet: Alphabet, bits: int) -> DataFrame:
         go = ~several | first
         nr = np.where(several, -1, nr)[go]
         key, doc = key[go], doc[go]
-        bucket = (key >> U(48 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+        bucket = bucket_of(key >> U(48 - bits), bits)
         ends = np.append(_bounds(bucket), len(key))
         blobs = [pack(key[i:j], doc[i:j], nr[i:j]) for i, j in zip(ends[:-1], ends[1:])]
         yield pd.DataFrame({"bucket": bucket[ends[:-1]], "data": blobs, "doc_id": 0, "nrs": None})  # no null ids: pandas would make them floats
@@ -301,8 +306,34 @@ def candidates(rows: DataFrame, alphabet: Alphabet) -> DataFrame:
 # ---- classes of runs
 
 
+def prints(sym: np.ndarray, at: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent fingerprints of each run: of its windows' hashes (sums of them, and of them times their places), and a polynomial of its symbols.
+
+    Sums over all runs come from running sums. The first has no algebraic structure; regular text that makes a
+    polynomial vanish is told apart by it.
+    """
+
+    def running(a: np.ndarray) -> np.ndarray:
+        out = np.empty(len(a) + 1, U)
+        out[0] = 0
+        np.cumsum(a, out=out[1:])
+        return out
+
+    if not len(at):
+        return np.empty(0, U), np.empty(0, U)
+    windows = strings(sym, width)
+    ones, twos = running(windows), running(windows * np.arange(len(windows), dtype=U))
+    one = ones[at + size] - ones[at]
+    two = twos[at + size] - twos[at] - one * at.astype(U)
+    power, back = np.full(len(sym), BASE), np.full(len(sym), U(pow(int(BASE), -1, 1 << 64)))
+    power[0] = back[0] = 1
+    sums = running(sym * np.cumprod(power))
+    poly = (sums[at + size + (width - 1)] - sums[at]) * np.cumprod(back)[at]
+    return mixed(one + size.astype(U)) ^ mixed(two), mixed(poly + size.astype(U))
+
+
 def named_runs(alphabet: Alphabet, texts: list[str], named: list) -> tuple[np.ndarray, ...]:
-    """(document, run number, first window, windows, anchor, fingerprint) of the named runs of each text, and what cut needs."""
+    """(document, run number, first window, windows, anchor, two fingerprints) of the named runs of each text, and what cut needs."""
     sym, doc, begin, kept = laid_out(alphabet, texts)
     at, size, key = runs(sym, doc, alphabet.width, alphabet.gram)
     own = doc[at]
@@ -313,17 +344,13 @@ def named_runs(alphabet: Alphabet, texts: list[str], named: list) -> tuple[np.nd
         take[nrs[nrs < edge[i + 1]]] = True
     nr = (np.arange(len(at)) - edge[own])[take]
     at, size, key, own = at[take], size[take], key[take], own[take]
-    power = np.concatenate([[U(1)], np.cumprod(np.full(len(sym), BASE))])
-    back = np.concatenate([[U(1)], np.cumprod(np.full(len(sym), U(pow(int(BASE), -1, 1 << 64))))])
-    sums = np.concatenate([[U(0)], np.cumsum(sym * power[:-1])])
-    stop = at + size + (alphabet.width - 1)
-    fp = mixed((sums[stop] - sums[at]) * back[at] + size.astype(U))
-    return own, nr, at - begin[own], size, key, fp, kept
+    fp, check = prints(sym, at, size, alphabet.width)
+    return own, nr, at - begin[own], size, key, fp, check, kept
 
 
 def spans_in(alphabet: Alphabet, texts: list[str], named: list) -> list[list[tuple[int, int]]]:
     """Spans of symbols of the named runs of each text."""
-    own, _, start, size, _, _, _ = named_runs(alphabet, texts, named)
+    own, _, start, size, *_ = named_runs(alphabet, texts, named)
     edge = np.searchsorted(own, np.arange(len(texts) + 1))
     both = list(zip(start.tolist(), (start + size + (alphabet.width - 1)).tolist()))
     return [both[i:j] for i, j in zip(edge[:-1], edge[1:])]
@@ -342,46 +369,71 @@ def _verdict_rows(ids: np.ndarray, version: np.ndarray, nr: np.ndarray, is_open:
     return pd.DataFrame({"doc_id": ids[at], "version": version[at], "covered": [n[~o].tolist() for n, o in parts], "open": [n[o].tolist() for n, o in parts]})
 
 
-def _classes(key: np.ndarray, fp: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by key, fp, id: the class' least id; whether the key has several classes."""
+def _new(key: np.ndarray, fp: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Where a class of equal runs begins."""
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+    new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1]) | (check[1:] != check[:-1])
+    return new
+
+
+def _classes(key: np.ndarray, fp: np.ndarray, check: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by key, fp, check, id: the class' least id; whether the key has several classes."""
+    new = _new(key, fp, check)
     head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
     at = _bounds(key)
     several = np.repeat(np.add.reduceat(new, at, dtype=np.int64) > 1, np.diff(np.append(at, len(key)))) if len(at) else np.zeros(0, bool)
     return ids[head], several
 
 
-_ENTRY = np.dtype([("key", "<u8"), ("fp", "<u8"), ("doc", "<u4"), ("nr", "<u4")])
+_ENTRY = np.dtype([("key", "<u8"), ("fp", "<u8"), ("check", "<u8"), ("doc", "<u4"), ("nr", "<u4")])
+#: Entries of runs that a batch gathers before it sends them.
+ENTRIES = 300_000
 
 
 def verdicts(near: DataFrame, alphabet: Alphabet, bits: int) -> DataFrame:
     """VERDICTS of the candidates' runs; a document is in several rows."""
     schema = f"bucket int, data binary, docs binary, {VERDICTS}"
 
+    def sent(ids: np.ndarray, version: np.ndarray, nr: np.ndarray, key: np.ndarray, fp: np.ndarray, check: np.ndarray) -> Iterator[pd.DataFrame]:
+        order = np.lexsort((ids, check, fp, key))
+        ids, version, nr, key, fp, check = (x[order] for x in (ids, version, nr, key, fp, check))
+        least, _ = _classes(key, fp, check, ids)
+        go = ids == least
+        known = _verdict_rows(ids[~go], version[~go], nr[~go], np.zeros(int((~go).sum()), bool))
+        if len(known):
+            yield known.assign(bucket=[hash(x) % (1 << bits) for x in known["doc_id"]], data=None, docs=None)
+        entry = np.empty(int(go.sum()), _ENTRY)
+        entry["key"], entry["fp"], entry["check"], entry["nr"] = key[go], fp[go], check[go], nr[go]
+        ids, version = ids[go], version[go]
+        bucket = bucket_of(entry["key"] >> U(64 - bits), bits)
+        ends = np.append(_bounds(bucket), len(bucket))
+        rows = []
+        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            of = np.lexsort((version[i:j], ids[i:j]))
+            d, v = ids[i:j][of], version[i:j][of]
+            new = np.ones(j - i, bool)
+            new[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1])
+            local = np.empty(j - i, np.int64)
+            local[of] = np.cumsum(new) - 1
+            entry["doc"][i:j] = local
+            rows.append((int(bucket[i]), entry[i:j].tobytes(), np.stack([d[new], v[new]]).tobytes()))
+        if rows:
+            yield pd.DataFrame(rows, columns=["bucket", "data", "docs"]).assign(doc_id=0, version=0, covered=None, open=None)
+
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for pdf in pieces(frames, "text", alphabet.chunk):
             ids, version = pdf["doc_id"].to_numpy(np.int64), pdf["version"].to_numpy(np.int64)
-            own, nr, _, _, key, fp, _ = named_runs(alphabet, pdf["text"].tolist(), pdf["nrs"].tolist())
+            own, nr, _, _, key, fp, check, _ = named_runs(alphabet, pdf["text"].tolist(), pdf["nrs"].tolist())
             if not len(own):
                 continue
-            order = np.lexsort((ids[own], fp, key))
-            own, nr, key, fp = own[order], nr[order], key[order], fp[order]
-            least, _ = _classes(key, fp, ids[own])
-            go = ids[own] == least
-            known = _verdict_rows(ids[own[~go]], version[own[~go]], nr[~go], np.zeros(int((~go).sum()), bool))
-            if len(known):
-                yield known.assign(bucket=[hash(x) % (1 << bits) for x in known["doc_id"]], data=None, docs=None)
-            own, nr, key, fp = own[go], nr[go], key[go], fp[go]
-            bucket = (key >> U(64 - bits)).astype(np.int64)
-            ends = np.append(_bounds(bucket), len(key))
-            rows = []
-            for i, j in zip(ends[:-1], ends[1:]):
-                docs, local = np.unique(own[i:j], return_inverse=True)
-                entry = np.empty(j - i, _ENTRY)
-                entry["key"], entry["fp"], entry["doc"], entry["nr"] = key[i:j], fp[i:j], local, nr[i:j]
-                rows.append((int(bucket[i]), entry.tobytes(), np.stack([ids[docs], version[docs]]).tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "data", "docs"]).assign(doc_id=0, version=0, covered=None, open=None)
+            held.append((ids[own], version[own], nr, key, fp, check))
+            n += len(own)
+            if n >= ENTRIES:
+                yield from sent(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if held:
+            yield from sent(*map(np.concatenate, zip(*held)))
 
     def judged(held: list[tuple[bytes, bytes]]) -> pd.DataFrame:
         parts, ids, version = [], [], []
@@ -391,9 +443,9 @@ def verdicts(near: DataFrame, alphabet: Alphabet, bits: int) -> DataFrame:
             ids.append(table_[0][entry["doc"]])
             version.append(table_[1][entry["doc"]])
         entry, ids, version = np.concatenate(parts), np.concatenate(ids), np.concatenate(version)
-        order = np.lexsort((ids, entry["fp"], entry["key"]))
+        order = np.lexsort((ids, entry["check"], entry["fp"], entry["key"]))
         entry, ids, version = entry[order], ids[order], version[order]
-        least, several = _classes(entry["key"], entry["fp"], ids)
+        least, several = _classes(entry["key"], entry["fp"], entry["check"], ids)
         take = (ids > least) | several
         return _verdict_rows(ids[take], version[take], entry["nr"][take].astype(np.int64), (ids == least)[take])
 
@@ -418,7 +470,7 @@ def verdicts(near: DataFrame, alphabet: Alphabet, bits: int) -> DataFrame:
     return near.mapInPandas(ask, schema).repartition(min(1 << bits, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInPandas(answer, VERDICTS)
 
 
-PIECES = "key long, fp long, doc_id long, version long, start int, n int, piece binary"
+PIECES = "key long, fp long, check long, doc_id long, version long, start int, n int, piece binary"
 
 
 def run_pieces(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
@@ -427,21 +479,20 @@ def run_pieces(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pieces(frames, "text", alphabet.chunk):
             ids, version = pdf["doc_id"].to_numpy(np.int64), pdf["version"].to_numpy(np.int64)
-            own, _, start, size, key, fp, kept = named_runs(alphabet, pdf["text"].tolist(), pdf["open"].tolist())
+            own, _, start, size, key, fp, check, kept = named_runs(alphabet, pdf["text"].tolist(), pdf["open"].tolist())
             for lo in range(0, len(own), 20_000):
-                o, s, n = own[lo : lo + 20_000], start[lo : lo + 20_000], size[lo : lo + 20_000]
+                o, s, n, k, f, c = (x[lo : lo + 20_000] for x in (own, start, size, key, fp, check))
                 data = [alphabet.cut(kept[d], a, a + m + alphabet.width - 1) for d, a, m in zip(o, s, n)]
-                yield pd.DataFrame({"key": key[lo : lo + 20_000].view(np.int64), "fp": fp[lo : lo + 20_000].view(np.int64), "doc_id": ids[o], "version": version[o], "start": s, "n": n, "piece": data})
+                yield pd.DataFrame({"key": k.view(np.int64), "fp": f.view(np.int64), "check": c.view(np.int64), "doc_id": ids[o], "version": version[o], "start": s, "n": n, "piece": data})
 
     return docs.mapInPandas(run, PIECES)
 
 
 def covered_windows(group: pd.DataFrame, equal: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], width: int) -> Iterator[pd.DataFrame]:
     """Covered spans of whole anchor groups. equal: for pieces, the piece and place of each window and its class."""
-    group = group.sort_values(["key", "fp", "doc_id"], kind="stable", ignore_index=True)
-    key, fp, doc = (group[c].to_numpy() for c in ("key", "fp", "doc_id"))
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+    group = group.sort_values(["key", "fp", "check", "doc_id"], kind="stable", ignore_index=True)
+    key, doc = group["key"].to_numpy(), group["doc_id"].to_numpy()
+    new = _new(key, group["fp"].to_numpy(), group["check"].to_numpy())
     head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
     start, n, version = (group[c].to_numpy() for c in ("start", "n", "version"))
     over = doc > doc[head]

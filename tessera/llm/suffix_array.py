@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import repeats
+from tessera.llm import hashing, repeats
 from tessera.llm.common import pieces
 
 WIDTH, ANCHOR = 50, 24
@@ -52,7 +52,7 @@ def _cut(data: bytes, i: int, j: int) -> bytes:
 
 
 def alphabet(width: int) -> repeats.Alphabet:
-    return repeats.Alphabet(_symbols, _cut, width, min(ANCHOR, width), 500_000)
+    return repeats.Alphabet(_symbols, _cut, width, min(ANCHOR, width), 128_000)
 
 
 def _packed(symbols: np.ndarray, stop: np.ndarray | None = None) -> np.ndarray:
@@ -100,11 +100,14 @@ def parsed(texts: list[bytes], trigger: int = TRIGGER, modulus: int = MODULUS):
     begin = np.flatnonzero(first)
     last = np.append(owner[begin[1:]] != owner[begin[:-1]], True)
     stop = np.where(last, ends[owner[begin]], np.append(begin[1:], 0) + trigger)
-    power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(symbols), repeats.BASE))])
-    back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(symbols), np.uint64(pow(int(repeats.BASE), -1, 1 << 64))))])
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(hashed * power[:-1])])
-    print_ = repeats.mixed((sums[stop] - sums[begin]) * back[begin] + (stop - begin).astype(np.uint64))
-    _, sample, ids = np.unique(print_, return_index=True, return_inverse=True)
+    # two independent hashes tell phrases apart; the end mark is byte 255, which UTF-8 does not have
+    one, two = hashing.spans((symbols - 1).astype(np.uint8), begin, stop, 2)
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+    ids = np.empty(len(order), np.int64)
+    ids[order] = np.cumsum(new) - 1
+    sample = order[new]
     return symbols, owner, begin, stop, last, ids, sample
 
 

@@ -47,7 +47,7 @@ def _cut(words: list[str], i: int, j: int) -> bytes:
 
 
 def alphabet(width: int) -> repeats.Alphabet:
-    return repeats.Alphabet(_symbols, _cut, width, min(ANCHOR, width), 4_000_000)
+    return repeats.Alphabet(_symbols, _cut, width, min(ANCHOR, width), 1_000_000)
 
 
 def tree_nodes(segments: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
