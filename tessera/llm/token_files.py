@@ -39,6 +39,8 @@ _KIND[list(b'!"#$%&()*+,-./:;=?@[]^_`{}~')] = 2
 #: Entries of a Python worker's word cache before it starts anew.
 CACHE = 2_000_000
 ROW_GROUP, PAGE = 64 << 20, 256 << 10
+#: Bytes of text for which a shard of its own is made, where the session's partitions are fewer.
+SHARD = 512 << 20
 
 
 class Encoder:
@@ -60,8 +62,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        """known: sorted numbers of words, slot: where start and size have their ids in pool."""
-        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        """known: sorted numbers of words, slot: where start and size have their ids in pool, and check a second, independent hash."""
+        self.known, self.slot, self.check = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
         self.start, self.size, self.pool = (np.zeros(0, t) for t in (np.int64, np.int32, np.uint32))
 
     def _find(self, numbers: np.ndarray) -> np.ndarray:
@@ -96,15 +98,13 @@ class Encoder:
             self.known, self.slot = known[order], np.concatenate([self.slot, np.arange(len(self.start), len(self.start) + len(rows), dtype=np.int32)])[order]
             self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(n) - n])
             self.size = np.concatenate([self.size, n])
+            self.check = np.concatenate([self.check, words.check[rows]])
             self.pool = np.concatenate([self.pool, ids])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last's end)."""
         fold = not any("<|" in t for t in texts)  # special tokens keep their case
         words = Words(texts, b" \t\n\r", _KIND, 0xC3, (0x97, 0xB7), fold)
-        if not words.sound:  # two words of one hash: by the library alone
-            ids, n = self._each(texts)
-            return ids, np.concatenate([[0], np.cumsum(n)])
         if len(self.known) > CACHE:
             self.clear()
         numbers = words.key if fold else words.key ^ np.uint64(1)
@@ -113,6 +113,10 @@ class Encoder:
         if len(fresh):
             self._add(words, numbers, fresh)
             slot = self._find(numbers)
+        if not words.sound or (self.check[slot] != words.check).any():  # two words of one hash, here or before: by the library alone
+            self.clear()
+            ids, n = self._each(texts)
+            return ids, np.concatenate([[0], np.cumsum(n)])
         slot = slot[words.label]
         size = self.size[slot].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(size)])
@@ -125,8 +129,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes shard, doc_id, n_tokens, ids: one sorted run of documents per file."""
+def write(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", row_group: int = ROW_GROUP, page: int = PAGE) -> None:
+    """Writes shard, doc_id, n_tokens, ids: one sorted run of documents per file. row_group and page: bytes of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pdf in pieces((b.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get) for b in batches), "text", chars=2_000_000):
@@ -139,14 +143,16 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col: str =
             )
 
     rows = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(int(size // SHARD) + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     (
-        rows.repartitionByRange("doc_id")
+        rows.repartitionByRange(shards, "doc_id")
         .sortWithinPartitions("doc_id")
         .withColumn("shard", F.spark_partition_id())
         .mapInArrow(run, "shard int, doc_id long, n_tokens int, ids array<int>")
         .write.option("compression", "zstd")
-        .option("parquet.block.size", str(ROW_GROUP))
-        .option("parquet.page.size", str(PAGE))
+        .option("parquet.block.size", str(row_group))
+        .option("parquet.page.size", str(page))
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "true")
         .parquet(path)
@@ -157,6 +163,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("shard int, doc_id long, n_tokens int, ids array<int>").parquet(path)
 
 
+def read_documents(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of some documents: row groups and pages without them are left out by their statistics."""
+    return read(spark, path).filter(F.col("doc_id").isin(ids)).select("doc_id", "ids")
+
+
 def index(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) as read back from the files.
 
