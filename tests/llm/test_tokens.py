@@ -1,21 +1,24 @@
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.fs
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from tessera.llm import byte_bpe, token_count, token_files
+from tessera.llm import byte_bpe, common, token_count, token_files
 from tests.llm.fixtures import TEXTS, empty, frame
 
 
-def library():
+def library(pattern=P.PATTERN):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
-    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def test_byte_bpe_matches_library_and_round_trips(spark):
@@ -42,6 +45,65 @@ def test_safe_parts_keep_the_ids(stride):
         assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(t)
 
 
+LONG = {
+    "a run of blanks": "a" + " " * 1_500_000 + "b",
+    "a run at the end": "a" + " \n" * 700_000,
+    "one letter": "a" * 3_000_000,
+    "letters and digits": "ab12" * 400_000,
+    "signs": "!?" * 300_000 + "'s" + "#a1'" * 300_000,
+    "ideographs": "日本語" * 300_000,
+    "controls": "\x1c\x1d!" * 200_000 + " \x85\u3000" * 200_000 + "x",
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_byte_bpe_of_very_long_texts(name):
+    enc, text = library(), LONG[name]
+    ours = byte_bpe.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    ids = byte_bpe.encode(ours, text)
+    assert enc.decode_bytes(ids) == text.encode()
+    one = library(r"[\s\S]+")  # its matcher does not survive long runs of white space: they are one match, but for the last character before others
+    if name == "a run of blanks":
+        assert ids == enc.encode_ordinary("a") + one.encode_ordinary(" " * 1_499_999) + enc.encode_ordinary(" b")
+    elif name == "a run at the end":
+        assert ids == enc.encode_ordinary("a") + one.encode_ordinary(text[1:])
+    else:
+        assert ids == enc.encode_ordinary(text)
+
+
+def test_blanks_before_any_character():
+    enc, ours = library(), byte_bpe.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    for last in " \n\t\x85\u3000":
+        for after in ("", "x", "1", "!", "\x1c", "é", "'s"):
+            for n in (byte_bpe.BLANK - 1, byte_bpe.BLANK, byte_bpe.BLANK + 1):
+                text = "so" + " " * n + last + after + " end" * bool(after)
+                assert byte_bpe.encode(ours, text) == enc.encode_ordinary(text), (last, after, n)
+
+
+def test_token_file_layout(spark):
+    """Dictionary pages for ids, deltas for metadata, several row groups and pages with an index, and reads of a part."""
+    texts = [f"{i} " + " ".join(str(j * i % 977) for j in range(400)) for i in range(2000)]
+    path = f"{common.shared_dir(spark)}/layout-{uuid.uuid4().hex}"
+    token_files.write(frame(spark, texts), P.path("word_bpe_49k.json"), path, 2, row_group=64 << 10, page=8 << 10)
+    fs = pyarrow.fs.LocalFileSystem()
+    files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path.removeprefix("file://").replace("file:", ""))) if f.path.endswith(".parquet")]
+    metas = [pq.ParquetFile(f).metadata for f in files]
+    assert sum(m.num_rows for m in metas) == 2000 and max(m.num_row_groups for m in metas) > 1
+    for m in metas:
+        columns = {m.row_group(0).column(i).path_in_schema: m.row_group(0).column(i) for i in range(m.num_columns)}
+        ids = next(c for name, c in columns.items() if name.startswith("ids"))
+        assert "RLE_DICTIONARY" in ids.encodings and ids.has_offset_index
+        assert all(columns[c].has_offset_index and columns[c].has_column_index for c in ("doc_id", "n_tokens"))
+        assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings, columns["doc_id"].encodings
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    some = token_files.read_documents(spark, path, [7, 1500])
+    assert {r.doc_id: r.ids for r in some.collect()} == {i: tok.encode(texts[i], add_special_tokens=False).ids + [2] for i in (7, 1500)}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(doc_id, [" in plan and "shard" not in plan.split("ReadSchema")[1]
+    meta = token_files.read(spark, path).select("doc_id", "n_tokens")
+    assert "ids" not in meta._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+
+
 def test_token_files(spark, sf):
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
