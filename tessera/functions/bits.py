@@ -19,6 +19,39 @@ def trailing_zeros(x: Column) -> Column:
     return F.when(x == 0, 64).otherwise(F.length(F.bin(x)) - F.length(F.rtrim(F.translate(F.bin(x), "0", " "))))
 
 
+def bit_get(word: Column, pos: Column) -> Column:
+    """Bit number pos of a 64-bit word; null outside."""
+    return F.when(pos.between(0, 63), F.call_function("shiftrightunsigned", word, pos.cast("int")).bitwiseAND(F.lit(1)).cast("int"))
+
+
+def count_ones_range(word: Column, start: Column, size: Column) -> Column:
+    """Ones among size bits of a word from start on, clipped at its end."""
+    n = F.least(size, 64 - start).cast("int")
+    low = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - n)
+    rest = F.call_function("shiftrightunsigned", word, F.least(start, F.lit(63)).cast("int"))
+    return F.when((start >= 64) | (size <= 0), 0).otherwise(F.bit_count(rest.bitwiseAND(low)))
+
+
+def ones_run(word: Column, pos: Column) -> Column:
+    """Ones on end from bit pos of a word on."""
+    rest = F.call_function("shiftrightunsigned", word, pos.cast("int"))
+    return F.least(trailing_zeros(F.bitwise_not(rest)), 64 - pos).cast("int")
+
+
+def reverse(x: Column) -> Column:
+    """The 64 bits in the opposite order, as an unsigned number (decimal)."""
+    return F.conv(F.reverse(F.lpad(F.bin(x), 64, "0")), 2, 10).cast("decimal(20,0)")
+
+
+def hash_combine(h: Column, value: Column) -> Column:
+    """A hash turned left by five bits plus the next value, modulo 2^64."""
+    low, up = F.lit(0xFFFFFFFF), lambda x: F.shiftrightunsigned(x, 32)
+    turned = F.shiftleft(h, 5).bitwiseOR(F.shiftrightunsigned(h, 59))
+    a = turned.bitwiseAND(low) + value.bitwiseAND(low)
+    b = up(turned) + up(value) + up(a)
+    return F.shiftleft(b, 32).bitwiseOR(a.bitwiseAND(low))
+
+
 def field(x: Column, offset: int, bits: int) -> Column:
     """bits bits of x from offset on."""
     return F.shiftright(x, offset).bitwiseAND(F.lit((1 << bits) - 1))
@@ -88,3 +121,30 @@ def fieldnorm_decode(code: Column) -> Column:
 def posting_encoding(n: Column, span: Column) -> Column:
     """Which layout suits a posting list of n ids over a span."""
     return F.when(n <= 64, "dense").when(span <= 2 * n, "clustered").when(n <= 256, "ef").when(n <= 4096, "pef").otherwise("opef")
+
+
+_ANY = (None, None)
+#: Kinds of matches by the range of the backward distance and of the length, the first that fits, with their bytes.
+MATCHES = [
+    ("Literal", _ANY, (1, 1), 2),
+    ("RLE", (1, 1), (None, 33), 1),
+    ("NearShort", (2, 9), (None, 5), 1),
+    ("Far1Short", (2, 257), (None, 33), 2),
+    ("Far2Short", (258, 65793), (None, 33), 3),
+    ("Far2Long", (None, 65535), (34, 64), 3),
+    ("Far2Long", (None, 65535), (65, None), 6),
+    ("Far3Long", _ANY, (None, 35), 4),
+    ("Far3Long", _ANY, (36, None), 7),
+]
+
+
+def match_cost(distance: Column, length: Column) -> Column:
+    """(kind, bytes) of a copy of length bytes from distance bytes back."""
+
+    def within(x: Column, least: int | None, most: int | None) -> Column:
+        return (x >= least if least is not None else F.lit(True)) & (x <= most if most is not None else F.lit(True))
+
+    out = F.lit(None)
+    for kind, d, n, cost in reversed(MATCHES):
+        out = F.when(within(distance, *d) & within(length, *n), F.struct(F.lit(kind).alias("kind"), F.lit(cost).alias("bytes"))).otherwise(out)
+    return F.when(distance.isNotNull() & length.isNotNull(), out)

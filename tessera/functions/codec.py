@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ import zstandard
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.operators.suffixes import Dictionary
+
 #: Fixed value: the reversed Castagnoli polynomial.
 CASTAGNOLI = 0x82F63B78
 
@@ -31,11 +34,21 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
-def crc32c_of(data: bytes) -> int:
-    crc = 0xFFFFFFFF
-    for b in data:
-        crc = (crc >> 8) ^ _CRC[(crc ^ b) & 0xFF]
-    return crc ^ 0xFFFFFFFF
+def crc32c_of(datas: list[bytes]) -> np.ndarray:
+    """Checksums of all data, a byte of each at a time; data of like lengths go together."""
+    table, out = np.array(_CRC, np.uint32), np.zeros(len(datas), np.uint32)
+    sizes = np.array([len(d) for d in datas], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    crc = np.full(len(datas), 0xFFFFFFFF, np.uint32)
+    flat = np.frombuffer(b"".join(datas), np.uint8)
+    start = (np.cumsum(sizes) - sizes)[order]
+    live = sizes[order]
+    n = len(datas)
+    for i in range(int(sizes.max(initial=0))):
+        n = int(np.searchsorted(-live[:n], -i, "left"))  # those with more than i bytes stand first
+        crc[:n] = table[(crc[:n] ^ flat[start[:n] + i]) & 0xFF] ^ (crc[:n] >> np.uint32(8))
+    out[order] = crc ^ np.uint32(0xFFFFFFFF)
+    return out
 
 
 def varint_bytes(values: list[int]) -> bytes:
@@ -85,6 +98,174 @@ def streamvbyte_values(data: bytes) -> list[int]:
     return out
 
 
+def zigzag_varint_bytes(values: list[int]) -> bytes:
+    """Varints of signed numbers."""
+    return varint_bytes([v << 1 if v >= 0 else (-v << 1) - 1 for v in values])
+
+
+def zigzag_varint_values(data: bytes) -> list[int]:
+    return [(v >> 1) ^ -(v & 1) for v in varint_values(data)]
+
+
+def delta_bytes(values: list[int]) -> bytes:
+    """The first value and differences, as signed varints."""
+    return zigzag_varint_bytes([b - a for a, b in zip([0, *values], values)])
+
+
+def delta_values(data: bytes) -> list[int]:
+    return np.cumsum(np.array(zigzag_varint_values(data), np.int64)).tolist()
+
+
+def group_varint_bytes(values: list[int]) -> bytes:
+    """Groups of four 32-bit numbers: a byte with two bits a number (its bytes less one), then their bytes."""
+    out = bytearray(len(values).to_bytes(4, "little"))
+    for i in range(0, len(values), 4):
+        part = values[i : i + 4]
+        sizes = [max(1, (v.bit_length() + 7) // 8) for v in part]
+        if min(part) < 0 or max(sizes) > 4:
+            raise ValueError("groups hold 32-bit numbers")
+        out.append(sum((n - 1) << (2 * k) for k, n in enumerate(sizes)))
+        for v, n in zip(part, sizes):
+            out += v.to_bytes(n, "little")
+    return bytes(out)
+
+
+def group_varint_values(data: bytes) -> list[int]:
+    n, at, out = int.from_bytes(data[:4], "little"), 4, []
+    while len(out) < n:
+        control, at = data[at], at + 1
+        for k in range(min(4, n - len(out))):
+            size = (control >> (2 * k) & 3) + 1
+            out.append(int.from_bytes(data[at : at + size], "little"))
+            at += size
+    if at != len(data):
+        raise ValueError("damaged integers")
+    return out
+
+
+def prefix_free_bytes(values: list[int]) -> bytes:
+    """Each number after a byte with its size."""
+    return b"".join(bytes([n]) + v.to_bytes(n, "little") for v, n in ((v, (v.bit_length() + 7) // 8) for v in values))
+
+
+def prefix_free_values(data: bytes) -> list[int]:
+    out, at = [], 0
+    while at < len(data):
+        n = data[at]
+        if at + 1 + n > len(data):
+            raise ValueError("truncated integer")
+        out.append(int.from_bytes(data[at + 1 : at + 1 + n], "little"))
+        at += 1 + n
+    return out
+
+
+def bit_packed_bytes(values: list[int]) -> bytes:
+    """Number, least value and bits a value, then the values less the least, packed."""
+    if not len(values):
+        return b"\0" * 13
+    least = min(values)
+    width = (max(values) - least).bit_length()
+    rest = np.array([v - least for v in values], np.uint64)
+    planes = (rest[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
+    return len(values).to_bytes(4, "little") + least.to_bytes(8, "little", signed=True) + bytes([width]) + np.packbits(planes.astype(np.uint8).ravel(), bitorder="little").tobytes()
+
+
+def bit_packed_values(data: bytes) -> list[int]:
+    n, least, width = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:12], "little", signed=True), data[12]
+    if len(data) != 13 + (n * width + 7) // 8:
+        raise ValueError("damaged integers")
+    planes = np.unpackbits(np.frombuffer(data, np.uint8, offset=13), count=n * width, bitorder="little").reshape(n, width).astype(np.uint64)
+    rest = (planes << np.arange(width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) if width else np.zeros(n, np.uint64)
+    return [int(v) + least for v in rest]
+
+
+def interleaved_bytes(form: str, ways: int, data: bytes) -> bytes:
+    """Every ways-th byte is a stream of its own: sizes of the coded streams, and the streams."""
+    parts = [BYTE_FORMS[form][0]()(data[i::ways]) for i in range(ways)]
+    return b"".join(len(p).to_bytes(4, "little") for p in parts) + b"".join(parts)
+
+
+def interleaved_data(form: str, ways: int, coded: bytes) -> bytes:
+    sizes = [int.from_bytes(coded[4 * i : 4 * i + 4], "little") for i in range(ways)]
+    ends = np.cumsum([4 * ways, *sizes]).tolist()
+    if ends[-1] != len(coded):
+        raise ValueError("damaged streams")
+    parts = [BYTE_FORMS[form][1]()(coded[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+    out = bytearray(sum(map(len, parts)))
+    for i, p in enumerate(parts):
+        out[i::ways] = p
+    return bytes(out)
+
+
+def huffman_o1_bytes(data: bytes, order: int = 1) -> bytes:
+    """A Huffman code for each context, the order bytes before (zeros before the first)."""
+    padded, n = bytes(order) + data, len(data)
+    streams: dict[bytes, bytearray] = {}
+    for i in range(n):
+        streams.setdefault(padded[i : i + order], bytearray()).append(data[i])
+    coded = {c: huffman_bytes(bytes(x)) for c, x in streams.items()}
+    body = n.to_bytes(4, "little") + len(coded).to_bytes(4, "little")
+    body += b"".join(c + len(coded[c]).to_bytes(4, "little") + coded[c] for c in sorted(coded))
+    return zstandard.ZstdCompressor().compress(body)  # most code lengths are 0
+
+
+def huffman_o1_data(coded: bytes, order: int = 1) -> bytes:
+    body = zstandard.ZstdDecompressor().decompress(coded)
+    n, kinds, at, streams = int.from_bytes(body[:4], "little"), int.from_bytes(body[4:8], "little"), 8, {}
+    for _ in range(kinds):
+        size = int.from_bytes(body[at + order : at + order + 4], "little")
+        streams[body[at : at + order]] = iter(huffman_data(body[at + order + 4 : at + order + 4 + size]))
+        at += order + 4 + size
+    out = bytearray(order)
+    for _ in range(n):
+        out.append(next(streams[bytes(out[len(out) - order :])]))
+    return bytes(out[order:])
+
+
+#: The least match that a match stream takes from its dictionary.
+LEAST_MATCH = 4
+
+
+def match_stream_bytes(words: Dictionary, data: bytes) -> bytes:
+    """Runs of literals and copies from a dictionary by turns: varints of a run's size, its bytes, a copy's size and place."""
+    out, literal, at = bytearray(varint_bytes([len(data)])), bytearray(), 0
+    while at < len(data):
+        place, size = words.longest(data, at)
+        if size < LEAST_MATCH:
+            literal.append(data[at])
+            at += 1
+            continue
+        out += varint_bytes([len(literal)]) + literal + varint_bytes([size, place])
+        literal, at = bytearray(), at + size
+    return bytes(out + varint_bytes([len(literal)]) + literal)
+
+
+def match_stream_data(words: bytes, coded: bytes) -> bytes:
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        end = at
+        while coded[end] > 127:
+            end += 1
+        value = varint_values(coded[at : end + 1])[0]
+        at = end + 1
+        return value
+
+    total, out = number(), bytearray()
+    while True:
+        n = number()
+        out += coded[at : at + n]
+        at += n
+        if at == len(coded):
+            break
+        size, place = number(), number()
+        out += words[place : place + size]
+    if len(out) != total:
+        raise ValueError("damaged match stream")
+    return bytes(out)
+
+
 def _code_lengths(counts: Counter) -> dict[int, int]:
     if len(counts) == 1:
         return {next(iter(counts)): 1}
@@ -247,36 +428,79 @@ def dictionary(samples: list[bytes], size: int = 16384) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _each(make: Callable[[], Callable], kind: str) -> Callable[[Column], Column]:
+    """A function of single values, made once a batch."""
+
+    @F.pandas_udf(kind)
+    def run(column: pd.Series) -> pd.Series:
+        f = make()
+        return column.map(lambda x: None if x is None else f(x if isinstance(x, bytes) else x.tolist() if isinstance(x, np.ndarray) else x))
+
+    return run
+
+
 def encode_with(data: Column, words: bytes) -> Column:
     """zstd against a dictionary that all records share."""
-    return _each(lambda x: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(words)).compress(x), "binary")(data)
+    return _each(lambda: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(words)).compress, "binary")(data)
 
 
 def decode_with(data: Column, words: bytes) -> Column:
-    return _each(lambda x: zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)).decompress(x), "binary")(data)
+    return _each(lambda: zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)).decompress, "binary")(data)
 
 
-def _each(f, kind: str):
-    @F.pandas_udf(kind)
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: None if x is None else f(x if isinstance(x, bytes) else x.tolist() if isinstance(x, np.ndarray) else x))
+def encode_matches(data: Column, words: bytes) -> Column:
+    """A match stream against a dictionary of bounded size, whose suffix array is made once a batch."""
 
-    return run
+    def make() -> Callable[[bytes], bytes]:
+        known = Dictionary(words)
+        return lambda x: match_stream_bytes(known, x)
+
+    return _each(make, "binary")(data)
+
+
+def decode_matches(data: Column, words: bytes) -> Column:
+    return _each(lambda: lambda x: match_stream_data(words, x), "binary")(data)
 
 
 def crc32c(data: Column) -> Column:
-    return _each(crc32c_of, "long")(data)
+    @F.pandas_udf("long")
+    def run(column: pd.Series) -> pd.Series:
+        there = column.notna().to_numpy()
+        out = pd.Series([None] * len(column), dtype="Int64")
+        out[there] = crc32c_of([bytes(x) for x in column[there]]).astype(np.int64)
+        return out
+
+    return run(data)
+
+
+#: Codecs of bytes, and of arrays of integers: makers of an encoder and a decoder.
+BYTE_FORMS: dict[str, tuple[Callable, Callable]] = {
+    "zstd": (lambda: zstandard.ZstdCompressor().compress, lambda: zstandard.ZstdDecompressor().decompress),
+    "huffman": (lambda: huffman_bytes, lambda: huffman_data),
+    "rans": (lambda: rans_bytes, lambda: rans_data),
+    "fse": (lambda: fse_bytes, lambda: fse_data),
+    "huffman_o1": (lambda: huffman_o1_bytes, lambda: huffman_o1_data),
+    "huffman_o2": (lambda: lambda x: huffman_o1_bytes(x, 2), lambda: lambda x: huffman_o1_data(x, 2)),
+}
+for _form in ("huffman", "rans"):
+    for _ways in (2, 4, 8):
+        BYTE_FORMS[f"{_form}_x{_ways}"] = (lambda f=_form, w=_ways: lambda x: interleaved_bytes(f, w, x), lambda f=_form, w=_ways: lambda x: interleaved_data(f, w, x))
+INTEGER_FORMS = {
+    "varint": (varint_bytes, varint_values), "streamvbyte": (streamvbyte_bytes, streamvbyte_values), "zigzag": (zigzag_varint_bytes, zigzag_varint_values), "delta": (delta_bytes, delta_values),
+    "group": (group_varint_bytes, group_varint_values), "prefix_free": (prefix_free_bytes, prefix_free_values), "bit_packed": (bit_packed_bytes, bit_packed_values),
+}
 
 
 def encode(data: Column, codec: str) -> Column:
-    """zstd, huffman, rans, fse; of arrays varint and streamvbyte."""
-    forms = {"zstd": lambda x: zstandard.ZstdCompressor().compress(x), "huffman": huffman_bytes, "rans": rans_bytes, "fse": fse_bytes, "varint": varint_bytes, "streamvbyte": streamvbyte_bytes}
-    return _each(forms[codec], "binary")(data)
+    """One of BYTE_FORMS, or of arrays one of INTEGER_FORMS."""
+    make = BYTE_FORMS[codec][0] if codec in BYTE_FORMS else lambda: INTEGER_FORMS[codec][0]
+    return _each(make, "binary")(data)
 
 
 def decode(data: Column, codec: str) -> Column:
-    forms = {"zstd": (lambda x: zstandard.ZstdDecompressor().decompress(x), "binary"), "huffman": (huffman_data, "binary"), "rans": (rans_data, "binary"), "fse": (fse_data, "binary"), "varint": (varint_values, "array<long>"), "streamvbyte": (streamvbyte_values, "array<long>")}
-    return _each(*forms[codec])(data)
+    if codec in BYTE_FORMS:
+        return _each(BYTE_FORMS[codec][1], "binary")(data)
+    return _each(lambda: INTEGER_FORMS[codec][1], "array<long>")(data)
 
 
 def codec_choice(bits: Column, size: Column, distinct: Column) -> Column:

@@ -6,6 +6,10 @@ index bytes read a string's UTF-8 as one ISO-8859-1 character per byte.
 
 from __future__ import annotations
 
+import os.path
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +18,14 @@ WORD = "[A-Za-z0-9_]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE_CLASS = r"[ \t\n\x0B\f\r]"
 PUNCTUATION = r"""[!-/:-@\[-^`{-~]"""
-#: Fixed value: first and last code points of the double-width ranges.
-WIDE = [(0x1100, 0x115F), (0x2E80, 0x2EFF), (0x2F00, 0x2FDF), (0x3000, 0x303F), (0x3040, 0x309F), (0x30A0, 0x30FF), (0x3100, 0x312F), (0x3130, 0x318F), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF), (0xF900, 0xFAFF), (0xFF00, 0xFFEF)]
+#: First and last code points of the double-width ranges.
+WIDE = [
+    (0x1100, 0x115F), (0x2E80, 0x2EFF), (0x2F00, 0x2FDF), (0x3000, 0x303F), (0x3040, 0x309F), (0x30A0, 0x30FF), (0x3100, 0x312F), (0x3130, 0x318F), (0x3190, 0x319F), (0x31A0, 0x31BF), (0x31C0, 0x31EF), (0x31F0, 0x31FF),
+    (0x3200, 0x32FF), (0x3300, 0x33FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA48F), (0xA490, 0xA4CF), (0xAC00, 0xD7AF), (0xF900, 0xFAFF), (0xFE10, 0xFE1F), (0xFE30, 0xFE4F), (0xFE50, 0xFE6F), (0xFF00, 0xFFEF),
+    (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2F800, 0x2FA1F),
+]
+#: Fixed value: Unicode's White_Space characters, as a class that Java's and RE2's patterns read alike.
+UNICODE_SPACE = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def words(text: Column) -> Column:
@@ -35,15 +45,22 @@ def ascii_upper(text: Column) -> Column:
     return F.translate(text, LOWER, UPPER)
 
 
+def unicode_words(text: Column) -> Column:
+    """Lower-cased words between Unicode white space, by Unicode's full case mapping."""
+    return F.filter(F.split(F.lower(text), UNICODE_SPACE + "+"), lambda w: w != "")
+
+
+_STRETCH = re.compile(rb"[A-Za-z0-9_]+|[^A-Za-z0-9_]+")
+
+
 def boundaries(text: Column) -> Column:
     """Byte offsets at which the word class changes, with 0 and the length; an empty text has 0 alone."""
-    b = as_bytes(text)
-    n = F.length(b)
-    inner = F.filter(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        lambda i: (i < n) & (F.substring(b, i, F.lit(1)).rlike("[A-Za-z0-9_]") != F.substring(b, i + 1, F.lit(1)).rlike("[A-Za-z0-9_]")),
-    )
-    return F.when(n == 0, F.array(F.lit(0))).otherwise(F.concat(F.array(F.lit(0)), inner, F.array(n)))
+
+    @F.pandas_udf("array<int>")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: None if t is None else [0, *(m.end() for m in _STRETCH.finditer(t.encode()))])
+
+    return run(text)
 
 
 def find(text: Column, needle: str) -> Column:
@@ -52,13 +69,55 @@ def find(text: Column, needle: str) -> Column:
     return F.lit(0) if not needle else F.when(at > 0, at - 1)
 
 
-def find_all(text: Column, needle: str) -> Column:
-    """0-based character places of all occurrences, overlapping ones too; none for an empty needle."""
-    if not needle:
-        return F.array().cast("array<int>")
-    n = F.length(text) - len(needle) + 1
-    at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.substring(text, i, F.lit(len(needle))) == needle))
-    return F.transform(at, lambda i: i - 1)
+def find_all(text: Column, needle: str, most: int | None = None) -> Column:
+    """0-based character places of all occurrences (the first most of them), overlapping ones too; none for an empty needle."""
+
+    def places(t: str) -> list[int]:
+        out, at = [], t.find(needle)
+        while at >= 0 and (most is None or len(out) < most):
+            out.append(at)
+            at = t.find(needle, at + 1)
+        return out
+
+    @F.pandas_udf("array<int>")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: None if t is None else places(t) if needle else [])
+
+    return run(text)
+
+
+def bytes_of(text: Column) -> Column:
+    """The UTF-8 bytes as numbers, in an array."""
+    return F.transform(F.filter(F.split(as_bytes(text), ""), lambda c: c != ""), lambda c: F.ascii(c))
+
+
+def find_any(text: Column, needles: bytes) -> Column:
+    """(pos, byte) of every byte that is one of needles, positions from 0."""
+    each = F.transform(bytes_of(text), lambda b, i: F.struct(i.alias("pos"), b.alias("byte")))
+    return F.filter(each, lambda x: x["byte"].isin(list(needles)))
+
+
+def prefix_key(text: Column) -> Column:
+    """The first eight bytes as an unsigned little-endian number (decimal); missing bytes are 0. It does not keep the order."""
+    digits = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 8)), 16, "0")
+    turned = F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(8)])
+    return F.conv(turned, 16, 10).cast("decimal(20,0)")
+
+
+def fixed_length(text: Column, size: int) -> Column:
+    """text, which may have size bytes at most; a longer one fails the query."""
+    return F.when(F.octet_length(text) > size, F.raise_error(F.concat(F.lit(f"longer than {size} bytes: "), text))).otherwise(text)
+
+
+def code_points(text: Column) -> Column:
+    """The code points of a text, characters beyond U+FFFF too."""
+    digits = F.hex(F.encode(text, "UTF-32"))
+    return F.transform(F.regexp_extract_all(digits, F.lit(".{8}"), F.lit(0)), lambda d: F.conv(d, 16, 10).cast("int"))
+
+
+def printable(text: Column) -> Column:
+    """Whether there is no control character but tabs, line feeds and carriage returns."""
+    return F.regexp_count(text, F.lit(r"[\p{Cc}&&[^\t\n\r]]")) == 0
 
 
 def like_pattern(wildcard: str) -> str:
@@ -152,6 +211,9 @@ def unhex_strict(text: Column) -> Column:
 
 def common_prefix(a: Column, b: Column) -> Column:
     """The longest common prefix of two strings."""
-    n = F.least(F.length(a), F.length(b))
-    differs = F.array_position(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))), F.lit(False))
-    return F.when(n == 0, "").when(differs == 0, F.substring(a, F.lit(1), n)).otherwise(F.substring(a, F.lit(1), (differs - 1).cast("int")))
+
+    @F.pandas_udf("string")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else os.path.commonprefix([x, y]) for x, y in zip(a, b)], dtype=object)
+
+    return run(a, b)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.bits import fieldnorm_decode, fieldnorm_encode
-from tessera.functions.text import words
+from tessera.functions.text import WORD, words
 
 K1, B = 1.2, 0.75
 
@@ -32,13 +32,16 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def scores(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query, doc_id, score) of terms (query, term): each term's part is added up by document."""
-    wanted = terms.select("term").distinct()
-    tf = postings(docs, wanted)
-    size = lengths(docs)
-    whole = size.agg(F.count("*").alias("n"), F.avg("dl").alias("average"))  # one row
+    """(query, doc_id, score) of terms (query, term): each term's part is added up by document.
+
+    A document is split once: its words bring its length along. Number and mean length of all documents only count words.
+    """
+    each = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
+    tf = each.join(terms.select("term").distinct(), "term").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
+    whole = docs.agg(F.count("*").alias("n"), F.avg(size).alias("average"))  # one row
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    hit = tf.join(size, "doc_id").join(df, "term").crossJoin(F.broadcast(whole))
+    hit = tf.join(df, "term").crossJoin(F.broadcast(whole))
     part = idf(F.col("n"), F.col("df")) * (K1 + 1) * F.col("tf") / (F.col("tf") + norm(fieldnorm_encode(F.col("dl")), F.col("average")))
     return hit.withColumn("part", part).join(terms, "term").groupBy("query", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
 

@@ -90,10 +90,7 @@ def multi_pattern(texts: DataFrame, entries: DataFrame, key: str, text: str = "t
     kind = texts.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for w in words:
-            automaton.add_word(w, w)
-        automaton.make_automaton()
+        automaton = _automaton(words)
         for pdf in frames:
             out = [(k, end - len(w) + 1, w) for k, t in zip(pdf[key], pdf[text]) if t and words for end, w in automaton.iter(t)]
             yield pd.DataFrame(out, columns=[key, "pos", entry])
@@ -101,6 +98,40 @@ def multi_pattern(texts: DataFrame, entries: DataFrame, key: str, text: str = "t
     return texts.select(key, text).mapInPandas(run, f"{key} {kind}, pos int, {entry} string")
 
 
+def _automaton(words: list[str]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for w in words:
+        automaton.add_word(w, w)
+    automaton.make_automaton()
+    return automaton
+
+
+def multi_pattern_counts(texts: DataFrame, entries: DataFrame, key: str, text: str = "text", entry: str = "entry", limit: int = AUTOMATON) -> DataFrame:
+    """(key, entry, places, first): how often each entry occurs in each text, and where first; counted where the text is."""
+    known = entries.select(entry).filter(F.length(entry) > 0).distinct()
+    if known.limit(limit + 1).count() > limit:
+        return _multi_pattern_join(texts, known, key, text, entry).groupBy(key, entry).agg(F.count("*").alias("places"), F.min("pos").alias("first"))
+    words = [r[0] for r in known.collect()]
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = _automaton(words)
+        for pdf in frames:
+            out = []
+            for k, t in zip(pdf[key], pdf[text]):
+                seen: dict[str, list[int]] = {}
+                for end, w in automaton.iter(t) if t and words else ():
+                    if (found := seen.get(w)) is None:
+                        seen[w] = [1, end - len(w) + 1]
+                    else:
+                        found[0] += 1
+                out += [(k, w, n, first) for w, (n, first) in seen.items()]
+            yield pd.DataFrame(out, columns=[key, entry, "places", "first"])
+
+    each = texts.select(key, text).mapInPandas(run, f"{key} {kind}, {entry} string, places long, first int")
+    return each.groupBy(key, entry).agg(F.sum("places").alias("places"), F.min("first").alias("first"))  # a key may be in several rows
+
+
 def _multi_pattern_join(texts: DataFrame, entries: DataFrame, key: str, text: str, entry: str) -> DataFrame:
     sizes = entries.select(F.length(entry).alias("_n")).distinct()
     at = texts.select(key, text).crossJoin(F.broadcast(sizes)).filter(F.length(text) >= F.col("_n"))
@@ -130,3 +161,24 @@ def insertion_point(keys: DataFrame, needles: DataFrame, key: str, needle: str)
     both = running_by(counts.unionByName(asked), ["_k", "_side"], F.col("_n"), inclusive=False)
     here = counts.select("_k", F.lit(True).alias("found"))
     return both.filter("_side = 0").join(here, "_k", "left").select(F.col("_k").alias(needle), F.col("running").alias("pos"), F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def transitions(keys: DataFrame, key: str) -> DataFrame:
+    """(state, symbol, next, final) of the automaton of a set of keys; a state is named by the prefix that leads to it."""
+    known = keys.select(F.col(key).alias("_k")).filter("_k is not null").distinct()
+    cut = lambda n: F.substring(F.col("_k"), F.lit(1), n)
+    steps = F.transform(F.sequence(F.lit(1), F.length("_k")), lambda n: F.struct(cut(n - 1).alias("state"), F.substring(F.col("_k"), n, F.lit(1)).alias("symbol"), cut(n).alias("next"), (n == F.length("_k")).alias("final")))
+    each = known.filter(F.length("_k") > 0).select(F.explode(steps).alias("x")).select("x.*")
+    return each.groupBy("state", "symbol", "next").agg(F.max("final").alias("final"))
+
+
+def accepts(probes: DataFrame, keys: DataFrame, probe: str, key: str) -> DataFrame:
+    """probes with steps, the transitions that an automaton of the keys takes before it is stuck, and accepted."""
+    known = keys.select(F.col(key).alias("_k")).filter("_k is not null").distinct()
+    states = known.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("_k")), lambda n: F.substring(F.col("_k"), F.lit(1), n))).alias("_s")).distinct()
+    each = probes.select(probe).distinct()
+    cut = each.select(probe, F.explode(F.transform(F.sequence(F.lit(0), F.length(probe)), lambda n: F.substring(F.col(probe), F.lit(1), n))).alias("_s"))
+    steps = cut.join(states, "_s").groupBy(probe).agg(F.max(F.length("_s")).alias("steps"))
+    final = known.select(F.col("_k").alias(probe), F.lit(True).alias("accepted"))
+    out = probes.join(steps, probe, "left").join(final, probe, "left")
+    return out.withColumn("steps", F.coalesce("steps", F.lit(0))).withColumn("accepted", F.coalesce("accepted", F.lit(False)))

@@ -43,6 +43,50 @@ def select1(bits: DataFrame, pos: str = "pos", bit: str = "bit", by: list[str] |
     return running_sum(ones, F.lit(1), pos, False, by).select(*(by or []), F.col("running").alias("k"), pos)
 
 
+def rank0(bits: DataFrame, pos: str = "pos", bit: str = "bit", by: list[str] | None = None) -> DataFrame:
+    """bits with rank0: zeros before each place."""
+    return running_sum(bits, 1 - F.col(bit).cast("long"), pos, False, by).withColumnRenamed("running", "rank0")
+
+
+def select0(bits: DataFrame, pos: str = "pos", bit: str = "bit", by: list[str] | None = None) -> DataFrame:
+    """(k, pos): the place of each zero, k from 0."""
+    zeros = bits.filter(F.col(bit) == 0)
+    return running_sum(zeros, F.lit(1), pos, False, by).select(*(by or []), F.col("running").alias("k"), pos)
+
+
+def count_range(bits: DataFrame, ranges: DataFrame, pos: str = "pos", bit: str = "bit") -> DataFrame:
+    """ranges (start, stop) with ones: ones at places start..stop - 1. The ends are ranked together with the bits."""
+    ends = ranges.select(F.col("start").alias(pos)).union(ranges.select("stop")).distinct().withColumn(bit, F.lit(0))
+    every = bits.select(pos, F.col(bit).cast("int").alias(bit)).union(ends).groupBy(pos).agg(F.max(bit).alias(bit))
+    ranks = rank1(every, pos, bit)
+    at = lambda name: ranks.select(F.col(pos).alias(name), F.col("rank1").alias(f"_{name}"))
+    return ranges.join(at("start"), "start").join(at("stop"), "stop").withColumn("ones", F.col("_stop") - F.col("_start")).drop("_start", "_stop")
+
+
+def words_of(bits: DataFrame, pos: str = "pos") -> DataFrame:
+    """(block, word): set places as words of 64 bits."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(pos), F.lit(64)).cast("int"))
+    return bits.groupBy(F.expr(f"{pos} div 64").alias("block")).agg(F.bit_or(bit).alias("word"))
+
+
+def set_range(words: DataFrame, start: int, stop: int, value: bool) -> DataFrame:
+    """words with the bits start..stop - 1 set or cleared, a word at a time; words without a one are left out."""
+    blocks = words.sparkSession.range(start // 64, (stop - 1) // 64 + 1 if stop > start else start // 64).select(F.col("id").alias("block"))
+    low, high = F.greatest(start - F.col("block") * 64, F.lit(0)), F.least(stop - F.col("block") * 64, F.lit(64))
+    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (64 - (high - low)).cast("int"))  # every block has a bit of the range
+    masks = blocks.select("block", F.call_function("shiftleft", ones, low.cast("int")).alias("mask"))
+    word, mask = F.coalesce("word", F.lit(0).cast("long")), F.coalesce("mask", F.lit(0).cast("long"))
+    new = word.bitwiseOR(mask) if value else word.bitwiseAND(F.bitwise_not(mask))
+    return words.join(masks, "block", "full").select("block", new.alias("word")).filter("word <> 0")
+
+
+def numbered_in_groups(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows with ``nr``, from 1 in each group. A group may be the whole table: rows are numbered by ranges of all, less the group's first number."""
+    every = numbered(rows, [*by, *order])
+    first = every.groupBy(*by).agg(F.min("nr").alias("_first"))
+    return every.join(first, by).withColumn("nr", F.col("nr") - F.col("_first") + 1).drop("_first")
+
+
 def delta(rows: DataFrame, value: str, pos: str, by: list[str]) -> DataFrame:
     """rows with delta: the first value of a group, then differences."""
     w = Window.partitionBy(*by).orderBy(pos)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import as_bytes
 from tessera.operators.sequence import running_by
 
 
@@ -41,9 +44,54 @@ def accumulate(rows: DataFrame, value: Column, by: list[str] | None = None) -> D
 
 
 def byte_counts(texts: DataFrame, by: list[str], text: str = "text") -> DataFrame:
-    """(by, byte, n): how often each byte occurs."""
-    each = texts.select(*by, F.explode(F.split(as_bytes(F.coalesce(text, F.lit(""))), "")).alias("c")).filter("c <> ''")
-    return each.groupBy(*by, F.ascii("c").alias("byte")).agg(F.count("*").alias("n"))
+    """(by, byte, n): how often each byte occurs, counted batch by batch."""
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            parts = []
+            for key, part in pdf.groupby(by, dropna=False) if len(pdf) else ():
+                n = np.bincount(np.frombuffer("".join(t for t in part[text] if t).encode(), np.uint8), minlength=256)
+                at = np.flatnonzero(n)
+                parts.append(pd.DataFrame({**{c: [k] * len(at) for c, k in zip(by, key)}, "byte": at, "n": n[at]}))
+            if parts:
+                yield pd.concat(parts)
+
+    each = texts.select(*by, text).mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "byte int, n long"]))
+    return each.groupBy(*by, "byte").agg(F.sum("n").alias("n"))
+
+
+def text_profile(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, size, alphabet, repetition, run_length, bits) of each text's bytes.
+
+    repetition: the share of bytes equal to the one before; run_length: the mean of runs; texts of one byte or none have 0 and 1,
+    and an empty one 0 throughout.
+    """
+    kind = texts.schema[key].dataType.simpleString()
+
+    def of(t: str | None) -> tuple:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        n = len(data)
+        if not n:
+            return 0, 0, 0.0, 0.0, 0.0
+        same = int(np.count_nonzero(data[1:] == data[:-1]))
+        p = np.bincount(data)
+        p = p[p > 0] / n
+        return n, len(p), same / n if n > 1 else 0.0, n / (n - same), float(-(p * np.log2(p)).sum()) + 0.0
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = pd.DataFrame([of(t) for t in pdf[text]], columns=["size", "alphabet", "repetition", "run_length", "bits"])
+            rows.insert(0, key, pdf[key].to_numpy())
+            yield rows
+
+    return texts.select(key, text).mapInPandas(run, f"{key} {kind}, size long, alphabet int, repetition double, run_length double, bits double")
+
+
+def named(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(name, n, total, least, most, mean) of several named values, in one pass."""
+    of = lambda name, v: F.struct(F.lit(name).alias("name"), F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"))
+    return rows.agg(F.array(*[of(name, v.cast("double")) for name, v in values.items()]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 def entropy(counts: DataFrame, by: list[str]) -> DataFrame:

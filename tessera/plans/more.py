@@ -36,7 +36,11 @@ def reachable(spark, sf_dir):
     return graph.reachable(_edges(spark, sf_dir), spark.createDataFrame([("n3",)], "v string"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT n_regionkey::BIGINT AS g, -1::BIGINT AS src, n_nationkey::BIGINT AS dst FROM nation UNION ALL SELECT n_regionkey, n_nationkey, c_custkey + 1000 FROM customer JOIN nation ON c_nationkey = n_nationkey), "
+    "w AS (SELECT DISTINCT g, -1::BIGINT AS v, CAST([] AS BIGINT[]) AS path FROM e UNION ALL SELECT w.g, e.dst, list_append(w.path, e.dst) FROM w JOIN e ON e.g = w.g AND e.src = w.v) "
+    "SELECT g, v, CAST(row_number() OVER (PARTITION BY g ORDER BY path) - 1 AS INTEGER) AS nr FROM w"
+)
 def dfs_order(spark, sf_dir):
     """Depth-first order in each region's graph of nations and customers."""
     n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
@@ -109,11 +113,12 @@ def frequent_substrings(spark, sf_dir):
     return g.groupBy("g").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "g").limit(100)
 
 
-@query("SELECT p_partkey, strlen(p_name) AS size, round(strlen(p_name) / 256.0, 6) AS ratio, round((1 - strlen(p_name) / 256.0) * 100, 4) AS saved FROM part")
+@query("WITH l AS (SELECT o_custkey AS g, list(o_orderkey ORDER BY o_orderkey) AS v FROM orders GROUP BY 1), s AS (SELECT g, 8 * len(v) AS size, CAST(4 + ceil(len(v) / 4.0) + list_sum(list_transform(v, lambda x: greatest(ceil(length(bin(x)) / 8.0), 1))) AS BIGINT) AS coded FROM l) SELECT g, size, coded, round(coded / size, 6) AS ratio, round((1 - coded / size) * 100, 4) AS saved FROM s")
 def compression_ratio(spark, sf_dir):
-    """Ratio and saving of a name against a fixed slot of 256 bytes."""
-    size = F.octet_length("p_name")
-    return table(spark, sf_dir, "part").select("p_partkey", size.alias("size"), F.round(size / 256, 6).alias("ratio"), F.round((1 - size / 256) * 100, 4).alias("saved"))
+    """Plain and coded size of each customer's order keys, their ratio, and the share that is saved."""
+    v = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("g")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("v"))
+    s = v.select("g", (8 * F.size("v")).cast("long").alias("size"), F.octet_length(codec.encode(F.col("v"), "streamvbyte")).cast("long").alias("coded"))
+    return s.withColumn("ratio", F.round(F.col("coded") / F.col("size"), 6)).withColumn("saved", F.round((1 - F.col("coded") / F.col("size")) * 100, 4))
 
 
 @query()
@@ -128,9 +133,13 @@ def codec_choice(spark, sf_dir):
     return e.select("p_brand", codec.codec_choice(F.col("bits"), F.col("size"), F.col("kinds")).alias("choice"))
 
 
-@query("WITH s AS (SELECT p_partkey, unnest(range(0, length(p_name))) AS pos, p_name FROM part), o AS (SELECT p_partkey, pos, row_number() OVER (PARTITION BY p_partkey ORDER BY substr(p_name, pos + 1)) - 1 AS nr FROM s) SELECT p_partkey, nr, pos FROM o")
+@query(
+    "WITH s AS (SELECT p_partkey, unnest(range(0, length(p_name))) AS pos, p_name FROM part), o AS (SELECT p_partkey, pos, substr(p_name, pos + 1) AS x, row_number() OVER w - 1 AS nr, lag(substr(p_name, pos + 1)) OVER w AS y FROM s WINDOW w AS (PARTITION BY p_partkey ORDER BY substr(p_name, pos + 1))) "
+    "SELECT p_partkey, nr, pos, CAST(CASE WHEN y IS NULL THEN 0 ELSE list_max(list_filter(range(0, least(length(x), length(y)) + 1), lambda i: substr(x, 1, i) = substr(y, 1, i))) END AS BIGINT) AS lcp FROM o"
+)
 def suffix_array(spark, sf_dir):
-    return suffixes.suffix_array(table(spark, sf_dir, "part"), "p_partkey", "p_name").select("p_partkey", "nr", "pos")
+    """Places of each name's suffixes in order, and the common prefix of each with the one before."""
+    return suffixes.suffix_array(table(spark, sf_dir, "part"), "p_partkey", "p_name")
 
 
 @query("WITH s AS (SELECT p_partkey, unnest(range(0, length(p_name))) AS pos, p_name FROM part) SELECT p_partkey, string_agg(CASE WHEN pos = 0 THEN right(p_name, 1) ELSE substr(p_name, pos, 1) END, '' ORDER BY substr(p_name, pos + 1)) AS bwt FROM s GROUP BY p_partkey")
@@ -138,13 +147,15 @@ def burrows_wheeler(spark, sf_dir):
     return suffixes.bwt(table(spark, sf_dir, "part"), "p_partkey", "p_name").select("p_partkey", F.decode("bwt", "UTF-8").alias("bwt"))
 
 
-@query("WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS record_id, p_name FROM part) SELECT q AS pos, q AS record_id, p_name AS data FROM (SELECT unnest(range(0, 4000, 7)) AS q) LEFT JOIN (SELECT * FROM p WHERE record_id % 5 <> 0) p ON p.record_id = q")
+@query("WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS record_id, p_name FROM part), n AS (SELECT count(*) AS n FROM part) SELECT q AS pos, q AS record_id, CASE WHEN q < n THEN a.p_name ELSE b.p_name END AS data FROM (SELECT unnest(range(0, (SELECT 2 * n + 5 FROM n))) AS q), n LEFT JOIN p a ON a.record_id = q AND q % 5 <> 0 LEFT JOIN p b ON b.record_id = q - n")
 def blob_get_batch(spark, sf_dir):
-    """Records put into a store, a fifth removed, then asked for in order; misses are null."""
+    """Records put into a store, a fifth of them removed, all put once more, then every id asked for; misses are null and no id is used again."""
     s = store.RecordStore(spark, f"{store.shared_dir(spark)}/tessera-{uuid.uuid4().hex}/records")
-    s.put_batch(table(spark, sf_dir, "part").select("p_partkey", F.encode("p_name", "UTF-8").alias("data")), "p_partkey")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.encode("p_name", "UTF-8").alias("data"))
+    s.put_batch(rows, "p_partkey")
     s.remove_batch(s.scan().filter("record_id % 5 = 0").select("record_id"))
-    ids = spark.range(0, 4000, 7).select(F.col("id").alias("pos"), F.col("id").alias("record_id"))
+    s.put_batch(rows, "p_partkey")
+    ids = spark.range(0, 2 * rows.count() + 5).select(F.col("id").alias("pos"), F.col("id").alias("record_id"))
     return s.get_batch(ids).select("pos", "record_id", F.decode("data", "UTF-8").alias("data"))
 
 
@@ -158,11 +169,12 @@ def mixed_length_store(spark, sf_dir):
     return store.length_split(table(spark, sf_dir, "part").select("p_partkey", F.encode("p_name", "UTF-8").alias("data"))).select("p_partkey", "is_fixed")
 
 
-@query("SELECT count(DISTINCT f) AS pool, count(*) AS total FROM (SELECT unnest(string_split(props, ',')) AS f FROM events)")
+@query("SELECT event_id, props AS data, len(regexp_extract_all(props, '(?s).{4}.{0,11}?[,:]|.{1,16}')) AS fragments FROM events")
 def fragment_store(spark, sf_dir):
-    """How many fragments a store of event properties keeps, and how many it stands for."""
-    pool, lists = store.fragments(table(spark, sf_dir, "events"), "event_id", "props", ",")
-    return lists.agg(F.sum(F.size("ids")).alias("total")).crossJoin(pool.agg(F.count("*").alias("pool")))
+    """Event properties cut into fragments of 5 to 16 bytes behind commas and colons, each kept once, and put together again."""
+    pool, lists = store.fragments(table(spark, sf_dir, "events"), "event_id", "props", ",:", 4, 16)
+    back = store.restored(pool, lists, "event_id").select("event_id", F.decode("data", "UTF-8").alias("data"))
+    return back.join(lists.select("event_id", F.size("ids").cast("long").alias("fragments")), "event_id")
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")
@@ -201,7 +213,7 @@ def streaming_upserts(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     q = pipeline.upserts(pipeline.replayed(spark, rows, "events"), f"{root}/table", ["user_id"], "event_id", f"{root}/checkpoint")
     pipeline.finished(q)
-    return spark.read.schema(rows.schema).parquet(f"{root}/table/v{q.lastProgress['batchId']:09d}").select("user_id", "event_id", "event_type")
+    return pipeline.upserted(spark, f"{root}/table", rows.schema).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT event_type, list_sort(list(DISTINCT user_id))[1:5] AS users, count(DISTINCT user_id) AS n FROM events GROUP BY event_type")
@@ -219,7 +231,6 @@ def map_gather(spark, sf_dir):
 
 @query("SELECT doc_id, n, rank() OVER (ORDER BY n, doc_id) - 1 AS below FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS n FROM documents)")
 def order_ranks(spark, sf_dir):
-    """Place of each document by its number of words, through blocked running sums."""
+    """Place of each document by its number of words, range by range."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.size(words(F.col("text"))).alias("n"))
-    key = d.withColumn("pos", F.col("n").cast("long") * (1 << 32) + F.col("doc_id"))
-    return sequence.running_sum(key, F.lit(1), "pos", inclusive=False).select("doc_id", "n", F.col("running").alias("below"))
+    return sequence.running_by(d, ["n", "doc_id"], F.lit(1), inclusive=False).select("doc_id", "n", F.col("running").alias("below"))

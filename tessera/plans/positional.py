@@ -120,8 +120,8 @@ def sort_by_length(spark, sf_dir):
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey, o_orderkey) AS nr FROM orders")
 def kv_stable_sort(spark, sf_dir):
     """Sorted by key, equal keys in input order."""
-    w = Window.partitionBy("o_orderpriority").orderBy("o_custkey", "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).alias("nr"))
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_custkey", "o_orderkey")
+    return sequence.numbered_in_groups(o, ["o_orderpriority"], ["o_custkey", "o_orderkey"]).select("o_orderkey", "nr")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
@@ -135,12 +135,16 @@ def kth_string(spark, sf_dir):
     return firsts.withColumn("k", F.row_number().over(Window.orderBy("p_name", "p_partkey")) - 1).filter(F.col("k").isin(0, 10, 100)).select("p_name", "k")
 
 
-@query("SELECT l_orderkey // 64 AS block, count(*) FILTER (WHERE l_extendedprice > 50000) AS n, coalesce(bit_or(1::BIGINT << CAST(l_orderkey % 62 AS INTEGER)) FILTER (WHERE l_extendedprice > 50000), 0)::BIGINT AS mask FROM lineitem GROUP BY 1")
+#: Words of 64 bits in the SQL are unsigned; as signed numbers they are as Spark has them.
+_SIGNED = "CAST(CASE WHEN {0} >= 9223372036854775808 THEN CAST({0} AS HUGEINT) - 18446744073709551616 ELSE CAST({0} AS HUGEINT) END AS BIGINT)"
+
+
+@query(f"WITH s AS (SELECT o_orderkey AS id, o_totalprice > 150000 AS over FROM orders), w AS (SELECT id // 64 AS block, count(*) FILTER (WHERE over) AS n, coalesce(bit_or(1::UBIGINT << (id % 64)::UBIGINT) FILTER (WHERE over), 0::UBIGINT) AS mask FROM s GROUP BY 1) SELECT block, n, {_SIGNED.format('mask')} AS mask FROM w")
 def block_filter(spark, sf_dir):
-    """Per block of 64 ids: how many scores are above the threshold, and a mask of their places; NaN is above nothing."""
-    over = (F.col("l_extendedprice") > 50000) & ~F.isnan("l_extendedprice")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("l_orderkey") % 62).cast("int"))
-    return table(spark, sf_dir, "lineitem").groupBy(F.floor(F.col("l_orderkey") / 64).alias("block")).agg(F.count_if(over).alias("n"), F.coalesce(F.bit_or(F.when(over, bit)), F.lit(0)).alias("mask"))
+    """Per block of 64 ids: how many scores are above the threshold, and a mask in which bit i is the block's id number i; NaN is above nothing."""
+    over = (F.col("o_totalprice") > 150000) & ~F.isnan(F.col("o_totalprice").cast("double"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("o_orderkey") % 64).cast("int"))
+    return table(spark, sf_dir, "orders").groupBy(F.expr("o_orderkey div 64").alias("block")).agg(F.count_if(over).alias("n"), F.coalesce(F.bit_or(F.when(over, bit)), F.lit(0)).alias("mask"))
 
 
 @query("SELECT l_orderkey, l_linenumber, sign(l_quantity - l_linenumber) AS cmp FROM lineitem")

@@ -68,8 +68,7 @@ def fuzzy_terms(spark, sf_dir):
 def multi_pattern(spark, sf_dir):
     """Places of every word of the benchmark in the pages, overlaps too: how many, and the first."""
     e = _terms(spark, sf_dir, "benchmark").select(F.col("term").alias("entry"))
-    found = search.multi_pattern(table(spark, sf_dir, "pages"), e, "page_id", text="html")
-    return found.groupBy("page_id", "entry").agg(F.count("*").alias("places"), F.min("pos").alias("first"))
+    return search.multi_pattern_counts(table(spark, sf_dir, "pages"), e, "page_id", text="html")
 
 
 @query("SELECT prefix, count(*) AS n FROM (SELECT unnest(list_transform(range(1, least(length(p_name), 12) + 1), lambda i: substr(p_name, 1, i))) AS prefix FROM part) GROUP BY prefix HAVING count(*) >= 20")

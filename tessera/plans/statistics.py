@@ -57,7 +57,12 @@ def entropy(spark, sf_dir):
     return stats.entropy(c, ["p_brand"]).select("p_brand", F.round("bits", 8).alias("bits"))
 
 
-@query()
+@query(
+    "WITH b AS (SELECT p_brand, ('0x' || substr(h, 2 * i + 1, 2))::INTEGER AS byte FROM (SELECT p_brand, hex(encode(p_name)) AS h, unnest(range(0, strlen(p_name))) AS i FROM part)), c AS (SELECT p_brand, byte, count(*) AS n FROM b GROUP BY 1, 2), "
+    "x AS (SELECT *, n * 4096 / sum(n) OVER (PARTITION BY p_brand) AS exact FROM c), y AS (SELECT *, greatest(floor(exact)::BIGINT, 1) AS base, row_number() OVER (PARTITION BY p_brand ORDER BY exact - floor(exact) DESC, byte) AS nr FROM x), "
+    "z AS (SELECT *, 4096 - sum(base) OVER (PARTITION BY p_brand) AS rest, row_number() OVER (PARTITION BY p_brand ORDER BY base DESC, byte) AS large FROM y) "
+    "SELECT p_brand, byte, n, CAST(base + CASE WHEN rest > 0 AND nr <= rest THEN 1 ELSE 0 END + CASE WHEN rest < 0 AND large = 1 THEN rest ELSE 0 END AS BIGINT) AS share FROM z"
+)
 def normalised_frequencies(spark, sf_dir):
     """Byte counts scaled to a total of 4096, every byte that occurs at least once."""
     c = stats.byte_counts(table(spark, sf_dir, "part"), ["p_brand"], "p_name")

@@ -12,11 +12,11 @@ _WORD = "[A-Za-z0-9_]+"
 _L = "(SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages)"
 
 
-@query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+')) AS word FROM conversations) WHERE word <> '' GROUP BY word")
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '{T.UNICODE_SPACE}+')) AS word FROM conversations) WHERE word <> '' GROUP BY word")
 def word_frequency(spark, sf_dir):
-    """Words between white space, punctuation kept."""
-    each = table(spark, sf_dir, "conversations").select(F.explode(F.split(T.ascii_lower(F.col("text")), T.SPACE_CLASS + "+")).alias("word"))
-    return each.filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    """Words between Unicode white space in lower case, punctuation kept."""
+    each = table(spark, sf_dir, "conversations").select(F.explode(T.unicode_words(F.col("text"))).alias("word"))
+    return each.groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, regexp_extract_all(text, '{_WORD}') AS words FROM documents")
@@ -24,9 +24,10 @@ def tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("words"))
 
 
-@query("WITH p AS (SELECT p_partkey, p_name, unnest(range(1, length(p_name))) AS i FROM part WHERE length(p_name) > 0) SELECT p_partkey, CAST(count(*) FILTER (WHERE regexp_matches(substr(p_name, i, 1), '[A-Za-z0-9_]') <> regexp_matches(substr(p_name, i + 1, 1), '[A-Za-z0-9_]')) + 2 AS INTEGER) AS n FROM p GROUP BY p_partkey, p_name")
+@query("SELECT p_partkey, CASE WHEN p_name = '' THEN [0] ELSE list_concat([0], list_transform(list_filter(range(1, length(p_name)), lambda i: regexp_matches(substr(p_name, i, 1), '[A-Za-z0-9_]') <> regexp_matches(substr(p_name, i + 1, 1), '[A-Za-z0-9_]')), lambda i: CAST(i AS INTEGER)), [CAST(length(p_name) AS INTEGER)]) END AS at FROM part")
 def word_boundaries(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.size(T.boundaries(F.col("p_name"))).alias("n"))
+    """Byte offsets; names are of ASCII alone."""
+    return table(spark, sf_dir, "part").select("p_partkey", T.boundaries(F.col("p_name")).alias("at"))
 
 
 @query("SELECT doc_id, CASE WHEN instr(text, 'é') > 0 THEN strlen(string_split(text, 'é')[1]) END AS at FROM documents")
@@ -73,9 +74,9 @@ def split_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.split_keep(F.col("props"), ":").alias("fields"))
 
 
-@query("WITH s AS (SELECT page_id, string_split(url, '/') AS f FROM pages) SELECT page_id, CAST(CASE WHEN f[-1] = '' THEN len(f) - 1 ELSE len(f) END AS INTEGER) AS n FROM s")
+@query("WITH s AS (SELECT page_id, string_split(url, '/') AS f FROM pages) SELECT page_id, CASE WHEN f[-1] = '' THEN f[1 : len(f) - 1] ELSE f END AS fields FROM s")
 def split_dropping_last(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.size(T.split_drop(F.col("url"), "/")).alias("n"))
+    return table(spark, sf_dir, "pages").select("page_id", T.split_drop(F.col("url"), "/").alias("fields"))
 
 
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
@@ -96,10 +97,19 @@ def class_mask(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.class_mask(F.col("p_brand"), "[0-9]").alias("mask"))
 
 
-@query("SELECT doc_id, strlen(text) AS bytes, length(text) AS chars, len(regexp_extract_all(text, '[\\x{0}-\\x{7F}]')) AS ascii, len(regexp_extract_all(text, '[\\x{80}-\\x{FF}]')) AS latin, len(regexp_extract_all(text, '\\p{N}')) AS numeric, len(regexp_extract_all(text, '\\p{Cc}')) AS control FROM documents")
+_COUNT = "len(regexp_extract_all(text, '{}'))"
+_ASCII = _COUNT.format("[\\x{0}-\\x{7F}]")
+
+
+@query(
+    f"SELECT doc_id, strlen(text) AS bytes, length(text) AS chars, {_ASCII} AS ascii, {_COUNT.format('[\\p{L}\\p{Nl}]')} AS alphabetic, {_COUNT.format('\\p{N}')} AS numeric, {_COUNT.format(T.UNICODE_SPACE)} AS whitespace, {_COUNT.format('\\p{Cc}')} AS control, "
+    f"{_COUNT.format('[\\x{80}-\\x{FF}]')} AS latin, {_COUNT.format('[\\x{100}-\\x{17FF}]')} AS middle, {_COUNT.format('[\\x{1800}-\\x{10FFFF}]')} AS high, "
+    f"round(CASE WHEN length(text) = 0 THEN 0 ELSE 0.7 * (length(text) - {_ASCII}) / length(text) + least(0.3, (strlen(text) / length(text) - 1) / 3 * 0.3) END, 9) AS score FROM documents"
+)
 def unicode_profile(spark, sf_dir):
     p = table(spark, sf_dir, "documents").select("doc_id", T.unicode_profile(F.col("text")).alias("p"))
-    return p.select("doc_id", *[F.col(f"p.{c}").cast("long").alias(c) for c in ("bytes", "chars", "ascii", "latin", "numeric", "control")])
+    kinds = ("bytes", "chars", "ascii", "alphabetic", "numeric", "whitespace", "control", "latin", "middle", "high")
+    return p.select("doc_id", *[F.col(f"p.{c}").cast("long").alias(c) for c in kinds], F.round("p.score", 9).alias("score"))
 
 
 @query("SELECT p_partkey, lower(hex(encode(p_name))) AS hex, base64(encode(p_name)) AS b64, p_name AS back FROM part")
@@ -131,12 +141,21 @@ def affixes_and_slices(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.startswith("Th").alias("starts"), t.endswith(".").alias("ends"), F.substring(t, 3, 5).alias("part"), F.reverse(F.substring(t, 1, 6)).alias("back"))
 
 
-@query()
+_WIDE = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in T.WIDE) + "]"
+
+
+@query(f"SELECT doc_id, CAST(length(text) - len(regexp_extract_all(text, '\\p{{Cc}}')) + len(regexp_extract_all(text, '{_WIDE}')) AS INTEGER) AS width FROM (SELECT doc_id, text || chr(9) || chr(12687) || chr(12703) || chr(42191) || chr(65049) || chr(131072) || chr(194560) || chr(200000) AS text FROM documents)")
 def display_width(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.display_width(F.col("text")).alias("width"))
+    """Columns on a terminal, of texts with a tab, wide characters of several blocks and one that is not listed behind them."""
+    tail = "".join(map(chr, (9, 12687, 12703, 42191, 65049, 131072, 194560, 200000)))
+    return table(spark, sf_dir, "documents").select("doc_id", T.display_width(F.concat("text", F.lit(tail))).alias("width"))
 
 
-@query("SELECT doc_id, true AS valid, length(text) AS chars FROM documents")
+@query("SELECT p_partkey, p_partkey % 3 <> 1 AS valid, CASE WHEN p_partkey % 3 <> 1 THEN length(p_name) + (p_partkey % 3 = 0)::INTEGER END AS chars FROM part")
 def utf8_validation(spark, sf_dir):
-    t = table(spark, sf_dir, "documents")
-    return t.select("doc_id", F.is_valid_utf8("text").alias("valid"), F.char_length("text").cast("long").alias("chars"))
+    """Names with a whole two-byte letter behind them, half of one, and none."""
+    data = F.encode(F.concat("p_name", F.lit("é")), "UTF-8")
+    n = F.octet_length(data) - (F.col("p_partkey") % 3).cast("int")
+    t = table(spark, sf_dir, "part").select("p_partkey", F.substring(data, F.lit(1), n).alias("data"))
+    valid = F.is_valid_utf8(F.col("data").cast("string"))
+    return t.select("p_partkey", valid.alias("valid"), F.when(valid, F.char_length(F.col("data").cast("string"))).cast("long").alias("chars"))

@@ -71,19 +71,68 @@ def to_table(df: DataFrame, name: str, mode: str) -> StreamingQuery:
     return df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
 
 
-def upserts(df: DataFrame, path: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the newest row of each key in a Parquet table, a new version a micro-batch; replays give the same table."""
+#: Parts of an upserted table; a micro-batch rewrites those that its keys are in.
+PARTS = 64
+
+
+def upserts(df: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, parts: int = PARTS) -> StreamingQuery:
+    """Keeps the newest row of each key in a Parquet table dealt to parts by key. A micro-batch writes new versions of the parts it touches; replays give the same table."""
 
     def merge(batch: DataFrame, nr: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v{nr - 1:09d}") if nr else batch.limit(0)
-        kept = [c for c in batch.columns if c not in keys]
-        newest = old.unionByName(batch).groupBy(*keys).agg(F.max_by(F.struct(*kept), order).alias("_r")).select(*keys, "_r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/v{nr:09d}")
+        batch = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        touched = [r["part"] for r in batch.select("part").distinct().collect()]  # parts at most
+        current = _versions(spark, path, nr)
+        old = [current[p] for p in touched if p in current]
+        rows = batch
+        if old:
+            kept = StructType([f for f in batch.schema.fields if f.name != "part"])
+            rows = batch.unionByName(spark.read.schema(kept).parquet(*old).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")))
+        others = [c for c in batch.columns if c not in (*keys, "part")]
+        newest = rows.groupBy("part", *keys).agg(F.max_by(F.struct(*others), order).alias("_r")).select("part", *keys, "_r.*")
+        newest.write.mode("overwrite").partitionBy("part").parquet(f"{path}/b{nr:09d}")
 
     return df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """The newest written version of each part, of micro-batches before a number."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[int, str] = {}
+    names = sorted(x.getPath().getName() for x in fs.listStatus(root)) if fs.exists(root) else []
+    for name in names:
+        if not name.startswith("b") or (before is not None and int(name[1:]) >= before) or not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")):
+            continue
+        for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")):
+            if (at := x.getPath().getName()).startswith("part="):
+                out[int(at[5:])] = f"{path}/{name}/{at}"
+    return out
+
+
+def upserted(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table that upserts keeps."""
+    at = _versions(spark, path)
+    return spark.read.schema(schema).parquet(*at.values()) if at else spark.createDataFrame([], schema)
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, within: str, delay: str) -> DataFrame:
+    """Pairs of two streams with one key whose right time is at or behind the left one, by at most within; state older than the watermarks goes."""
+    a, b = left.withWatermark(left_time, delay), right.withWatermark(right_time, delay)
+    return a.join(b, (a[key] == b[key]) & (b[right_time] >= a[left_time]) & (b[right_time] <= a[left_time] + F.expr(f"interval {within}"))).drop(b[key])
+
+
+def timed_batches(df: DataFrame, function: Callable[[DataFrame, int], None], seconds: float, checkpoint: str) -> StreamingQuery:
+    """Calls function with micro-batches of what has come, at most every so many seconds of processing time."""
+    return df.writeStream.foreachBatch(function).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
+def line_source(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
+    """A stream of the lines of text files (value); it goes forward only."""
+    return spark.readStream.option("maxFilesPerTrigger", files).text(path)
+
+
 def finished(query: StreamingQuery) -> None:
     query.processAllAvailable()
     query.awaitTermination()

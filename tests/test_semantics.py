@@ -9,6 +9,7 @@ from tessera.functions import bits, codec
 from tessera.functions import text as T
 from tessera.operators import search, sequence, setops, stats, suffixes
 from tessera.sources import lines, store
+from tessera.streaming import pipeline
 
 
 def values(spark, xs):
@@ -120,7 +121,9 @@ def test_fieldnorm(spark):
 
 
 def test_codecs(spark):
-    assert codec.crc32c_of(b"123456789") == 0xE3069283
+    assert codec.crc32c_of([b"123456789", b"", b"abc", b"123456789" * 40])[[0, 1]].tolist() == [0xE3069283, 0]
+    each = [b"x" * n for n in (5, 0, 300, 5)]
+    assert codec.crc32c_of(each).tolist() == [int(codec.crc32c_of([x])[0]) for x in each]
     r = random.Random(3)
     datas = [b"", b"a", b"aaaa" * 500, bytes(r.randrange(256) for _ in range(3000)), b"abracadabra" * 90, bytes(range(256))]
     for data in datas:
@@ -132,14 +135,117 @@ def test_codecs(spark):
     with pytest.raises(ValueError):
         codec.varint_values(b"\x80")
     d = spark.createDataFrame([(bytearray(x),) for x in datas] + [(None,)], "x binary")
-    for c in ("zstd", "huffman", "rans", "fse"):
+    signed = [0, -1, 1, 5, -(2**40), 2**62, -(2**62)]
+    for name, (pack, read) in codec.INTEGER_FORMS.items():
+        for values in ([], [7], numbers, numbers[::-1], [3] * 9):
+            assert read(pack(values)) == values, name
+    for name in ("zigzag", "delta", "bit_packed"):
+        pack, read = codec.INTEGER_FORMS[name]
+        assert read(pack(signed)) == signed
+    for pack, read in (codec.INTEGER_FORMS[n] for n in ("group", "prefix_free", "bit_packed", "streamvbyte")):
+        with pytest.raises((ValueError, IndexError)):
+            read(pack(numbers)[:-1])
+    words = b"the quick brown fox jumps over the lazy dog " * 3
+    for data in [*datas, b"the lazy fox jumps over", words + b"!" + words]:
+        coded = codec.match_stream_bytes(suffixes.Dictionary(words), data)
+        assert codec.match_stream_data(words, coded) == data
+    assert len(codec.match_stream_bytes(suffixes.Dictionary(words), words * 5)) < len(words)
+    with pytest.raises(ValueError):
+        codec.match_stream_data(words, codec.varint_bytes([3, 1]) + b"x")
+    for c in codec.BYTE_FORMS:
         assert [r.y for r in d.select(codec.decode(codec.encode(F.col("x"), c), c).alias("y")).collect()] == [*map(bytearray, datas), None]
 
 
 def test_suffixes():
-    for data in (b"", b"a", b"banana", b"mississippi" * 5, bytes(range(200)) * 2):
-        places = suffixes.suffix_array_of(data)
-        assert places.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+    def common(x, y):
+        return next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+    for data in (b"", b"a", b"banana", b"mississippi" * 5, bytes(range(200)) * 2, b"a" * 40):
+        places, lcp = suffixes.suffixes_of(data)
+        want = sorted(range(len(data)), key=lambda i: data[i:])
+        assert places.tolist() == want == suffixes.suffix_array_of(data).tolist()
+        assert lcp.tolist() == [0] * bool(data) + [common(data[a:], data[b:]) for a, b in zip(want, want[1:])]
+        for pattern in (b"", b"a", b"an", b"issi", b"zz"):
+            below, n = sum(data[i:] < pattern for i in want), sum(data[i:].startswith(pattern) for i in want)
+            assert suffixes._bounds(data, places, pattern) == (below, below + n)
+    known = suffixes.Dictionary(b"banana bandana")
+    for data in (b"bandit", b"ananas", b"xyz", b"banana bandana!"):
+        place, n = known.longest(data, 0)
+        assert n == max(k for k in range(len(data) + 1) if data[:k] in known.words) and known.words[place : place + n] == data[:n]
+
+
+def test_bitmaps(spark):
+    pattern = [0, 1, 1, 0, 1, 0, 0, 1]
+    d = spark.createDataFrame(list(enumerate(pattern)), "pos long, bit int")
+    assert {r.pos: r.rank0 for r in sequence.rank0(d).collect()} == {i: i - sum(pattern[:i]) for i in range(8)}
+    assert sorted((r.k, r.pos) for r in sequence.select0(d).collect()) == [(0, 0), (1, 3), (2, 5), (3, 6)]
+    ranges = spark.createDataFrame([(0, 8), (2, 2), (1, 5), (5, 100), (90, 100)], "start long, stop long")
+    assert {(r.start, r.stop): r.ones for r in sequence.count_range(d, ranges).collect()} == {(0, 8): 4, (2, 2): 0, (1, 5): 3, (5, 100): 1, (90, 100): 0}
+    places = {0, 5, 63, 64, 130}
+    words = sequence.words_of(spark.createDataFrame([(x,) for x in places], "pos long"))
+
+    def bits_of(df):
+        return {r.block * 64 + i for r in df.collect() for i in range(64) if r.word >> i & 1}
+
+    assert bits_of(words) == places
+    for start, stop in ((0, 64), (60, 70), (63, 64), (10, 10), (1, 300)):
+        assert bits_of(sequence.set_range(words, start, stop, True)) == places | set(range(start, stop))
+        assert bits_of(sequence.set_range(words, start, stop, False)) == places - set(range(start, stop))
+    word = F.lit(-(2**63) + 0b1110110).cast("long")
+    got_ = spark.range(1).select(
+        bits.bit_get(word, F.lit(63)).alias("a"), bits.bit_get(word, F.lit(64)).alias("b"), bits.count_ones_range(word, F.lit(0), F.lit(64)).alias("c"), bits.count_ones_range(word, F.lit(60), F.lit(30)).alias("d"),
+        bits.count_ones_range(word, F.lit(64), F.lit(1)).alias("e"), bits.ones_run(word, F.lit(4)).alias("f"), bits.ones_run(word, F.lit(0)).alias("g"), bits.ones_run(F.lit(-1).cast("long"), F.lit(3)).alias("h"),
+    ).first()
+    assert tuple(got_) == (1, None, 6, 1, 0, 3, 0, 61)
+
+
+def test_hash_combine_wraps(spark):
+    r = random.Random(2)
+    rows = [(r.randrange(-(2**63), 2**63), r.randrange(-(2**63), 2**63)) for _ in range(200)]
+    d = spark.createDataFrame(rows, "h long, v long").select("h", "v", bits.hash_combine(F.col("h"), F.col("v")).alias("x"))
+    for x in d.collect():
+        h = x.h % 2**64
+        want = (((h << 5 | h >> 59) % 2**64) + x.v) % 2**64
+        assert x.x % 2**64 == want
+
+
+def test_unicode_text(spark):
+    d = spark.createDataFrame([("ÉLAN x\u00a0y\u2003İ ΣΑΣ", 1), ("", 2), (None, 3)], "t string, k int")
+    rows = {r.k: r.w for r in d.select("k", T.unicode_words(F.col("t")).alias("w")).collect()}
+    assert rows == {1: ["élan", "x", "y", "i̇", "σας"], 2: [], 3: None}
+    for first, last in T.WIDE:
+        assert one(spark, T.display_width(F.lit(chr(first) + chr(last)))) == 4
+    assert one(spark, T.display_width(F.lit("\u18b0\U0001f600\U0003fffd"))) == 3
+    assert one(spark, T.code_points(F.lit("aé日😀"))) == [0x61, 0xE9, 0x65E5, 0x1F600]
+    assert one(spark, T.printable(F.lit("a\tb\n"))) and not one(spark, T.printable(F.lit("a\x1b")))
+    assert one(spark, T.find_all(F.lit("aaaa"), "aa", 2)) == [0, 1]
+    assert [tuple(x) for x in one(spark, T.find_any(F.lit("xéx"), b"x"))] == [(0, 120), (3, 120)]
+
+
+def test_fragments_keep_their_limits(spark):
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice("ab,:é") for _ in range(r.randint(0, 60)))) for i in range(40)] + [(90, None), (91, "")]
+    d = spark.createDataFrame(rows, "k long, t string")
+    pool, lists = store.fragments(d, "k", "t", ",:", 3, 9)
+    sizes = [len(x.fragment) for x in pool.collect()]
+    assert max(sizes) <= 9 and len(set(x.fragment_id for x in pool.collect())) == len(sizes)
+    back = {x.k: bytes(x.data).decode() for x in store.restored(pool, lists, "k").collect()}
+    assert back == {k: t or "" for k, t in rows}
+    with pytest.raises(ValueError):
+        store.fragments(d, "k", "t", ",", 5, 5)
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """A row older than the watermark is not counted; one that is late but within the delay is."""
+    schema = "ts timestamp, k string"
+    path = f"file://{tmp_path}/in"
+    for hour in (("2024-01-01 00:10", "2024-01-01 09:00"), ("2024-01-01 09:30",), ("2024-01-01 08:30", "2024-01-01 00:20", "2024-01-01 23:00"), ("2024-01-02 23:00",)):
+        spark.createDataFrame([(t, "a") for t in hour], "t string, k string").selectExpr("cast(t as timestamp) as ts", "k").coalesce(1).write.mode("append").parquet(path)
+    counted = pipeline.windowed(pipeline.source(spark, path, schema, 1), "ts", "1 hour", "2 hours", ["k"])
+    q = counted.writeStream.outputMode("append").format("memory").queryName("late").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    pipeline.finished(q)
+    got_ = {r.start.hour: r.n for r in spark.table("late").filter("start < '2024-01-02'").collect()}
+    assert got_ == {0: 1, 8: 1, 9: 2, 23: 1}  # the watermark of the batch before last decides what is late
 
 
 def test_store(spark, tmp_path):
@@ -152,6 +258,16 @@ def test_store(spark, tmp_path):
         s.get(1)
     s.put_batch(d, "o")
     assert sorted(r.record_id for r in s.scan().collect()) == [0, 2, 3, 4, 5]
+    assert s.remove_batch(spark.createDataFrame([(5,), (4,)], "record_id long")) == 2
+    before = sorted(map(tuple, s.scan().collect()))
+    s.compact()
+    assert sorted(map(tuple, s.scan().collect())) == before and len(s._parts()) == 1
+    assert sorted(r.record_id for r in s.put_batch(d, "o").collect()) == [6, 7, 8]  # a removed greatest id is not used again
+    f = store.FolderStore(spark, f"file://{tmp_path}/folders")
+    f.put_batch(spark.createDataFrame([(1, bytearray(b"a")), (2, bytearray(b""))], "record_id long, data binary"))
+    assert f.get(2) == b"" and f.remove(1) and not f.remove(1)
+    with pytest.raises(KeyError):
+        f.get(1)
 
 
 def test_lines(spark):
