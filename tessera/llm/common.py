@@ -11,6 +11,8 @@ Conventions of the whole subpackage:
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,12 +37,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tessera-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or, where that is unset and all run in one process, a folder of this one's own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = _own_dir()
     return at.rstrip("/")
 
 
