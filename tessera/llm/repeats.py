@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_text, pieces, saved
+from tessera.llm.common import dropped, id_text, pieces, saved
 from tessera.llm.hashing import even_keys, mixed, strings
 
 U = np.uint64
@@ -46,8 +46,8 @@ BASE = U(0x9E3779B97F4A7C15)
 RUN = 2000
 #: Characters of text for which one batch of anchors is sent.
 BATCH_CHARS = 12_000_000
-#: Anchors in a bucket, and classes of runs in a group that one task holds.
-BUCKET, GROUP = 500_000, 100_000
+#: Anchors in a bucket, classes of runs that one kernel call takes, and classes of one anchor beyond which it is split by whole windows.
+BUCKET, GROUP, HEAVY = 500_000, 100_000, 800
 #: Partitions at most, each of which holds one bucket after another, and bits of a bucket's number at most.
 PARTITIONS, MOST_BITS = 20_000, 20
 #: Bytes of text of the whole anchor groups that one kernel call takes, unless one group alone has more.
@@ -297,10 +297,13 @@ def candidates(rows: DataFrame, alphabet: Alphabet) -> DataFrame:
     """(doc_id, version, text, nrs) of the documents with runs to settle, as a written table."""
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(4, math.ceil(math.log2(max(1, total * 2 / (alphabet.width - alphabet.gram + 2) / BUCKET))))
-    named = saved(answers(requests(rows, alphabet, min(bits, MOST_BITS)), min(bits, MOST_BITS)), "answers")
+    done: list[str] = []
+    named = saved(answers(requests(rows, alphabet, min(bits, MOST_BITS)), min(bits, MOST_BITS)), "answers", into=done)
     by_doc = named.groupBy("doc_id").agg(F.collect_list("nr").alias("nrs"))
     # merge: what names documents grows with them, so it is never broadcast
-    return saved(filtered(rows, named).join(by_doc.hint("merge"), "doc_id").select("doc_id", "version", "text", "nrs"), "candidates")
+    out = saved(filtered(rows, named).join(by_doc.hint("merge"), "doc_id").select("doc_id", "version", "text", "nrs"), "candidates")
+    dropped(rows.sparkSession, done)
+    return out
 
 
 # ---- classes of runs
@@ -545,10 +548,10 @@ SPANS = "doc_id long, version long, start int, stop int"
 def settle(live: DataFrame, equal, windows_of, width: int, group_rows: int = GROUP) -> DataFrame:
     """(doc_id, version, start, stop) of all covered spans of open runs, from the written rows of run_pieces.
 
-    windows_of(piece): the bytes of each window of a piece, for anchors with more than group_rows classes; those
+    windows_of(piece): the bytes of each window of a piece, for anchors with more than HEAVY classes; those
     are split by whole windows, each of which needs only its least document.
     """
-    heavy = saved(live.groupBy("key").count().filter(F.col("count") > group_rows).select("key"), "heavy")
+    heavy = saved(live.groupBy("key").count().filter(F.col("count") > min(group_rows, HEAVY)).select("key"), "heavy")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0

@@ -4,10 +4,10 @@ Suffixes that share no window with another document are settled beforehand
 (``repeats``). The rest is split by prefixes of varying length: by the anchor
 inside their first window (8 words), and where one anchor has more classes than
 a group may hold, by the whole window (50 words). For each group a suffix tree,
-cut off at the window's depth, is built level by level: suffixes with equal
-words to depth 1, 2, 4, ... share a node. A node at full depth with leaves in
-two documents is a deep internal node; its paths, joined where they overlap,
-are the maximal repeats, and its least document keeps the text.
+cut off behind the window's depth, is built as its leaves in order with the words
+that neighbours share. Its deep internal nodes, those with at least a window's
+words above two leaves, give the repeats: their paths, joined where they
+overlap, are the maximal repeats, and a node's least document keeps the text.
 
 Rule: a word goes if a window of ``width`` words that covers it also starts in a
 document with a smaller id; windows are judged on the input.
@@ -50,20 +50,53 @@ def alphabet(width: int) -> repeats.Alphabet:
     return repeats.Alphabet(_symbols, _cut, width, min(ANCHOR, width), 1_000_000)
 
 
+def subtree(segments: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, place, common, node) of the leaves of a group's suffix tree in order, cut off at about depth words.
+
+    Leaves are suffixes with at least depth words. common: words that a leaf shares with the one before it (0 for the
+    first). node: the number of the deep internal node above the leaf, the highest one with at least depth words, or
+    -1: an interval of neighbours that share so many words.
+    """
+    sizes = np.array([len(s) for s in segments], np.int64)
+    word = pd.factorize(np.array([w for s in segments for w in s], dtype=object))[0].astype(np.int64) + 1
+    n = len(word)
+    stop = np.repeat(np.cumsum(sizes), sizes)
+    here = np.arange(n)
+    levels, size = [word], 1
+    while size < depth:  # ranks of 1, 2, 4, ... words; a segment's end comes before all words
+        on = here + size
+        after = np.where(on < stop, levels[-1][np.minimum(on, n - 1)], 0)
+        key = levels[-1] * (int(levels[-1].max(initial=0)) + 1) + after
+        order = np.argsort(key)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[1], key[order][1:] != key[order][:-1]])) if n else 0
+        levels.append(rank)
+        size *= 2
+    leaf = np.flatnonzero(here + depth <= stop)
+    leaf = leaf[np.argsort(levels[-1][leaf], kind="stable")]
+    common = np.zeros(len(leaf), np.int64)
+    if len(leaf) > 1:
+        a, b = leaf[:-1].copy(), leaf[1:].copy()
+        end_a, end_b = stop[a], stop[b]
+        for k in range(len(levels) - 1, -1, -1):
+            inside = (a + (1 << k) <= end_a) & (b + (1 << k) <= end_b)
+            step = np.zeros(len(a), np.int64)
+            step[inside] = (levels[k][a[inside]] == levels[k][b[inside]]).astype(np.int64) << k
+            a, b = a + step, b + step
+        common[1:] = a - leaf[:-1]
+    deep = common >= depth
+    node = np.cumsum(~deep) - 1
+    many = np.bincount(node, minlength=1)[node] > 1 if len(node) else np.zeros(0, bool)
+    start = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)[leaf]
+    return owner, leaf - start[owner], common, np.where(many, node, -1)
+
+
 def tree_nodes(segments: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, place, node) of each suffix with at least width words; node: its node at that depth."""
-    sizes = np.array([len(s) for s in segments])
-    node = pd.factorize(np.array([w for s in segments for w in s], dtype=object))[0].astype(np.int64)
-    depth = 1
-    while depth < width:  # children: the node at this depth, and the node where the suffix goes on
-        step = min(depth, width - depth)
-        pair = node[: len(node) - step] * (node.max() + 1) + node[step:]
-        node = np.unique(pair, return_inverse=True)[1]
-        depth += step
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    fits = np.flatnonzero(place + width <= np.repeat(sizes, sizes))
-    return owner[fits], place[fits], node[fits]
+    """(segment, place, node) of each suffix below a deep internal node, whose path has at least width words."""
+    owner, place, _, node = subtree(segments, width)
+    below = node >= 0
+    return owner[below], place[below], node[below]
 
 
 def covered(rows: DataFrame, width: int) -> DataFrame:

@@ -110,6 +110,22 @@ def test_empty(spark):
     assert suffix_tree.deduplicated(frame(spark, [None, "", " "])).filter("n_removed > 0").count() == 0
 
 
+def test_subtree_by_brute_force():
+    r = random.Random(9)
+    for _ in range(30):
+        segments = [[r.choice([b"a", b"b"]) for _ in range(r.randint(0, 30))] for _ in range(r.randint(1, 6))]
+        depth = r.choice([1, 2, 3, 5, 8])
+        owner, place, common, node = suffix_tree.subtree(segments, depth)
+        leaves = [segments[o][p:] for o, p in zip(owner, place)]
+        assert sorted(zip(owner, place)) == [(o, p) for o, s in enumerate(segments) for p in range(len(s) - depth + 1)]
+        for i, x in enumerate(leaves):
+            alike = [y[:depth] == x[:depth] for y in leaves]
+            assert (node[i] >= 0) == (sum(alike) > 1) and all((node[j] == node[i]) == same for j, same in enumerate(alike) if node[i] >= 0)
+            if i:
+                shared = next((k for k, (p, q) in enumerate(zip(leaves[i - 1], x)) if p != q), min(len(leaves[i - 1]), len(x)))
+                assert common[i] <= shared and (common[i] == shared or common[i] >= depth)
+
+
 def test_corpus_order_is_the_order_of_suffixes():
     found = [t.encode() for t in ("abracadabra" * 9, "abracadabra abracadabra", "", "mississippi" * 7, "abracadabra" * 9)]
     symbols, owner, left, follow = suffix_array.corpus_order(found, 10**6)
