@@ -52,14 +52,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df once and returns the written table, so that later plans start from files."""
+def saved(df: DataFrame, name: str, codec: str = "zstd", into: list[str] | None = None) -> DataFrame:
+    """Writes df once and returns the written table, so that later plans start from files; its folder's name goes into a list, for dropped()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", codec).parquet(path)
+    if into is not None:
+        into.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Removes written tables that no plan reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text): all that an operator takes from its input."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
