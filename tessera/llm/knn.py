@@ -1,8 +1,9 @@
 """Exact top-k search by inner product: a Voronoi kNN join.
 
-1. A bounded sample of the vectors gives pivots. Every vector goes to the cell of
-   its nearest pivot (Euclidean); a cell's summary is its number of vectors and
-   its radius.
+1. A bounded sample of the vectors gives pivots, about the square root of the
+   table's rows and no more than the sample. Every vector goes to the cell of its
+   nearest pivot (Euclidean); a cell's summary is its number of vectors and its
+   radius.
 2. For a query q the scores of a cell with pivot p and radius r lie within
    q.p - |q| r and q.p + |q| r. The k-th best lower bound over the cells, and the
    k-th best score among the sample, are both scores that q's k-th neighbour at
@@ -23,6 +24,7 @@ ties go to the smaller id; with fewer candidates all are returned.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import saved
 
-#: Vectors in the sample, of them pivots, and vectors of a block.
-SAMPLE, PIVOTS, BLOCK = 4096, 128, 4096
+#: Vectors in the sample, pivots at least, vectors of a block, and rows whose distances to all pivots are held at once.
+SAMPLE, PIVOTS, BLOCK, ROWS = 4096, 128, 4096, 1024
 #: Slack for rounding in the bounds, which are floats; scores are integers.
 SLACK = 1e-6
 
@@ -69,19 +71,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score). Both inputs: (vec_id, v array<bigint>) as of integer_vectors."""
     spark = vectors.sparkSession
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toPandas()
+    pivots_ = max(PIVOTS, math.isqrt(vectors.count())) if len(sample) == SAMPLE else PIVOTS
     held = {}
     for part in _by_length(sample) if len(sample) else ():
         m = _matrix(part["v"])
-        held[m.shape[1]] = (part["vec_id"].to_numpy(np.int64), m, np.unique(m[:PIVOTS], axis=0).astype(np.float64))
+        held[m.shape[1]] = (part["vec_id"].to_numpy(np.int64), m, np.unique(m[:pivots_], axis=0).astype(np.float64))
     shared = spark.sparkContext.broadcast(held)
 
     def nearest(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if m.shape[1] not in shared.value:  # a length the sample missed: one cell around the origin
             return np.zeros(len(m), np.int64), np.linalg.norm(m.astype(np.float64), axis=1)
         pivots = shared.value[m.shape[1]][2]
-        x = m.astype(np.float64)
-        d = (x**2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1)
-        cell = d.argmin(axis=1)
+        x, size = m.astype(np.float64), (pivots**2).sum(1)
+        cell = np.concatenate([(size - 2 * x[lo : lo + ROWS] @ pivots.T).argmin(axis=1) for lo in range(0, len(x), ROWS)])
         return cell, np.linalg.norm(x - pivots[cell], axis=1)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,8 +100,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for part in _by_length(pdf):
-                m, ids, mark = _matrix(part["v"]), part["vec_id"].to_numpy(np.int64), part["mark"].to_numpy(np.int64)
+            for part in (p.iloc[lo : lo + ROWS] for p in _by_length(pdf) for lo in range(0, len(p), ROWS)):
+                m, ids, mark, own = _matrix(part["v"]), *(part[c].to_numpy(np.int64) for c in ("vec_id", "mark", "own"))
                 about = cells.value.get(m.shape[1])
                 if about is None:
                     continue
@@ -110,7 +112,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 slack = SLACK * (1 + np.abs(middle) + norm * r)
                 low, high = middle - norm * r - slack, middle + norm * r + slack
                 order = np.argsort(-low, axis=1)
-                enough = np.cumsum(n[order], axis=1) >= k + 1  # one may be the query itself
+                enough = np.cumsum(n[order], axis=1) >= k + own[:, None]  # rows of the query's id are none of its answers
                 at = enough.argmax(axis=1)
                 least = np.where(enough[:, -1], np.take_along_axis(low, order, 1)[np.arange(len(m)), at], -np.inf)
                 if known and len(known[0]) > k:
@@ -126,7 +128,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     yield pd.DataFrame({"size": m.shape[1], "cell": cell[j], "block": block[lo : lo + 20_000], "side": 1, "vec_id": ids[i], "mark": mark[i], "least": np.maximum(least[i], -(2.0**62)), "v": [m[x].tobytes() for x in i]})
 
     schema = "size int, cell int, block int, side int, vec_id long, mark long, least double, v binary"
-    asked = queries.dropDuplicates(["vec_id", "v"]).withColumn("mark", F.xxhash64("v")).mapInPandas(reach, schema)  # mark: the vector of a repeated id
+    times = vectors.groupBy("vec_id").agg(F.count("*").alias("own"))
+    asked = queries.dropDuplicates(["vec_id", "v"]).withColumn("mark", F.xxhash64("v")).join(times, "vec_id", "left")  # mark: the vector of a repeated id
+    asked = asked.withColumn("own", F.coalesce("own", F.lit(0))).mapInPandas(reach, schema)
     counts = F.broadcast(spark.createDataFrame(summary[["size", "cell", "blocks"]].astype(int), "size int, cell int, blocks int")) if len(summary) else None
     if counts is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
