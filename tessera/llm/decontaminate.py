@@ -106,13 +106,23 @@ def proximity_matches(index: DataFrame, pairs: DataFrame, distance: int) -> Data
     return both.select(a["doc_id"], a["version"], "term_a", a["term_b"], "pos_a", "pos_b")
 
 
-def matches(docs: DataFrame, items: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(phrase matches, windows by item) of documents(docs)."""
+def near_pairs(index: DataFrame, anchor: DataFrame) -> DataFrame:
+    """(doc_id, version, n_near): places of a window's rarest term with its next rarest one among the words around.
+
+    Proximity within the reach of the postings, whose words around are the other lists next to them.
+    """
+    pairs = anchor.filter("term <> next_term").select("term", "next_term").distinct()
+    near = index.join(sent(pairs), "term").filter(F.array_contains(F.transform("around", F.lower), F.col("next_term")))
+    return near.groupBy("doc_id", "version").agg(F.count_distinct("pos", "term", "next_term").alias("n_near"))
+
+
+def matches(docs: DataFrame, items: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(phrase matches, windows by item, near_pairs) of documents(docs)."""
     wins = saved(windows(items, width), "windows")
     terms = wins.select(F.explode("window").alias("w")).select(F.lower("w").alias("term")).distinct()
     anchor = saved(anchors(wins, frequencies(docs, terms)), "anchors")
     index = saved(postings(docs, anchor.select("term").distinct(), width - 1), "postings")
-    return phrase_matches(index, anchor), wins
+    return phrase_matches(index, anchor), wins, near_pairs(index, anchor)
 
 
 def hits(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,9 +131,9 @@ def hits(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near) of every row."""
     rows = documents(docs, id_col, text_col)
-    found, wins = matches(rows, items, width)
+    found, wins, near = matches(rows, items, width)
     found = saved(found, "matches")
     key = ["doc_id", "version"]
     # a window per start reaches as far as the longest match there; words hit are counted by what each start adds to those before
@@ -143,12 +153,15 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
     hits = hit.join(of_items, hit["doc_id"].eqNullSafe(of_items["doc_id"]) & (hit["version"] == of_items["version"])).select(
         hit["doc_id"].alias("hit_id"), hit["version"].alias("hit_version"), "n_hit", "n_items", "items_sha256"
     )
+    near = near.select(F.col("doc_id").alias("near_id"), F.col("version").alias("near_version"), "n_near")
     sizes = rows.select(*key, F.regexp_count("text", F.lit(RAW_TERM)).cast("long").alias("n_words"))
     all_rows = sizes.join(hits, sizes["doc_id"].eqNullSafe(hits["hit_id"]) & (sizes["version"] == hits["hit_version"]), "left")
+    all_rows = all_rows.join(near, sizes["doc_id"].eqNullSafe(near["near_id"]) & (sizes["version"] == near["near_version"]), "left")
     zero = F.lit(0).cast("long")
     return all_rows.select(
         "doc_id", F.coalesce("n_words", zero).alias("n_words"), F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
         F.coalesce("items_sha256", F.lit(EMPTY_SHA)).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
+        F.coalesce("n_near", zero).alias("n_near"),
     )
 
 
@@ -163,8 +176,15 @@ ds AS (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS s FROM dl),
 dw AS (SELECT doc_id, l, s, array_to_string(w[s : s + l - 1], ' ') AS win FROM ds),
 h AS (SELECT doc_id, s, dw.l AS l, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.l = bw.l),
 p AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + l)) AS q FROM h) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+i AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id),
+bt AS (SELECT win, lower(unnest(win)) AS term, unnest(range(0, len(win))) AS off FROM (SELECT DISTINCT w[s : s + 9] AS win FROM bs)),
+dp AS (SELECT doc_id, lower(unnest(w)) AS term, unnest(range(1, len(w) + 1)) AS p FROM d),
+fr AS (SELECT term, count(*) AS n FROM dp GROUP BY term),
+rk AS (SELECT win, bt.term AS term, row_number() OVER (PARTITION BY win ORDER BY coalesce(n, 0), bt.term, off) AS r FROM bt LEFT JOIN fr ON bt.term = fr.term),
+pr AS (SELECT DISTINCT a.term AS t1, b.term AS t2 FROM rk a JOIN rk b ON a.win = b.win AND a.r = 1 AND b.r = 2 WHERE a.term <> b.term),
+nn AS (SELECT doc_id, count(*) AS n_near FROM (SELECT DISTINCT x.doc_id AS doc_id, x.p AS p, t1, t2 FROM dp x JOIN pr ON x.term = t1 JOIN dp y ON y.doc_id = x.doc_id AND y.term = t2 AND abs(y.p - x.p) <= 9) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items,
-       coalesce(i.sha, sha256('')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
+       coalesce(i.sha, sha256('')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN nn USING (doc_id)
 """

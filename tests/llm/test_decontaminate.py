@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 from tessera.llm import decontaminate
 from tests.llm.fixtures import TEXTS, empty
@@ -46,6 +47,25 @@ def test_against_brute_force(spark):
     assert sorted(got) == brute(docs, items)
 
 
+def test_near_terms(spark):
+    """Places of a window's rarest term with its next rarest one at most nine words away, by brute force."""
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(30)] + ["the", "of"] * 8
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([1, 2, 5, 12, 20])))) for i in range(10)]
+    docs = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 80)))) for i in range(40)] + [(90, None), (91, "")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    freq = Counter(w for _, t in docs for w in words(t))
+    pairs = set()
+    for _, t in items:
+        w = words(t)
+        for s in range(max(len(w) - 9, 1)):
+            best = sorted((freq[x], x, k) for k, x in enumerate(w[s : s + 10]))[:2]
+            if len(best) == 2 and best[0][1] != best[1][1]:
+                pairs.add((best[0][1], best[1][1]))
+    want = {i: len({(p, a, z) for a, z in pairs for p, x in enumerate(words(t)) if x == a and z in words(t)[max(p - 9, 0) : p + 10]}) for i, t in docs}
+    assert {x.doc_id: x.n_near for x in decontaminate.contamination(d, b).collect()} == want
+
+
 def test_empty_tables(spark):
     b = spark.createDataFrame([(1, "some words")], "item_id long, text string")
     d = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
