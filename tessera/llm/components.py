@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import saved
+from tessera.llm.common import dropped, saved
 
 #: Edges that one task holds: about 100 bytes each.
 LOCAL = 1_000_000
@@ -92,14 +92,25 @@ def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     Loops and repeated edges do no harm; no edges give no rows.
     """
     now = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = saved(now, "edges")
+    done: list[str] = []
+    spark = edges.sparkSession
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        """Writes df and removes the table before."""
+        before = list(done)
+        done.clear()
+        out = saved(df, name, into=done)
+        dropped(spark, before)
+        return out
+
+    now = step(now, "edges")
     state = _state(now)
     while state[0]:
         parts = -(-state[0] // local)
-        now = saved(_contracted(now, parts), "contracted")
+        now = step(_contracted(now, parts), "contracted")
         if parts == 1:
             break
-        now = saved(_small(_large(now)), "stars")
+        now = step(_small(_large(now)), "stars")
         after = _state(now)
         if after == state:
             break

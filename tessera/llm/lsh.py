@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import repeats
-from tessera.llm.common import pieces, saved
+from tessera.llm.common import dropped, pieces, saved
 from tessera.llm.components import components
 from tessera.llm.hashing import distinct, mixed
 
@@ -396,8 +396,11 @@ def united(pairs: DataFrame) -> DataFrame:
 
 def linked(star: DataFrame, sets: Sets, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """united() of the linked elements. star: the written, distinct candidate pairs; texts_of(nodes (doc, nr)): (doc, nr, text) of those."""
-    texts = saved(texts_of(nodes_of(star)), "texts")
-    links = saved(confirmed(star, texts, sets), "links")
-    roots = saved(united(links), "roots")
-    rest = saved(across(united(star), roots, texts, sets), "links")
-    return saved(united(links.union(rest)), "roots")
+    done: list[str] = []
+    texts = saved(texts_of(nodes_of(star)), "texts", into=done)
+    links = saved(confirmed(star, texts, sets), "links", into=done)
+    roots = saved(united(links), "roots", into=done)
+    rest = saved(across(united(star), roots, texts, sets), "links", into=done)
+    out = saved(united(links.union(rest)), "roots")
+    dropped(star.sparkSession, done)
+    return out

@@ -199,5 +199,9 @@ def test_knn_against_brute_force(spark, monkeypatch, block):
     vectors = knn.integer_vectors(d, 64)
     got = [tuple(x) for x in knn.search(vectors, vectors.filter("vec_id % 20 = 0"), 5).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_knn(rows, 5)
+    # many rows of a query's id, whose vector is a whole cell of its own
+    rows = [(20, [9.0, 9.0])] * 40 + [(i, [0.1 * i, 0.2]) for i in range(1, 15)]
+    vectors = knn.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 64)
+    assert {tuple(x) for x in knn.search(vectors, vectors.filter("vec_id % 20 = 0"), 5).collect()} == brute_knn(rows[39:], 5)
     none = knn.integer_vectors(d.limit(0), 64)
     assert knn.search(none, none, 5).count() == 0
