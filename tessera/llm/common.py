@@ -27,16 +27,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
-#: Rows in a batch between the JVM and Python; texts are long, and both sides hold a batch.
+#: Rows in a batch between the JVM and Python that suit long texts; both sides hold a batch.
 ARROW_ROWS = "1500"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For applications, as the registered queries are: asks for batches of ARROW_ROWS where the session has Spark's default. Operators leave the session alone."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 @functools.lru_cache(maxsize=1)
 def _own_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tessera-")

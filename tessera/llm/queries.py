@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import byte_bpe, decontaminate, knn, line_dedup, near_dedup, quality, suffix_array, suffix_tree, token_count, token_files
-from tessera.llm.common import table
+from tessera.llm.common import small_batches, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,5 +53,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents"), width=8, percent=80).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_token_counts, op4_knn, op5_quality, op6_decontamination, op7_token_files, op8_byte_bpe, op9_suffix_array_dedup, op10_line_dedup)}
+def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _query(f) for f in (op1_substring_dedup, op2_minhash_dedup, op3_token_counts, op4_knn, op5_quality, op6_decontamination, op7_token_files, op8_byte_bpe, op9_suffix_array_dedup, op10_line_dedup)}
 ORACLE_SQL = {"op1_substring_dedup": suffix_tree.SQL, "op2_minhash_dedup": near_dedup.SQL, "op4_knn": knn.SQL, "op6_decontamination": decontaminate.SQL, "op9_suffix_array_dedup": suffix_array.SQL}

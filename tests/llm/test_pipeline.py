@@ -1,9 +1,10 @@
 import hashlib
 
 import corpus_pipeline
-from tessera.llm import line_dedup, quality
+from tessera.llm import line_dedup
 from tests.llm.test_decontaminate import words
 from tests.llm.test_near import char_set, groups, word_set
+from tests.llm.test_quality import brute_judged
 from tests.llm.test_tokens import library
 
 SPACE = " \t\r\x0b\x0c"
@@ -14,14 +15,14 @@ def rows_of(df):
 
 
 def test_stages_against_brute_force(spark, sf):
-    """Each stage on what its predecessor kept; perplexities are tested elsewhere, so the first is held to its operator."""
+    """Each stage on what its predecessor kept."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     outs = []
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.saved(stage(spark, docs, sf), name)
         outs.append(docs)
     source = {r["doc_id"]: r for r in rows_of(spark.read.parquet(f"{sf}/documents.parquet"))}
-    kept = {r.doc_id for r in quality.judged(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).filter("kept").collect()}
+    kept = brute_judged(spark, spark.read.parquet(f"{sf}/documents.parquet").collect(), spark.read.parquet(f"{sf}/labels.parquet"))
     first, second, third, fourth, last = map(rows_of, outs)
     assert {r["doc_id"]: r for r in first} == {i: r for i, r in source.items() if i in kept}
 
@@ -68,3 +69,5 @@ def test_odd_rows(spark, sf):
         for name, stage in corpus_pipeline.STAGES:
             out = corpus_pipeline.saved(stage(spark, out, sf), name)
         assert out.count() <= given.count()
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted((r.doc_id or 0, r.text) for r in stage(spark, docs.filter("text is not null and text <> ''"), sf).collect()) == [(0, "one line here"), (1, "else"), (1, "one line here\nanother")]
