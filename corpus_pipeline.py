@@ -3,17 +3,24 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs. All but
 the last return the columns of documents. Rows are told apart by id and text, so
 repeated and null ids are no matter: a stage's decision reaches the rows it is
-about and no others.
+about and no others. Of rows that repeat both, near_dedup keeps one; rows with a
+null id take no part in either deduplication and stay.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality
-from tessera.llm.common import saved, table
+from tessera.llm.common import saved, small_batches, table
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -35,8 +42,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (five words, similarity 0.8)."""
-    return _without(docs, near_dedup.components(docs).filter(~F.col("kept")))
+    """Keeps one document of each group of near duplicates (five words, similarity 0.8), and one of rows that repeat id and text."""
+    out = _without(docs, near_dedup.components(docs).filter(~F.col("kept")))
+    same = ["doc_id", F.xxhash64("text").alias("version")]
+    if not docs.filter("doc_id is not null").groupBy(*same).count().filter("count > 1").limit(1).count():
+        return out
+    return out.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(out.filter("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +61,21 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, rank_file, pattern)
 
 
+def _stage(f: Stage) -> Stage:
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality", quality_filter),
-    ("line_dedup", dedup_lines),
-    ("near_dedup", dedup_documents),
-    ("decontamination", decontaminated),
-    ("byte_bpe", tokenized),
+    ("quality", _stage(quality_filter)),
+    ("line_dedup", _stage(dedup_lines)),
+    ("near_dedup", _stage(dedup_documents)),
+    ("decontamination", _stage(decontaminated)),
+    ("byte_bpe", _stage(tokenized)),
 ]
 
 #: Several stages cannot be written in SQL; the pipeline is tested against brute force.
