@@ -63,4 +63,4 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 QUERIES = {f.__name__: _query(f) for f in (op1_substring_dedup, op2_minhash_dedup, op3_token_counts, op4_knn, op5_quality, op6_decontamination, op7_token_files, op8_byte_bpe, op9_suffix_array_dedup, op10_line_dedup)}
-ORACLE_SQL = {"op1_substring_dedup": suffix_tree.SQL, "op2_minhash_dedup": near_dedup.SQL, "op4_knn": knn.SQL, "op6_decontamination": decontaminate.SQL, "op9_suffix_array_dedup": suffix_array.SQL}
+ORACLE_SQL = {"op1_substring_dedup": suffix_tree.SQL, "op2_minhash_dedup": near_dedup.SQL, "op4_knn": knn.SQL, "op6_decontamination": decontaminate.SQL, "op9_suffix_array_dedup": suffix_array.SQL, "op10_line_dedup": line_dedup.SQL}
