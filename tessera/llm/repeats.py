@@ -47,7 +47,7 @@ RUN = 2000
 #: Characters of text for which one batch of anchors is sent.
 BATCH_CHARS = 12_000_000
 #: Anchors in a bucket, classes of runs that one kernel call takes, and classes of one anchor beyond which it is split by whole windows.
-BUCKET, GROUP, HEAVY = 500_000, 100_000, 800
+BUCKET, GROUP, HEAVY = 500_000, 100_000, 100_000
 #: Partitions at most, each of which holds one bucket after another, and bits of a bucket's number at most.
 PARTITIONS, MOST_BITS = 20_000, 20
 #: Bytes of text of the whole anchor groups that one kernel call takes, unless one group alone has more.
