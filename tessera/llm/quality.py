@@ -1,10 +1,10 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
-1. Labelled documents are split into folds; of those for training at most
-   ``training`` (a bound that callers set) are taken, in the order of a hash of
-   their ids. Counts of character strings of five are summed over the trusted
-   ones of each language (and of all together). Lower orders count in how many
-   contexts a string occurs.
+1. Labelled documents are split into folds. Counts of character strings of five
+   are summed over all trusted documents of the training folds, for each
+   language (and all together); a caller may set a bound, ``training``, and gets
+   the first ones by a hash of their ids. Lower orders count in how many contexts
+   a string occurs.
 2. Discounts (one each for counts 1, 2 and more) follow from counts of counts by
    language and order. Sharded joins of the counts with their contexts' sums and
    with the next lower order give every string's interpolated probability and
@@ -58,8 +58,8 @@ ALL = "*"
 AGAINST = "\x01"
 #: Characters with a code of their own.
 OWN_CODES = 0xC00
-#: Labelled documents that the model is trained on at most.
-TRAINING = 50_000
+#: Labelled documents that the model is trained on at most: no bound.
+TRAINING: int | None = None
 #: Bytes of text in a block, shards at most, and rows that a task packs at once.
 BLOCK_BYTES, SHARDS, PACKED = 48_000_000, 256, 400_000
 #: Blocks up to which each has a partition of its own; more even out by themselves.
@@ -117,7 +117,7 @@ def counts(trusted: DataFrame, into: list[str] | None = None) -> DataFrame:
             yield pd.DataFrame(rows, columns=["lang", "part", "data", "times"])
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, []
+        now, held, entries = None, [], 0
 
         def out() -> Iterator[pd.DataFrame]:
             if held:
@@ -129,9 +129,13 @@ def counts(trusted: DataFrame, into: list[str] | None = None) -> DataFrame:
             for lang, part, data, times in pdf.itertuples(index=False):
                 if (lang, part) != now:
                     yield from out()
-                    now, held = (lang, part), []
+                    now, held, entries = (lang, part), [], 0
                 body = repeats.unsqueezed(times)
                 held.append((_unpack(data), repeats._unplanes(body, len(body) // 8, "<i8")))
+                entries += len(held[-1][0])
+                if entries > max(2_000_000, 2 * len(held[0][0])):
+                    held = [summed(*map(np.concatenate, zip(*held)))]
+                    entries = len(held[0][0])
         yield from out()
 
     sent = trusted.mapInPandas(run, "lang string, part int, data binary, times binary")
@@ -435,22 +439,23 @@ def edges(held: DataFrame, low: float, high: float, margin: float) -> DataFrame:
 
 def judged(
     docs: DataFrame, labels: DataFrame, low: float = 0.002, high: float = 0.998, margin: float = 0.15,
-    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", training: int = TRAINING, block_bytes: int = BLOCK_BYTES,
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", training: int | None = TRAINING, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(doc_id, version, n_chars, perplexity, kept) of every row; labels: (doc_id, quality, toxic).
 
-    The model is trained on at most training labelled documents; edges are chosen by all labelled documents of the fold kept for them.
+    The model is trained on all labelled documents but one fold, or with training on so many of them; edges are chosen by all labelled documents of that fold.
     """
     good, bad = (F.col("quality") == 1) & (F.col("toxic") == 0), (F.col("quality") == 0) | (F.col("toxic") == 1)
     said = labels.select(labels["doc_id"].cast("long").alias("doc_id"), F.coalesce(good, F.lit(False)).alias("good"), F.coalesce(bad, F.lit(False)).alias("bad"))
     labelled = said.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("good").alias("good"), F.max("bad").alias("bad")).filter("good or bad").select("doc_id", "good")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[lang_col].cast("string"), F.lit(ALL)).alias("lang"), docs[text_col].cast("string").alias("text"))
     in_training = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) != 0
-    fold = saved(labelled.filter(in_training).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(training), "fold")
-    own = rows.filter(F.col("text").isNotNull()).join(F.broadcast(fold), "doc_id")  # at most training rows
+    fold = labelled.filter(in_training)
+    fold = saved(fold if training is None else fold.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(training), "fold")
+    own = repeats.filtered(rows.filter(F.col("text").isNotNull()), fold, "doc_id").join(fold.hint("merge"), "doc_id")
     named = (F.col("lang") != ALL) & ~F.col("lang").startswith(AGAINST)
     times = own.filter(named).groupBy("lang").agg(F.sum(F.col("good").cast("long")).alias("n"), F.sum((~F.col("good")).cast("long")).alias("bad")).filter(F.col("n") >= MIN_TRUSTED)
-    known = F.broadcast(saved(times.select("lang", (F.col("bad") >= MIN_TRUSTED).alias("contrasted")), "languages"))  # no more languages than training documents
+    known = F.broadcast(saved(times.select("lang", (F.col("bad") >= MIN_TRUSTED).alias("contrasted")), "languages"))  # a row for each language of MIN_TRUSTED documents
 
     def with_models(x: DataFrame) -> DataFrame:
         model_of = F.when(F.col("contrasted"), F.col("lang")).otherwise(F.lit(ALL))

@@ -254,3 +254,19 @@ def test_clashing_columns_and_a_bounded_sample(spark):
     for training in (quality.TRAINING, 120):
         kept = {x.doc_id: x.kept for x in quality.judged(d, labels, training=training).collect()}
         assert sum(kept[i] == (i % 5 > 0) for i in range(400)) > 390
+
+
+def test_every_labelled_document_of_the_training_folds_trains(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def counts(trusted, into=None):
+        raise Seen({r["lang"]: r["count"] for r in trusted.groupBy("lang").count().collect()})
+
+    monkeypatch.setattr(quality, "counts", counts)
+    ids = spark.range(70_000).withColumnRenamed("id", "doc_id")
+    labels = ids.selectExpr("doc_id", "cast(doc_id % 10 > 0 as int) as quality", "0 as toxic")
+    with pytest.raises(Seen) as seen:
+        quality.judged(ids.selectExpr("doc_id", "'some words' as text", "'en' as lang"), labels)
+    taken = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)) != 0)
+    assert seen.value.args[0] == {"en": taken.filter("quality = 1").count(), quality.AGAINST + "en": taken.filter("quality = 0").count()}
