@@ -43,6 +43,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +63,8 @@ OWN_CODES = 0xC00
 TRAINING: int | None = None
 #: Bytes of text in a block, shards at most, and rows that a task packs at once.
 BLOCK_BYTES, SHARDS, PACKED = 48_000_000, 256, 400_000
+#: Bytes of documents that a task deals to blocks at once.
+DEALT = 32_000_000
 #: Blocks up to which each has a partition of its own; more even out by themselves.
 EVEN = 512
 #: Trusted documents a language needs for a model of its own; one in FOLDS of them is kept for the quantiles.
@@ -303,8 +306,42 @@ def shards_of(trained: DataFrame, shards: int) -> DataFrame:
     return trained.select("lang", "n", "back", "g", "value").mapInPandas(run, SHARD)
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(block, data): the rows of docs (block, ..) that a task has of a block, together and compressed, as texts compress poorly one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).sort_by("block").combine_chunks()
+            block = rows["block"].to_numpy()
+            ends = [*repeats._bounds(block).tolist(), len(block)]
+            for i, j in zip(ends[:-1], ends[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as out:
+                    out.write_table(rows.slice(i, j - i))
+                data = pa.array([repeats.squeezed(sink.getvalue().to_pybytes())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([int(block[i])], pa.int32()), data], ["block", "data"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.nbytes for x in held) >= DEALT:
+                yield from sent()
+                held = []
+        if held:
+            yield from sent()
+
+    return docs.mapInArrow(run, "block int, data binary")
+
+
+def _rows(blobs: list[bytes]) -> Iterator[pd.DataFrame]:
+    for blob in blobs:
+        yield pa.ipc.open_stream(repeats.unsqueezed(blob)).read_pandas()
+
+
 def asks(dealt: DataFrame, shards: int) -> DataFrame:
-    """Rows of SHARD: the distinct strings of each block, by its models. dealt: (.., block, lang, against, text), whole blocks in a partition."""
+    """Rows of SHARD: the distinct strings of each block, by its models. dealt: _packed (block, lang, against, text), whole blocks in a partition."""
 
     def sent(block: int, lang: str, against: str, g: np.ndarray) -> pd.DataFrame:
         rows = [(i, 0, False, block, lang, against, _pack(g[k]), b"") for i, k in _split(g, _shard_of(g >> BITS, shards))]
@@ -312,7 +349,7 @@ def asks(dealt: DataFrame, shards: int) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, list] = {}
-        for pdf in pieces(frames, "text", 500_000):
+        for pdf in pieces((x for f in frames for x in _rows(f["data"])), "text", 500_000):
             for key, part in pdf.groupby(["block", "lang", "against"]):
                 g = distinct(symbols([t or "" for t in part["text"]])[0])
                 if not len(g):
@@ -360,7 +397,7 @@ def replies(rows: DataFrame, partitions: int) -> DataFrame:
 def scored(docs: DataFrame, trained: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (doc_id, version, lang, against, text) without text, with n_chars, perplexity and contrast; lang, against: models.
 
-    The texts are dealt to their blocks once; both readings of a block share that exchange.
+    The texts are dealt to their blocks once, packed; both readings of a block share that exchange.
     """
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = int(total // block_bytes) + 1
@@ -370,7 +407,7 @@ def scored(docs: DataFrame, trained: DataFrame, block_bytes: int = BLOCK_BYTES)
     block = F.pmod(F.xxhash64("doc_id", "version"), F.lit(blocks)).cast("int")
     if blocks <= EVEN:  # a partition for each block
         block = F.element_at(F.array(*[F.lit(int(k)) for k in even_keys(blocks)]), block + 1)
-    dealt = sent.withColumn("block", block).repartition(blocks, "block")
+    dealt = _packed(sent.withColumn("block", block)).repartition(blocks, "block")
     back = replies(shards_of(trained, shards).union(asks(dealt, shards)), shards)
     schema = ", ".join([*kept, "no_id boolean", "n_chars long", "perplexity double", "contrast double"])
     names = [c.split()[0] for c in schema.split(", ")]
@@ -387,7 +424,7 @@ def scored(docs: DataFrame, trained: DataFrame, block_bytes: int = BLOCK_BYTES)
             at = np.searchsorted(known, g)
             return own[at].astype(np.float64), other[at].astype(np.float64)
 
-        parts = [pdf.drop(columns=["text", "block"]).assign(**_per_document(pdf, value)) for pdf in pieces(iter([left]), "text", 500_000)]
+        parts = [pdf.drop(columns=["text", "block"]).assign(**_per_document(pdf, value)) for pdf in pieces(_rows(left["data"]), "text", 500_000)]
         return pd.concat(parts)[names] if parts else pd.DataFrame({c: [] for c in names})
 
     made = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(answer, schema)

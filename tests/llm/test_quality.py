@@ -270,3 +270,16 @@ def test_every_labelled_document_of_the_training_folds_trains(spark, monkeypatch
         quality.judged(ids.selectExpr("doc_id", "'some words' as text", "'en' as lang"), labels)
     taken = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)) != 0)
     assert seen.value.args[0] == {"en": taken.filter("quality = 1").count(), quality.AGAINST + "en": taken.filter("quality = 0").count()}
+
+
+def test_texts_travel_packed(spark, monkeypatch):
+    """Each task sends a block's rows together, compressed, and they come back as they were."""
+    monkeypatch.setattr(quality, "DEALT", 40_000)
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(300)]
+    texts = [*TEXTS, *(" ".join(r.choices(words, k=150)) for _ in range(300))]
+    rows = [(i % 7, i, "*", t) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "block int, doc_id long, lang string, text string").repartition(2)
+    got = quality._packed(d).collect()
+    assert sorted((*x, b) for b, data in got for x in [r[1:] for pdf in quality._rows([data]) for r in pdf.itertuples(index=False)]) == sorted(((i, lang, t, b) for b, i, lang, t in rows), key=lambda x: x[0])
+    assert len(got) < len(rows) / 2 and sum(len(x.data) for x in got) < 0.5 * sum(len((t or "").encode()) for t in texts)
