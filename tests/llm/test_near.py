@@ -205,3 +205,28 @@ def test_knn_against_brute_force(spark, monkeypatch, block):
     assert {tuple(x) for x in knn.search(vectors, vectors.filter("vec_id % 20 = 0"), 5).collect()} == brute_knn(rows[39:], 5)
     none = knn.integer_vectors(d.limit(0), 64)
     assert knn.search(none, none, 5).count() == 0
+
+
+def test_every_two_of_a_cluster_meet_once(spark, monkeypatch):
+    """One of them outside the largest component; moved rows grow slower than the square of a cluster."""
+    monkeypatch.setattr(lsh, "BLOCK", 4)
+    monkeypatch.setattr(lsh, "OTHERS", 6)
+    monkeypatch.setattr(lsh, "LARGE", 64)
+    node = "doc long, nr int, root struct<doc: long, nr: int>"
+    moved = {}
+    for n in (5, 30, 100, 400, 1600):
+        root = {i: 0 if i % 4 == 0 else i - i % 3 for i in range(n)}  # the largest component, others of up to three, single ones
+        clusters = spark.createDataFrame([(i, 0, (0, 0)) for i in range(n)], node)
+        roots = spark.createDataFrame([(i, 0, (root[i], 0)) for i in range(n) if root[i] != i or i == 0], node)
+        rows = lsh.meetings(clusters, roots).collect()
+        moved[n] = len(rows)
+        if n > 400:
+            continue
+        groups = {}
+        for r in rows:
+            groups.setdefault((r.block, r.part), []).append(r)
+        met = [frozenset((a.doc, b.doc)) for (x, y), g in groups.items() for k, a in enumerate(g) for b in g[:k] if ((a.asks or b.asks) if x == y else a.asks != b.asks)]
+        want = {frozenset((a, b)) for a in range(n) for b in range(a) if root[a] or root[b]}
+        assert len(met) == len(set(met)) and set(met) == want
+    assert moved[5] == 5
+    assert moved[400] / moved[100] < 10 and moved[1600] / moved[400] < 10  # the square of 4 is 16, the power 1.5 is 8
