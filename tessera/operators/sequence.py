@@ -121,7 +121,8 @@ def pairs(rows: DataFrame, value: str, pos: str, by: list[str]) -> DataFrame:
 def next_geq(lists: DataFrame, probes: DataFrame, by: list[str], value: str = "v", target: str = "target") -> DataFrame:
     """probes with idx and next: place (from 0) and value of the first element at or above the target, else null.
 
-    A forward as-of join: elements and targets are sorted together, so it is one shuffle, not a range join.
+    A forward as-of join: elements and targets are sorted together, so it is one shuffle, not a range join. They go by
+    downwards: Spark adds to a frame that begins with the group, and makes one that ends with it anew for every row.
     """
     w = Window.partitionBy(*by).orderBy(value)
     placed = lists.select(*by, value, (F.row_number().over(w) - 1).alias("idx"))
@@ -129,8 +130,8 @@ def next_geq(lists: DataFrame, probes: DataFrame, by: list[str], value: str = "v
     keep = [c for c in probes.columns if c not in by]
     asked = probes.select(*by, F.col(target).alias("_k"), F.lit(0).alias("_side"), F.lit(None).cast(both.schema["_e"].dataType).alias("_e"), F.struct(*keep).alias("_p"))
     both = both.withColumn("_p", F.lit(None).cast(asked.schema["_p"].dataType))
-    ahead = Window.partitionBy(*by).orderBy("_k", "_side").rowsBetween(0, Window.unboundedFollowing)
-    out = both.unionByName(asked).withColumn("_found", F.first("_e", ignorenulls=True).over(ahead)).filter("_side = 0")
+    ahead = Window.partitionBy(*by).orderBy(F.desc("_k"), F.desc("_side"), F.desc("_e.idx")).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.unionByName(asked).withColumn("_found", F.last("_e", ignorenulls=True).over(ahead)).filter("_side = 0")
     return out.select(*by, "_p.*", F.col("_found.idx").alias("idx"), F.col("_found.next").alias("next"))
 
 
@@ -166,16 +167,17 @@ def lower_bound(keys: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     """targets (target) with lower (first key at or above) and upper (first above); nulls where there is none.
 
     Keys and targets are sorted together. A target takes the next key of its range, or the first key of a later one.
+    Windows go downwards, as in next_geq.
     """
     k = keys.select(F.col(key).alias("_v")).filter("_v is not null").distinct().withColumn("_side", F.lit(1))
     t = targets.select(F.col("target").alias("_v")).filter("_v is not null").distinct()
     both = ranged(k.unionByName(t.withColumn("_side", F.lit(0))).unionByName(t.withColumn("_side", F.lit(2))), ["_v", "_side"])  # 0 stands before an equal key, 2 behind it
     firsts = both.filter("_side = 1").groupBy("_range").agg(F.min("_v").alias("_first"))
     ranges = both.select("_range").distinct().join(firsts, "_range", "left")
-    later = Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
-    ranges = ranges.select("_range", F.first("_first", ignorenulls=True).over(later).alias("_later"))
-    ahead = Window.partitionBy("_range").orderBy("_v", "_side").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("_next", F.first(F.when(F.col("_side") == 1, F.col("_v")), ignorenulls=True).over(ahead)).filter("_side <> 1")
+    later = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_range", F.last("_first", ignorenulls=True).over(later).alias("_later"))
+    ahead = Window.partitionBy("_range").orderBy(F.desc("_v"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_next", F.last(F.when(F.col("_side") == 1, F.col("_v")), ignorenulls=True).over(ahead)).filter("_side <> 1")
     found = found.join(ranges, "_range").withColumn("_next", F.coalesce("_next", "_later"))
     pick = lambda side: F.max(F.when(F.col("_side") == side, F.col("_next")))
     bounds = found.groupBy(F.col("_v").alias("target")).agg(pick(0).alias("lower"), pick(2).alias("upper"))

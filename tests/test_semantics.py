@@ -61,6 +61,20 @@ def test_next_geq(spark):
     assert out == {("a", 3): (0, 3), ("a", 4): (1, 7), ("a", 10): (None, None), ("b", 0): (0, 1), ("c", 1): (None, None)}
 
 
+def test_lookups_ahead_take_linear_time(spark):
+    """A frame that ends with its group is made anew for every row: the time was the square of a range's rows."""
+    rng = random.Random(1)
+    keys, asked = sorted(rng.sample(range(9000), 2000)), rng.sample(range(-5, 9005), 2000)
+    bounds = sequence.lower_bound(values(spark, keys * 2), spark.createDataFrame([(x,) for x in asked], "target int"), "v")
+    ahead = lambda x: min((k for k in keys if k >= x), default=None)
+    assert sorted(map(tuple, bounds.collect()), key=str) == sorted(((x, ahead(x), ahead(x + 1)) for x in asked), key=str)
+    lists = spark.createDataFrame([("a", 3), ("a", 7), ("a", 7)], "g string, v int")
+    found = sequence.next_geq(lists, spark.createDataFrame([("a", 5)], "g string, target int"), ["g"])
+    assert tuple(found.first()) == ("a", 5, 1, 7)
+    for df in (bounds, found):
+        assert "unboundedfollowing" not in df._jdf.queryExecution().toString()
+
+
 def test_text_functions(spark):
     lit = F.lit
     assert one(spark, T.words(lit("café a_b c-d"))) == ["caf", "a_b", "c", "d"]
