@@ -244,31 +244,25 @@ def schema_versions(spark, sf_dir):
 @query("SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
 def streaming_sessions(spark, sf_dir):
     """Sessions of each user: events less than six hours apart."""
-    name = f"sessions_{uuid.uuid4().hex[:8]}"
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     stream = pipeline.replayed(spark, events, "events")
-    pipeline.finished(pipeline.to_table(pipeline.sessions(stream, "ts", "6 hours", "3650 days", ["user_id"]), name, "complete"))
-    return spark.table(name).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return pipeline.result(pipeline.sessions(stream, "ts", "6 hours", "3650 days", ["user_id"]), "complete").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("SELECT a.event_id AS viewed, b.event_id AS bought FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 DAY")
 def streaming_join(spark, sf_dir):
     """Purchases within a day of a view, from two streams."""
-    name = f"joined_{uuid.uuid4().hex[:8]}"
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     a = pipeline.replayed(spark, events.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("viewed"), F.col("ts").alias("view_ts")), "views")
     b = pipeline.replayed(spark, events.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("bought"), F.col("ts").alias("buy_ts")), "purchases")
-    pipeline.finished(pipeline.to_table(pipeline.joined(a, b, "user_id", "view_ts", "buy_ts", "1 day", "3650 days").select("viewed", "bought"), name, "append"))
-    return spark.table(name)
+    return pipeline.result(pipeline.joined(a, b, "user_id", "view_ts", "buy_ts", "1 day", "3650 days").select("viewed", "bought"), "append")
 
 
 @query("SELECT DISTINCT user_id FROM events")
 def streaming_first_seen(spark, sf_dir):
     """Users as they are first seen; a key is passed on once."""
-    name = f"first_{uuid.uuid4().hex[:8]}"
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    pipeline.finished(pipeline.to_table(pipeline.first_seen(pipeline.replayed(spark, events, "events"), ["user_id"], "ts", "3650 days").select("user_id"), name, "append"))
-    return spark.table(name)
+    return pipeline.result(pipeline.first_seen(pipeline.replayed(spark, events, "events"), ["user_id"], "ts", "3650 days").select("user_id"), "append")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

@@ -180,30 +180,24 @@ def fragment_store(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")
 def streaming_running(spark, sf_dir):
     """Events through micro-batches; the last state of the running counters."""
-    name = f"running_{uuid.uuid4().hex[:8]}"
     stream = pipeline.replayed(spark, table(spark, sf_dir, "events"), "events")
-    pipeline.finished(pipeline.to_table(pipeline.running(stream, ["event_type"], "value"), name, "complete"))
-    return spark.table(name).withColumn("total", F.round("total", 4))
+    return pipeline.result(pipeline.running(stream, ["event_type"], "value"), "complete").withColumn("total", F.round("total", 4))
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def streaming_windows(spark, sf_dir):
     """Counts by day of event time, all windows closed or open."""
-    name = f"windows_{uuid.uuid4().hex[:8]}"
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     stream = pipeline.replayed(spark, events, "events")
-    pipeline.finished(pipeline.to_table(pipeline.windowed(stream, "ts", "1 day", "3650 days", ["event_type"]), name, "complete"))
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return pipeline.result(pipeline.windowed(stream, "ts", "1 day", "3650 days", ["event_type"]), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT event_id, value * 2 AS doubled FROM events WHERE event_type = 'click'")
 def streaming_pipeline(spark, sf_dir):
     """A filter and a map in one stream."""
-    name = f"stages_{uuid.uuid4().hex[:8]}"
     stream = pipeline.replayed(spark, table(spark, sf_dir, "events"), "events")
     out = pipeline.chained(stream, pipeline.filter_stage(F.col("event_type") == "click"), pipeline.map_stage(doubled=F.col("value") * 2)).select("event_id", "doubled")
-    pipeline.finished(pipeline.to_table(out, name, "append"))
-    return spark.table(name)
+    return pipeline.result(out, "append")
 
 
 @query("SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")

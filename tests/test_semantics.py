@@ -262,6 +262,27 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert got_ == {0: 1, 8: 1, 9: 2, 23: 1}  # the watermark of the batch before last decides what is late
 
 
+@pytest.mark.parametrize("name", ["sessions", "join", "first_seen", "pipeline", "running", "windows"])
+def test_results_of_streams_stay_on_the_executors(spark, sf, name):
+    """They are read from files, not from a table in the driver's memory; the session keeps its settings."""
+    from tessera.plans.catalog import QUERIES
+
+    before = {k: spark.conf.get(k, None) for k in pipeline.STATE}
+    plan = QUERIES[f"streaming_{name}"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "MemoryPlan" not in plan and "LocalRelation" not in plan
+    assert {k: spark.conf.get(k, None) for k in pipeline.STATE} == before
+
+
+def test_results_by_mode(spark, tmp_path):
+    schema = "ts timestamp, k string"
+    rows = spark.sql("select timestamp'2024-01-01 00:00:00' ts, 'a' k union all select timestamp'2024-01-01 00:10:00', 'a'")
+    counts = lambda x: pipeline.windowed(x, "ts", "1 hour", "2 hours", ["k"])
+    assert [r.n for r in pipeline.result(counts(pipeline.replayed(spark, rows, "rows", 2)), "complete").collect()] == [2]
+    assert sorted(r.k for r in pipeline.result(pipeline.replayed(spark, rows, "rows", 2).select("k"), "append").collect()) == ["a", "a"]
+    (tmp_path / "none").mkdir()
+    assert pipeline.result(pipeline.source(spark, str(tmp_path / "none"), schema), "append").collect() == []
+
+
 def test_store(spark, tmp_path):
     s = store.RecordStore(spark, f"file://{tmp_path}/records")
     assert s.scan().count() == 0
