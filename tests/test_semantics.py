@@ -170,6 +170,32 @@ def test_codecs(spark):
         assert [r.y for r in d.select(codec.decode(codec.encode(F.col("x"), c), c).alias("y")).collect()] == [*map(bytearray, datas), None]
 
 
+@pytest.mark.parametrize("form", ["fse", "huffman_o1", "huffman_o2"])
+def test_tables_of_short_texts_are_made_at_once(form):
+    """Calls grow with the bytes, not with 4,096 states or 256 code lengths of every context."""
+    import cProfile
+    import pstats
+
+    data = b"a short text, and its contexts"
+    encode, decode = (make() for make in codec.BYTE_FORMS[form])
+    with cProfile.Profile() as p:
+        assert decode(encode(data)) == data
+    assert pstats.Stats(p).total_calls < 100 * len(data)
+
+
+def test_coded_bytes_are_as_before():
+    import hashlib
+
+    data = bytes(i * i % 251 for i in range(3000)) + b"aaab" * 50
+    sha = {f: hashlib.sha256(codec.BYTE_FORMS[f][0]()(data)).hexdigest()[:8] for f in ("huffman", "rans", "fse")}
+    assert sha == {"huffman": "b6d3fd54", "rans": "d84a44e8", "fse": "ca2ff426"}
+    one = codec.huffman_bytes(b"aaaaaaaaa")
+    assert codec.huffman_data(one) == b"aaaaaaaaa"
+    for bad in (one[:-1], one[:-2] + b"\1\0"):
+        with pytest.raises(ValueError):
+            codec.huffman_data(bad)
+
+
 def test_suffixes():
     def common(x, y):
         return next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
