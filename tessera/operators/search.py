@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +75,30 @@ def fuzzy_join(left: DataFrame, right: DataFrame, a: str, b: str, limit: int) ->
 
 #: Dictionary entries up to which an automaton is sent to all executors.
 AUTOMATON = 500_000
+#: Texts that are Python strings at once, and rows of results that are held.
+TEXTS, HELD = 64, 50_000
+
+
+def _over_texts(texts: DataFrame, key: str, text: str, found: Callable[[str], Iterable[tuple]], schema: str, types: list[pa.DataType]) -> DataFrame:
+    """(key, *row) for the rows that found makes of each text. What is held does not grow with the Arrow batch or the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, held = [batch.schema.field(0).type, *types], []
+            made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=names)  # noqa: B023, E731
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    for row in found(t) if t else ():
+                        held.append((k, *row))
+                        if len(held) == HELD:
+                            yield made()
+                            held.clear()
+            if held:
+                yield made()
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return texts.select(key, text).mapInArrow(run, schema)
 
 
 def multi_pattern(texts: DataFrame, entries: DataFrame, key: str, text: str = "text", entry: str = "entry", limit: int = AUTOMATON) -> DataFrame:
@@ -89,21 +113,30 @@ def multi_pattern(texts: DataFrame, entries: DataFrame, key: str, text: str = "t
     words = [r[0] for r in known.collect()]
     kind = texts.schema[key].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton(words)
-        for pdf in frames:
-            out = [(k, end - len(w) + 1, w) for k, t in zip(pdf[key], pdf[text]) if t and words for end, w in automaton.iter(t)]
-            yield pd.DataFrame(out, columns=[key, "pos", entry])
+    places = _places(words)
+
+    def found(t: str) -> Iterator[tuple[int, str]]:
+        return ((end - len(w) + 1, w) for end, w in places(t))
 
-    return texts.select(key, text).mapInPandas(run, f"{key} {kind}, pos int, {entry} string")
+    return _over_texts(texts, key, text, found, f"{key} {kind}, pos int, {entry} string", [pa.int32(), pa.string()])
 
 
-def _automaton(words: list[str]) -> ahocorasick.Automaton:
-    automaton = ahocorasick.Automaton()
-    for w in words:
-        automaton.add_word(w, w)
-    automaton.make_automaton()
-    return automaton
+def _places(words: list[str]) -> Callable[[str], Iterable[tuple[int, str]]]:
+    """The (end, word) of every place in a text; the automaton is made once a task, where it runs."""
+    made: list[ahocorasick.Automaton] = []
+
+    def places(t: str) -> Iterable[tuple[int, str]]:
+        if not words:
+            return ()
+        if not made:
+            automaton = ahocorasick.Automaton()
+            for w in words:
+                automaton.add_word(w, w)
+            automaton.make_automaton()
+            made.append(automaton)
+        return made[0].iter(t)
+
+    return places
 
 
 def multi_pattern_counts(texts: DataFrame, entries: DataFrame, key: str, text: str = "text", entry: str = "entry", limit: int = AUTOMATON) -> DataFrame:
@@ -114,21 +147,18 @@ def multi_pattern_counts(texts: DataFrame, entries: DataFrame, key: str, text: s
     words = [r[0] for r in known.collect()]
     kind = texts.schema[key].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton(words)
-        for pdf in frames:
-            out = []
-            for k, t in zip(pdf[key], pdf[text]):
-                seen: dict[str, list[int]] = {}
-                for end, w in automaton.iter(t) if t and words else ():
-                    if (found := seen.get(w)) is None:
-                        seen[w] = [1, end - len(w) + 1]
-                    else:
-                        found[0] += 1
-                out += [(k, w, n, first) for w, (n, first) in seen.items()]
-            yield pd.DataFrame(out, columns=[key, entry, "places", "first"])
-
-    each = texts.select(key, text).mapInPandas(run, f"{key} {kind}, {entry} string, places long, first int")
+    places = _places(words)
+
+    def found(t: str) -> Iterator[tuple[str, int, int]]:
+        seen: dict[str, list[int]] = {}
+        for end, w in places(t):
+            if (of := seen.get(w)) is None:
+                seen[w] = [1, end - len(w) + 1]
+            else:
+                of[0] += 1
+        return ((w, n, first) for w, (n, first) in seen.items())
+
+    each = _over_texts(texts, key, text, found, f"{key} {kind}, {entry} string, places long, first int", [pa.string(), pa.int64(), pa.int32()])
     return each.groupBy(key, entry).agg(F.sum("places").alias("places"), F.min("first").alias("first"))  # a key may be in several rows
 
 

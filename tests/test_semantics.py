@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,27 @@ def test_multi_pattern_both_ways(spark):
         assert sorted(tuple(r) for r in search.multi_pattern(t, e, "k", limit=limit).collect()) == want
 
 
+def test_multi_pattern_holds_few_rows(spark, monkeypatch):
+    """Matches leave as they are found, not when a whole Arrow batch is through; and all of them do."""
+    monkeypatch.setattr(search, "HELD", 10)
+    monkeypatch.setattr(search, "TEXTS", 2)
+    texts = spark.createDataFrame([(i, "ab" * i) for i in range(9)] + [(9, None)], "k long, text string").coalesce(1)
+    entries = spark.createDataFrame([("ab",), ("b",)], "entry string")
+    rows = search.multi_pattern(texts, entries, "k")
+    want = sorted((i, 2 * j + p, e) for i in range(9) for j in range(i) for p, e in ((0, "ab"), (1, "b")))
+    assert sorted(map(tuple, rows.collect())) == want
+
+    class Texts:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    run = search._over_texts(Texts(), "k", "t", lambda t: ((x,) for x in t), "k long, x string", [pa.string()])
+    batch = pa.RecordBatch.from_pydict({"k": [1, 2, 3], "t": ["a" * 25, None, "bc"]})
+    assert [b.num_rows for b in run(iter([batch]))] == [10, 10, 7]
+    counts = search.multi_pattern_counts(texts, entries, "k").collect()
+    assert sorted(map(tuple, counts)) == sorted((i, e, i, p) for i in range(1, 9) for p, e in ((0, "ab"), (1, "b")))
+
+
 def test_fieldnorm(spark):
     d = spark.range(0, 5000).select(F.col("id").alias("n"), bits.fieldnorm_encode(F.col("id")).alias("c"))
     rows = d.withColumn("low", bits.fieldnorm_decode(F.col("c"))).orderBy("n").collect()
